@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.increment import History, admit
+from tickloom.llm.leakage import leaks
 from tickloom.llm.percentiles import exact_percentiles
 from tickloom.llm.runs import collapse_runs
 from tickloom.session import cut
@@ -78,8 +79,18 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("feed", "pair", "metric", "p", "n", F.round("value", 9).alias("value"), "error")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage").select("item_id", "doc_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: the documents that give it away and the longest stretch found in one."""
+    found = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("span").alias("longest_span"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles)}
+    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items)}
 
 
 _RUNS = """
