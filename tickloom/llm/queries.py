@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.increment import History, admit
 from tickloom.llm.leakage import leaks
+from tickloom.llm.mixing import mix, token_counts
 from tickloom.llm.percentiles import exact_percentiles
 from tickloom.llm.runs import collapse_runs
 from tickloom.session import cut
@@ -89,8 +90,20 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("span").alias("longest_span"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix(token_counts(table(spark, d, "documents"), "doc_id", "text", "source"), "doc_id", table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items)}
+    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items, p8_mix, p8_shares)}
 
 
 _RUNS = """
