@@ -10,6 +10,7 @@ from tickloom.llm.leakage import leaks
 from tickloom.llm.mixing import mix, token_counts
 from tickloom.llm.percentiles import exact_percentiles
 from tickloom.llm.runs import collapse_runs
+from tickloom.llm.truncation import truncated
 from tickloom.session import cut
 from tickloom.sources.tables import SOURCE, counting_sessions, number, table, usable_ticks, with_pip
 
@@ -102,8 +103,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: files, cut files and their share."""
+    judged = truncated(table(spark, d, "documents"), "doc_id", "text", "source")
+    return judged.groupBy("source").agg(F.count("*").alias("files"), F.count_if("cut").alias("cut_files"), F.avg(F.col("cut").cast("double")).alias("cut_share"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_sources)}
 
 
 _RUNS = """
