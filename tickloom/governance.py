@@ -1,0 +1,106 @@
+"""Binding results to the data and the code they came from."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Mapping
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.functions.scalar import interval_text
+
+
+class Mismatch(ValueError):
+    """Evidence that doesn't belong together."""
+
+
+def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: rows and an order-free hash of their canonical text.
+
+    Rows are hashed where they are and the hashes added up as whole numbers, so neither order, partitioning nor file names
+    matter and nothing is gathered. NULL has a text of its own.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+    digest = F.sha2(text, 256)
+    part = lambda i: F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
+    sums = [F.sum(part(i)).alias(f"s{i}") for i in range(5)]
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), *sums).select(*keys, "rows", F.sha2(F.concat_ws(":", "rows", *[f"s{i}" for i in range(5)]), 256).alias("hash"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and SHA-256 of every file under a path, hashed where they are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("hash"))
+
+
+def snapshot(df: DataFrame, key: str = "sym") -> dict:
+    """snapshot_id over all keys, and rows and hash per key (one row per pair: small)."""
+    pairs = {r[key]: {"rows": r.rows, "hash": r.hash} for r in content_hash(df, [key]).collect()}
+    return {"snapshot_id": hashlib.sha256("|".join(f"{k}:{pairs[k]['hash']}" for k in sorted(pairs)).encode()).hexdigest(), "pairs": pairs}
+
+
+def reject_mismatch(a: Mapping, b: Mapping, where: str) -> None:
+    if a.get("snapshot_id") != b.get("snapshot_id") or a.get("pairs") != b.get("pairs"):
+        raise Mismatch(f"{where}: the snapshots differ")
+
+
+def code_hashes() -> dict[str, str]:
+    root = Path(__file__).parent
+    return {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
+
+
+def preconditions(run: Mapping, gates: Mapping, sessions: DataFrame, live: Mapping, required: tuple[str, ...]) -> list[str]:
+    """Why inference must not start; empty if it may.
+
+    ``run`` is the session run's manifest (store, unique_sessions, universe_complete, expected_months, sessions_hash), ``gates`` the
+    gate report (store, expected_months, pairs), ``live`` the store's snapshot now, ``sessions`` the session table.
+    """
+    bad = []
+    for name, x in (("run", run), ("gates", gates)):
+        if not x.get("store"):
+            bad.append(f"{name}: no binding to a store")
+            continue
+        try:
+            reject_mismatch(x["store"], live, name)
+        except Mismatch as why:
+            bad.append(str(why))
+    if not run.get("universe_complete"):
+        bad.append("run: the universe is incomplete")
+    if run.get("expected_months") != gates.get("expected_months"):
+        bad.append("run and gates: other months")
+    found = {r.sym: r.n for r in sessions.groupBy("sym").agg(F.count("*").alias("n")).collect()}
+    if set(found) != set(required):
+        bad.append(f"sessions: pairs {sorted(set(found) ^ set(required))} missing or not wanted")
+    if found != dict(run.get("unique_sessions", {})):
+        bad.append("sessions: other counts than the manifest")
+    if not sessions.groupBy("sym", "london_date").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        bad.append("sessions: a pair has a date twice")
+    if run.get("sessions_hash") != snapshot(sessions)["snapshot_id"]:
+        bad.append("sessions: changed since the run")
+    for p in required:
+        g = gates.get("pairs", {}).get(p)
+        if g is None:
+            bad.append(f"gates: {p} is missing")
+        elif not g.get("data_pass") or not g.get("total_ticks") or not g.get("bars_checked") or g.get("months_missing"):
+            bad.append(f"gates: {p} didn't pass")
+    for shard, x in run.get("shards", {}).items():
+        if x.get("chronology") == "recovered-unordered":
+            bad.append(f"store: {shard} has no settled order")
+    return bad
+
+
+def manifest(quotes: DataFrame, sessions: DataFrame, expected_months: list[int], universe_complete: bool) -> dict:
+    return {
+        "store": snapshot(quotes), "expected_months": list(expected_months), "universe_complete": universe_complete,
+        "unique_sessions": {r.sym: r.n for r in sessions.groupBy("sym").agg(F.count("*").alias("n")).collect()}, "sessions_hash": snapshot(sessions)["snapshot_id"],
+    }
+
+
+def render(report: Mapping, bound_to: str | None) -> str:
+    """A markdown entry of a decision report; refuses if the report isn't bound to the snapshot it is shown with."""
+    if not bound_to or report.get("snapshot_id") != bound_to:
+        raise Mismatch("the report isn't bound to this snapshot")
+    lines = [f"# {report['title']}", "", f"Verdict: **{report['verdict']}**", "", "| statistic | point | interval |", "| --- | --- | --- |"]
+    lines += [f"| {k} | {v['point']:+.4f} | {interval_text(v.get('ci'))} |" for k, v in sorted(report["statistics"].items())]
+    return "\n".join([*lines, "", f"Snapshot {bound_to}"])
