@@ -191,11 +191,11 @@ def sp_18_barrier_race(spark, d):
 @query(
     _B5 + f""", w AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b5), o AS (SELECT sym, CAST(lt AS DATE) AS day, hour(lt) * 60 + minute(lt) - 540 AS m, bar_ms, mid_c FROM w),
 f AS (SELECT *, CAST(CASE WHEN m >= -120 AND m < -60 THEN -120 WHEN m >= -60 AND m < -30 THEN -60 WHEN m >= -30 AND m < 0 THEN -30 WHEN m >= 0 AND m < 30 THEN 0 WHEN m >= 30 AND m < 60 THEN 30 END AS INT) AS win FROM o)
-SELECT sym, {DAY}, win AS "window", round((arg_max(mid_c, bar_ms) / arg_min(mid_c, bar_ms) - 1) * 10000, 6) AS move_bp FROM f WHERE win IS NOT NULL GROUP BY sym, day, win"""
+SELECT sym, {DAY}, win AS "window", round((arg_max(mid_c, bar_ms) / arg_min(mid_c, bar_ms) - 1) * 10000, 6) + 0.0 AS move_bp FROM f WHERE win IS NOT NULL GROUP BY sym, day, win"""
 )
 def sp_10_fix_windows(spark, d):
     """Around 09:00 London: the test quotes end before the afternoon's fix."""
-    return Y.fix_windows(_five(spark, d), hour=9).withColumns({"day": _text("day"), "move_bp": F.round("move_bp", 6)})
+    return Y.fix_windows(_five(spark, d), hour=9).withColumns({"day": _text("day"), "move_bp": F.round("move_bp", 6) + 0.0})
 
 
 @query(_B5 + ", p AS (SELECT right(sym, 6) AS pair, bar_ms, count(*) AS feeds, max(mid_c) - min(mid_c) AS apart FROM b5 GROUP BY 1, 2) SELECT pair, count(*) AS bars, count(*) FILTER (WHERE feeds > 1) AS shared, round(quantile_cont(apart, 0.5) FILTER (WHERE feeds > 1), 9) AS median_apart FROM p GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,16 @@ EXPORT = T.StructType([T.StructField("utc_ms", T.LongType()), T.StructField("bid
 STORE = T.StructType([*EXPORT.fields, T.StructField("seq", T.LongType()), T.StructField("sym", T.StringType()), T.StructField("yyyymm", T.IntegerType())])
 
 
-def _located(df: DataFrame) -> DataFrame:
-    """Pair and month from the file's name, and each row's place in its file, so arrival order survives splitting."""
+def located(df: DataFrame) -> DataFrame:
+    """Pair and month from the file's name, and where in the file a split begins."""
     name = F.col("_metadata.file_name")
     df = df.select("*", export_pair(name).alias("sym"), export_month(name).alias("file_month"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return df.where("sym IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
+    return df.where("sym IS NOT NULL")
+
+
+def in_place(df: DataFrame) -> DataFrame:
+    """Number rows in the order in which their split has them, so arrival order survives splitting."""
+    return df.withColumn("_row", F.monotonically_increasing_id())
 
 
 def read_exports(spark: SparkSession, path: str, pairs: list[str] | None = None, strict: bool = True) -> DataFrame:
@@ -29,15 +34,14 @@ def read_exports(spark: SparkSession, path: str, pairs: list[str] | None = None,
     numbers each (sym, month) from 0 in order of time, then file, then place in the file.
     """
     df = spark.read.schema(EXPORT).option("header", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("pathGlobFilter", "*_ticks_*.csv").csv(path)
-    df = _located(df)
+    df = in_place(located(df))
     if pairs is not None:
         df = df.where(F.col("sym").isin([p.strip().upper() for p in pairs]))
     return numbered(df, ("file_month", "_file", "_block", "_row"))
 
 
 def numbered(df: DataFrame, arrival: tuple[str, ...]) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Assign months by timestamp, collapse consecutive equal quotes and number what stays, per (sym, month)."""
     df = df.withColumn("yyyymm", F.date_format(F.timestamp_millis("utc_ms"), "yyyyMM").cast("int"))
     w = Window.partitionBy("sym", "yyyymm").orderBy("utc_ms", *arrival)
     df = df.withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).withColumn("tick_id", F.col("seq"))
@@ -48,9 +52,7 @@ def numbered(df: DataFrame, arrival: tuple[str, ...]) -> DataFrame:
 
 def read_exports_last_wins(spark: SparkSession, path: str) -> DataFrame:
     """The older reader: malformed lines are dropped and of several quotes in a millisecond the last one stays."""
-    from pyspark.sql import Window
-
-    df = _located(spark.read.schema(EXPORT).option("header", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*_ticks_*.csv").csv(path))
+    df = in_place(located(spark.read.schema(EXPORT).option("header", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*_ticks_*.csv").csv(path)))
     w = Window.partitionBy("sym", "utc_ms").orderBy(F.desc("file_month"), F.desc("_file"), F.desc("_block"), F.desc("_row"))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("sym", "utc_ms", "bid", "ask")
 
@@ -97,4 +99,4 @@ def write_pairs(df: DataFrame, root: str) -> None:
     df.repartition("sym").sortWithinPartitions("sym", "utc_ms", "seq").write.mode("overwrite").partitionBy("sym").parquet(root)
 
 
-__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "numbered", "read_exports", "read_exports_last_wins", "read_store", "to_storage", "write_pairs", "write_store"]
+__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "in_place", "located", "numbered", "read_exports", "read_exports_last_wins", "read_store", "to_storage", "write_pairs", "write_store"]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.refresh import Conflict, refresh
-from tickloom.session import scratch_path
-from tickloom.sources.exports import EXPORT, numbered, write_store
+from tickloom.session import cut, scratch_path
+from tickloom.sources.exports import EXPORT, STORE, in_place, located, numbered, read_store, write_store
 from tickloom.sources.tables import number
 
 
@@ -75,16 +75,14 @@ def watch_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Call
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     lines = reader.csv(inbox)
-    from tickloom.sources.exports import _located
-
-    placed = _located(lines.select("*", "_metadata"))
+    placed = located(lines.select("*", "_metadata"))
     placed = placed.withColumn("modified", F.col("_metadata.file_modification_time")).drop("_metadata")
 
     def take(batch: DataFrame, _: int) -> None:
         # One entry per file of this trigger, at most files_per_trigger.
         files = [r._file for r in batch.where(F.col("modified") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(idle_seconds))).select("_file").distinct().collect()]
         for f in sorted(files):
-            new = numbered(batch.where(F.col("_file") == f).drop("modified"), ("_block", "_row"))
+            new = numbered(in_place(batch.where(F.col("_file") == f).drop("modified")), ("_block", "_row"))
             try:
                 take_in(spark, new, store)
             except Conflict as why:
@@ -96,9 +94,6 @@ def watch_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Call
 
 def take_in(spark: SparkSession, new: DataFrame, store: str, watermark: int = -1) -> int:
     """Refresh the stored months that ``new`` touches; returns the rows stored in them. Raises Conflict and changes nothing if they disagree."""
-    from tickloom.session import cut
-    from tickloom.sources.exports import STORE, read_store
-
     months = new.select("sym", "yyyymm").distinct()
     try:
         old = read_store(spark, store).join(months, ["sym", "yyyymm"], "left_semi").select("sym", "yyyymm", "utc_ms", "bid", "ask", "seq")
