@@ -67,11 +67,12 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, windo
         k = min(int(counts[i] - take[i]), (left - window) // int(lengths[i]))
         take[i] += k
         left -= k * int(lengths[i])
-    # A little is given back, so that the last step has room to choose.
+    # As much as the window holds is given back, shortest first, so that the last step can choose; small budgets are all choice.
+    room = min(window, budget)
     for i in order[::-1]:
-        if left >= min(window, budget) // 2:
+        if left >= room:
             break
-        k = min(int(take[i]), max(1, (min(window, budget) // 2 - left) // max(1, int(lengths[i]))))
+        k = min(int(take[i]), -(-(room - left) // int(lengths[i])))
         take[i] -= k
         left += k * int(lengths[i])
     reach, steps = 1, []
