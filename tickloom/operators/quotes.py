@@ -60,16 +60,21 @@ def dedup_consecutive(quotes: DataFrame) -> DataFrame:
     return seen.where(~F.coalesce(same, F.lit(False))).select(*quotes.columns)
 
 
+def _one_per(quotes: DataFrame, keys: tuple[str, ...], pick) -> DataFrame:
+    """One row per key, chosen by (seq, tick_id): an aggregation, so that groups of copies shrink before they are shuffled."""
+    rest = [c for c in quotes.columns if c not in keys]
+    chosen = quotes.groupBy(*keys).agg(pick(F.struct(*rest), F.struct("seq", "tick_id")).alias("_row"))
+    return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in quotes.columns])
+
+
 def dedup_global(quotes: DataFrame) -> DataFrame:
     """Keep the first of equal (time, bid, ask) per sym, whatever lies between."""
-    w = Window.partitionBy("sym", "utc_ms", "bid", "ask").orderBy("seq", "tick_id")
-    return quotes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one_per(quotes, ("sym", "utc_ms", "bid", "ask"), F.min_by)
 
 
 def last_per_time(quotes: DataFrame) -> DataFrame:
     """Keep the last quote of each millisecond."""
-    w = Window.partitionBy("sym", "utc_ms").orderBy(F.desc("seq"), F.desc("tick_id"))
-    return quotes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one_per(quotes, ("sym", "utc_ms"), F.max_by)
 
 
 def gaps(quotes: DataFrame, over_minutes: float = 60.0) -> DataFrame:
@@ -142,12 +147,12 @@ def inventory(quotes: DataFrame) -> DataFrame:
 
 def missing_months(quotes: DataFrame, first: int, last: int) -> DataFrame:
     """sym, yyyymm expected between two months but without any quote: an anti join with the calendar."""
-    spark = quotes.sparkSession
     if first > last:
         raise ValueError("the span is reversed")
-    every = spark.sql(f"SELECT explode(sequence(to_date('{first}', 'yyyyMM'), to_date('{last}', 'yyyyMM'), INTERVAL 1 MONTH)) AS d").select(F.date_format("d", "yyyyMM").cast("int").alias("yyyymm"))
+    month = lambda ym: F.to_date(F.lit(str(ym)), "yyyyMM")
     present = quotes.select("sym", month_of().alias("yyyymm")).distinct()
-    return present.select("sym").distinct().join(F.broadcast(every)).join(present, ["sym", "yyyymm"], "left_anti")
+    every = present.select("sym").distinct().withColumn("d", F.explode(F.sequence(month(first), month(last), F.expr("INTERVAL 1 MONTH"))))
+    return every.select("sym", F.date_format("d", "yyyyMM").cast("int").alias("yyyymm")).join(present, ["sym", "yyyymm"], "left_anti")
 
 
 def store_gate(quotes: DataFrame, first: int, last: int) -> DataFrame:

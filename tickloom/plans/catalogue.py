@@ -368,16 +368,14 @@ def gat_02_decision(spark, d):
 
 
 # --- refresh of stored months ---
-_HALF = WITH_Q + f", n AS (SELECT *, row_number() OVER (PARTITION BY sym {ORDER}) AS rn, count(*) OVER (PARTITION BY sym) AS c FROM q), old AS (SELECT * FROM n WHERE rn <= c * 0.8), new AS (SELECT * FROM n WHERE rn > c * 0.5)"
+_HALF = WITH_Q + ", n AS (SELECT q.*, a, z FROM q JOIN (SELECT sym, min(utc_ms) AS a, max(utc_ms) AS z FROM q GROUP BY 1) USING (sym)), old AS (SELECT * FROM n WHERE (utc_ms - a) * 10 <= (z - a) * 8), new AS (SELECT * FROM n WHERE (utc_ms - a) * 10 > (z - a) * 5)"
 
 
 def _halves(spark, d):
-    """The first four fifths of each sym's quotes, and an export of the last half: they overlap."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sym")
-    n = quotes(spark, d).withColumn("rn", F.row_number().over(w.orderBy(*Q.ORDER))).withColumn("c", F.count("*").over(w)).withColumn("yyyymm", Q.month_of())
-    return n.where("rn <= c * 0.8").drop("rn", "c"), n.where("rn > c * 0.5").drop("rn", "c")
+    """The first four fifths of each sym's time as stored, and an export of the last half: they overlap."""
+    q = quotes(spark, d).withColumn("yyyymm", Q.month_of())
+    n = q.join(q.groupBy("sym").agg(F.min("utc_ms").alias("a"), F.max("utc_ms").alias("z")), "sym")
+    return n.where("(utc_ms - a) * 10 <= (z - a) * 8").drop("a", "z"), n.where("(utc_ms - a) * 10 > (z - a) * 5").drop("a", "z")
 
 
 @query(WITH_Q + "SELECT sym, utc_ms, bid, ask, count(*) AS n FROM d GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")

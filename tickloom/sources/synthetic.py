@@ -20,12 +20,12 @@ def generate(spark: SparkSession, first: str, last: str, seed: int = 42, compres
     A row's step is drawn from a hash of (seed, pair, time), so the data don't depend on partitioning. The walk adds up
     within a day and starts each day at the pair's level.
     """
-    table = spark.createDataFrame([(p, *map(float, v)) for p, v in sorted((pairs or PAIRS).items())], "sym string, pip double, level double, spread double")
+    table = F.array(*[F.struct(F.lit(p).alias("sym"), *[F.lit(float(x)).alias(n) for n, x in zip(("pip", "level", "spread"), v)]) for p, v in sorted((pairs or PAIRS).items())])
     days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}', INTERVAL 1 DAY)) AS day").where(F.weekday("day") < 5)
     a, z = FROZEN.asia_minutes[0], FROZEN.london_minutes[1]
     grid = days.withColumn("slot", F.explode(F.sequence(F.lit(a * 2), F.lit(z * 2 - 1))))
     start = F.unix_millis(F.to_utc_timestamp(F.col("day").cast("timestamp"), FROZEN.session_zone))
-    rows = grid.join(F.broadcast(table)).withColumn("utc_ms", start + F.col("slot") * 30_000)
+    rows = grid.withColumn("of", F.explode(table)).select("day", "slot", "of.*").withColumn("utc_ms", start + F.col("slot") * 30_000)
     unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sym", "utc_ms"), F.lit(2**52)) + 0.5) / float(2**52)
     normal = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
     calm = (F.weekday("day") == 4) & (F.col("slot") < FROZEN.asia_minutes[1] * 2)
