@@ -111,23 +111,28 @@ def admit(lines: DataFrame, history: History, append: bool = True) -> tuple[Data
     ``id`` and ``accepted_id``, the least id of such rows that came earlier. All others are accepted, and their hashes
     appended to the history if ``append``.
 
-    The history isn't reprocessed: lines look up the few hash buckets they can be near to. Copies of one content are one
-    entry, so a group of copies never multiplies. Lines lacking time, price or pip are neither copies nor accepted; no
+    The history isn't reprocessed: contents look up the few hash buckets they can be near to. Copies of one content are one
+    entry on either side, so a group of copies never multiplies and never gathers on one hash. Lines lacking time, price or pip are neither copies nor accepted; no
     lines or an empty history give the obvious results.
     """
+    content = [*SOURCE, "utc_ms", "bid", "ask"]
     lines = lines.where("utc_ms IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL AND pip IS NOT NULL")
-    look = probes(lines, "id", "rank").alias("l")
-    known = cut(look.join(history.read().alias("o"), _near()).groupBy(F.col("l.id").alias("id")).agg(F.min("o.id").alias("accepted_id")))
-    fresh = lines.join(known, "id", "left_anti")
+    # Everything is looked up per content; its lines, however many, meet the outcome by the content's number.
+    contents = cut(lines.groupBy(*content).agg(F.min("id").alias("cid"), F.max("pip").alias("pip")))
+    tagged = cut(lines.join(contents.drop("pip"), content).select("id", "rank", "cid"))
+    look = probes(contents, "cid").alias("l")
+    known = cut(look.join(history.read().alias("o"), _near()).groupBy(F.col("l.cid").alias("cid")).agg(F.min("o.id").alias("accepted_id")))
     # Of equal contents only the first line can be accepted: if it is not, what it copies is near to all of them.
-    first = fresh.groupBy(*SOURCE, "utc_ms", "bid", "ask").agg(F.min(F.struct("rank", "id")).alias("one"), F.max("pip").alias("pip"))
-    first = first.select(*SOURCE, "utc_ms", "bid", "ask", "pip", F.col("one.rank").alias("rank"), F.col("one.id").alias("id"))
+    first = tagged.join(known, "cid", "left_anti").groupBy("cid").agg(F.min(F.struct("rank", "id")).alias("one")).select("cid", F.col("one.rank").alias("rank"), F.col("one.id").alias("id"))
+    first = cut(first)
     cells = [F.floor(x / (tolerance * CELL)).cast("bigint") for x, tolerance in _steps()]
-    earlier = first.select(_hash(cells).alias("h"), *SOURCE, "utc_ms", "bid", "ask", "rank", "id").alias("o")
-    pairs = cut(look.join(earlier, _near() & (F.col("o.rank") < F.col("l.rank"))).select(F.col("l.id").alias("id"), F.col("o.id").alias("on")).distinct())
-    decided = _greedy(pairs.join(known, "id", "left_anti"))
-    late = pairs.join(known.select(F.col("id").alias("on")), "on", "left_anti").join(decided.where("copy").select(F.col("id").alias("on")), "on", "left_anti")
-    copies = known.unionByName(late.select("id", F.col("on").alias("accepted_id"))).groupBy("id").agg(F.min("accepted_id").alias("accepted_id"))
+    earlier = contents.join(first, "cid").select(_hash(cells).alias("h"), *content, "rank", "id").alias("o")
+    pairs = cut(look.join(earlier, _near()).select(F.col("l.cid").alias("cid"), F.col("o.id").alias("on"), F.col("o.rank").alias("on_rank")).distinct())
+    links = first.join(pairs, "cid").where("on_rank < rank").select("id", "on")
+    decided = _greedy(links)
+    accepted_on = pairs.join(decided.where("copy").select(F.col("id").alias("on")), "on", "left_anti")
+    late = tagged.join(accepted_on, "cid").where("on_rank < rank").select("id", F.col("on").alias("accepted_id"))
+    copies = tagged.join(known, "cid").select("id", "accepted_id").unionByName(late).groupBy("id").agg(F.min("accepted_id").alias("accepted_id"))
     copies = cut(copies)
     accepted = lines.join(copies, "id", "left_anti")
     if append:

@@ -142,7 +142,7 @@ def mix(counts: DataFrame, key: str, targets: DataFrame, total: int | None = Non
         "source string, target_share double, max_repeats int, files bigint, available bigint, budget bigint",
     )
     used = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"), F.count("*").alias("files_used"))
-    every = used.agg(F.sum("used").alias("every"))
-    report = goals.join(used, "source", "left").na.fill(0, ["used", "most_copies", "files_used"]).join(F.broadcast(every))
+    report = goals.join(used, "source", "left").na.fill(0, ["used", "most_copies", "files_used"])
+    report = report.withColumn("every", F.sum("used").over(Window.partitionBy()))  # one row per target source
     report = report.select("source", "target_share", F.coalesce(F.try_divide(F.col("used"), F.col("every")), F.lit(0.0)).alias("reached_share"), "max_repeats", "most_copies", "files", "files_used", "available", "budget", "used")
     return mixture, report
