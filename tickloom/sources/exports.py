@@ -99,4 +99,24 @@ def write_pairs(df: DataFrame, root: str) -> None:
     df.repartition("sym").sortWithinPartitions("sym", "utc_ms", "seq").write.mode("overwrite").partitionBy("sym").parquet(root)
 
 
-__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "in_place", "located", "numbered", "read_exports", "read_exports_last_wins", "read_store", "to_storage", "write_pairs", "write_store"]
+def read_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root)
+
+
+def stored_months(spark: SparkSession, root: str, pair: str) -> list[int]:
+    """The months a pair has in the store, from its directories: no data are read."""
+    months = read_store(spark, root, pair).select("yyyymm").distinct()
+    return sorted(r.yyyymm for r in months.collect())
+
+
+def normalize_store(spark: SparkSession, old: dict[str, str], root: str) -> dict[str, dict]:
+    """Rewrite older shards (pair to path) in the store's layout. Their order within a millisecond is lost, which the returned marks say, month by month."""
+    marks = {}
+    for pair, path in sorted(old.items()):
+        df = from_storage(spark.read.parquet(path)).withColumn("sym", F.lit(pair)).withColumn("yyyymm", F.date_format(F.timestamp_millis("utc_ms"), "yyyyMM").cast("int"))
+        write_store(df, root)
+        marks |= {f"{pair}/{m}": {"chronology": "recovered-unordered"} for m in stored_months(spark, root, pair)}
+    return marks
+
+
+__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "in_place", "located", "normalize_store", "numbered", "read_exports", "read_exports_last_wins", "read_pairs", "read_store", "stored_months", "to_storage", "write_pairs", "write_store"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.refresh import Conflict, refresh
 from tickloom.session import cut, scratch_path
-from tickloom.sources.exports import EXPORT, STORE, in_place, located, numbered, read_store, write_store
+from tickloom.sources.exports import EXPORT, STORE, located, read_exports, read_store, write_store
 from tickloom.sources.tables import number
 
 
@@ -68,23 +69,26 @@ def watch_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Call
     """Take export files into the store as they come: oldest first, some per trigger, each on its own.
 
     Per file: read, compare with the stored month, append what is new, write the month back. A file that contradicts the
-    store is reported to ``on_conflict`` (file, reason) and left alone; the others go on. Files younger than ``idle_seconds``
-    are left for the next run. With ``archive``, files that were taken in are moved there by the source itself.
+    store is reported to ``on_conflict`` (file, reason) and left alone; the others go on. A file younger than ``idle_seconds``
+    may still be written: a single pass leaves it for the next one, a continuous one waits until it is old enough. The
+    stream only says which files are there; each is read when its turn comes. With ``archive``, files that the stream
+    has passed are moved there by the source itself.
     """
     reader = spark.readStream.schema(EXPORT).option("header", True).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", "false").option("pathGlobFilter", "*_ticks_*.csv")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     lines = reader.csv(inbox)
-    placed = located(lines.select("*", "_metadata"))
-    placed = placed.withColumn("modified", F.col("_metadata.file_modification_time")).drop("_metadata")
+    placed = located(lines.select("*", "_metadata")).select("_file", F.unix_millis("_metadata.file_modification_time").alias("modified"))
 
     def take(batch: DataFrame, _: int) -> None:
         # One entry per file of this trigger, at most files_per_trigger.
-        files = [r._file for r in batch.where(F.col("modified") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(idle_seconds))).select("_file").distinct().collect()]
-        for f in sorted(files):
-            new = numbered(in_place(batch.where(F.col("_file") == f).drop("modified")), ("_block", "_row"))
+        for f, modified in sorted((tuple(r) for r in batch.distinct().collect()), key=lambda r: r[::-1]):
+            young = idle_seconds - (time.time() - modified / 1000)
+            if young > 0 and once:
+                continue
+            time.sleep(max(0.0, young))
             try:
-                take_in(spark, new, store)
+                take_in(spark, read_exports(spark, f), store)
             except Conflict as why:
                 on_conflict(f, str(why))
 
