@@ -23,6 +23,8 @@ LEAST_COSINE = 0.5
 #: Alignment: a word found, a passage word altered or lost, and each word of the text in between.
 FOUND, LOST, BETWEEN = 1.0, -0.75, -0.12
 LEAST_SCORE, LEAST_SPAN = 14.0, 17
+#: A weaker alignment counts as a paraphrase if the document also holds nearly all of the item's answer in order.
+PARAPHRASE_SCORE, ANSWER_SHARE = 9.0, 0.9
 #: Items are worked on in blocks, so what is sent to the executors is bounded whatever the number of items.
 BLOCK = 2_000
 #: Features are word n-grams of these lengths. Word numbers stay below CODE, so that four of them make a 64-bit code.
@@ -35,6 +37,7 @@ class Passages:
     """What the executors need to know of one block of passages: a function of the evaluation set, not of the corpus."""
 
     texts: list[str]
+    answers: list[list[str]] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
     ids: list[np.ndarray] = field(default_factory=list)
     known: list[np.ndarray] = field(default_factory=list)
@@ -42,6 +45,8 @@ class Passages:
     def __post_init__(self):
         for t in self.texts:
             self.ids.append(np.array([self.vocabulary.setdefault(shape(w), len(self.vocabulary) + 1) for w in words(t)], dtype=np.int64))
+        number = lambda t: np.array([self.vocabulary.setdefault(shape(w), len(self.vocabulary) + 1) for w in words(t)], dtype=np.int64)
+        self.answer_ids = [[number(a) for a in own if words(a)] for own in self.answers] or [[] for _ in self.texts]
         if len(self.vocabulary) >= CODE:
             raise ValueError("too many words in one block of passages; make BLOCK smaller")
         self.known = [np.unique(np.concatenate([np.zeros(0, np.int64), *(self._codes(x, n)[1] for x in self.ids)])) for n in GRAMS]
@@ -180,13 +185,17 @@ def latent_space(spark, p: Passages, weight: np.ndarray, rank: int = RANK) -> tu
             for (f, w), row in zip(sparse, q):
                 np.add.at(out, f, np.outer(w, row))
             used = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float32()))], names=["feature", "b"])
-
-    b = np.zeros((p.features, int(kept.sum())))
-    for r in windows.mapInArrow(columns, "feature bigint, b array<float>").toPandas().itertuples(index=False):
-        b[r[0]] += r[1]
-    left, size, _ = np.linalg.svd(b, full_matrices=False)
-    basis = left[:, : min(rank, int((size > size.max(initial=0) * 1e-9).sum()))].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.tobytes() for r in out[used]], pa.binary())], names=["feature", "b"])
+
+    b = np.zeros((p.features, int(kept.sum())), dtype=np.float32)
+    for r in windows.mapInArrow(columns, "feature bigint, b binary").toLocalIterator():
+        b[r.feature] += np.frombuffer(r.b, dtype=np.float32)
+    # The left singular vectors, from the small Gram matrix.
+    square, right = np.linalg.eigh((b.T @ b).astype(np.float64))
+    top = np.argsort(-square)[:rank]
+    top = top[square[top] > max(square.max(initial=0), 0) * 1e-9]
+    basis = b @ (right[:, top] / np.sqrt(square[top])).astype(np.float32)
+    del b
     vectors, of = [], []
     for i, x in rows:
         _, f = p.hits(np.array(x, dtype=np.int64))
@@ -252,8 +261,17 @@ def verified(p: Passages, x: np.ndarray, begin: np.ndarray, pairs: list[tuple[in
     return out
 
 
-def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[str], least_score: float = LEAST_SCORE, least_span: int = LEAST_SPAN) -> DataFrame:
-    """(key, passage number, score, span) of every document that holds a long stretch of a passage.
+def answer_share(p: Passages, i: int, x: np.ndarray) -> float:
+    """The largest share of one of a passage's answers that a text holds in one place, in order."""
+    scores = [align(a[None], x[None])[0][0] / (FOUND * len(a)) for a in p.answer_ids[i]]
+    return float(max(scores, default=0.0))
+
+
+def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[str], answers: Sequence[Sequence[str]] = (), least_score: float = LEAST_SCORE, least_span: int = LEAST_SPAN) -> DataFrame:
+    """(key, passage number, score, span, answer, kind) of every document that holds a long stretch of a passage.
+
+    ``kind`` is ``passage``, or ``paraphrase`` for a weaker alignment in a document that also holds the answer; ``answer`` is the share
+    of an answer found. ``answers`` has the answers that go with each passage.
 
     1. Words become numbers by canonical shape, so look-alike characters, accents and wrong encodings don't matter; altered
        words stay what they are, and the alignment passes over them.
@@ -266,7 +284,7 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
     Documents are read twice and never shuffled; there is no cap on candidates. NULL and empty texts hold nothing; repeated
     documents are each reported; passages shorter than ``least_span`` words can't be reported.
     """
-    p = Passages(list(passages))
+    p = Passages(list(passages), [list(a) for a in answers])
     spark = documents.sparkSession
     total, df = document_frequencies(documents, text, p)
     weight = np.log((total + 1) / (df + 0.5)).astype(np.float32)
@@ -303,28 +321,40 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
                 near_w, near_p = np.nonzero(z @ unit.T >= LEAST_COSINE)
                 doc = np.searchsorted(begin, start[part[near_w]], side="right") - 1
                 pairs |= set(zip(doc.tolist(), of[near_p].tolist()))
-            rows = [r for r in verified(p, x, begin, list(pairs)) if r[2] >= least_score and r[3] >= least_span]
+            rows = []
+            for d, i, score, span in verified(p, x, begin, list(pairs)):
+                if score >= PARAPHRASE_SCORE:
+                    share = answer_share(p, i, x[begin[d] : begin[d + 1] - 1])
+                    kind_of = "passage" if score >= least_score and span >= least_span else "paraphrase" if share >= ANSWER_SHARE else None
+                    if kind_of:
+                        rows.append((d, i, score, span, share, kind_of))
             if rows:
-                d, i, score, span = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(d)), pa.array(i, pa.int32()), pa.array(score, pa.float64()), pa.array(span, pa.int32())], names=[key, "passage", "score", "span"])
+                d, i, score, span, share, kinds = zip(*rows)
+                columns = [b.column(key).take(pa.array(d)), pa.array(i, pa.int32()), pa.array(score, pa.float64()), pa.array(span, pa.int32()), pa.array(share, pa.float64()), pa.array(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "passage", "score", "span", "answer", "kind"])
 
-    return documents.select(key, text).mapInArrow(search, f"{key} {kind}, passage int, score double, span int")
+    return documents.select(key, text).mapInArrow(search, f"{key} {kind}, passage int, score double, span int, answer double, kind string")
 
 
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
-    """One row per leaked item and document: ``item``, ``key``, score, span. Items that share a passage are all reported.
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, answer: str | None = None) -> DataFrame:
+    """One row per leaked item and document: ``item``, ``key``, score, span, answer, kind. Items that share a passage are all reported.
 
     The evaluation set is a stated query set, taken in blocks of BLOCK passages against all documents; items without a
     passage are never leaked; an empty set gives an empty result.
     """
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item, passage).where(F.col(passage).isNotNull()).toLocalIterator()]
-    texts = sorted({t for _, t in rows})
+    given = items.select(item, passage, F.col(answer) if answer else F.lit(None).cast("string")).where(F.col(passage).isNotNull())
+    rows = [tuple(r) for r in given.toLocalIterator()]
+    own: dict[str, set[str]] = {}
+    for _, t, a in rows:
+        own.setdefault(t, set()).update([a] if a else [])
+    texts = sorted(own)
     kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((items, item), (documents, key))]
-    out = spark.createDataFrame([], f"{kinds[0]}, {kinds[1]}, score double, span int")
+    out = spark.createDataFrame([], f"{kinds[0]}, {kinds[1]}, score double, span int, answer double, kind string")
     for first in range(0, len(texts), BLOCK):
         block = {t: i for i, t in enumerate(texts[first : first + BLOCK])}
-        owners = spark.createDataFrame([(block[t], i) for i, t in rows if t in block], f"passage int, {kinds[0]}")
-        found = passage_leaks(documents, key, text, list(block)).join(owners, "passage").select(item, key, "score", "span")
+        owners = spark.createDataFrame([(block[t], i) for i, t, _ in rows if t in block], f"passage int, {kinds[0]}")
+        found = passage_leaks(documents, key, text, list(block), [sorted(own[t]) for t in block])
+        found = found.join(owners, "passage").select(item, key, "score", "span", "answer", "kind")
         out = found if first == 0 else out.unionByName(found)
     return out

@@ -82,13 +82,14 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage").select("item_id", "doc_id")
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", "answer").where("kind = 'passage'").select("item_id", "doc_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per leaked item: the documents that give it away and the longest stretch found in one."""
-    found = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("span").alias("longest_span"))
+    """Per leaked item: the documents that give it away, those that hold the answer too, paraphrases, and the longest stretch."""
+    found = leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", "answer")
+    whole, answered = F.col("kind") == "passage", F.col("answer") >= 0.9
+    return found.groupBy("item_id").agg(F.count_if(whole).alias("documents"), F.count_if(whole & answered).alias("with_answer"), F.count_if(~whole).alias("paraphrases"), F.max("span").alias("longest_span"))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
