@@ -156,7 +156,7 @@ def test_bootstrap_matches_direct_resampling(spark):
     rows = [(s, d, rng.random() < 0.4, rng.random() * 2, rng.random(), rng.random()) for d in days for s in "AB"]
     df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, expansion_ratio double, absr_60m double, absr_180m double")
     assert T.block_layout(45, 20) == [(0, 20), (20, 40), (40, 45)]
-    draws = T.date_multiplicities(45, 20, 20, 42)
+    draws = [tuple(r) for r in T.date_multiplicities(spark, 45, 20, 20, 42).collect()]
     assert all(sum(t for r, _, t in draws if r == k) == 45 for k in range(20))
     got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42).collect()}
     direct = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.frozen import FROZEN
@@ -118,20 +119,30 @@ def block_layout(n: int, length: int) -> list[tuple[int, int]]:
     return [(i, min(i + length, n)) for i in range(0, n, length)]
 
 
-def date_multiplicities(n: int, draws: int, length: int, seed: int) -> list[tuple[int, int, int]]:
-    """(replicate, date index, times): disjoint blocks of dates drawn with replacement until they cover n dates, then cut to n."""
-    rng = np.random.default_rng(seed)
+def replicate(n: int, length: int, seed: int, r: int) -> np.ndarray:
+    """How often each of n dates is drawn in replicate r: disjoint blocks with replacement until they cover n dates, then cut to n."""
+    rng = np.random.default_rng((seed, r))
     blocks = block_layout(n, length)
-    out = []
-    for r in range(draws):
-        times, have = np.zeros(n, dtype=np.int64), 0
-        while have < n:
-            a, b = blocks[int(rng.integers(0, len(blocks)))]
-            b = min(b, a + n - have)
-            times[a:b] += 1
-            have += b - a
-        out += [(r, int(i), int(times[i])) for i in np.flatnonzero(times)]
-    return out
+    times, have = np.zeros(n, dtype=np.int64), 0
+    while have < n:
+        a, b = blocks[int(rng.integers(0, len(blocks)))]
+        b = min(b, a + n - have)
+        times[a:b] += 1
+        have += b - a
+    return times
+
+
+def date_multiplicities(spark: SparkSession, n: int, draws: int, length: int, seed: int) -> DataFrame:
+    """(replicate, i, times) of every date drawn. Each replicate has a seed of its own, so they are drawn where they are used."""
+
+    def draw(batches):
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                times = replicate(n, length, seed, r)
+                at = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(at), pa.array(times[at])], names=["replicate", "i", "times"])
+
+    return spark.range(draws).mapInArrow(draw, "replicate bigint, i bigint, times bigint")
 
 
 STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over")
@@ -153,14 +164,13 @@ def _statistics(times: Column) -> list[Column]:
 def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed) -> DataFrame:
     """Point differences and 95% intervals by resampling blocks of dates, the whole panel of a date staying together.
 
-    The draws are made once, as (replicate, date, times), and joined to the panel by date; each replicate is then one group of
-    weighted aggregates, so no sample is ever written out. The draws are draws x dates at most, and the dates are days of a
-    calendar. Returns statistic, point, low, high and valid draws; no interval under max(100, 0.9 draws) valid ones
-    (for tests with few draws: 0.9 draws).
+    The draws are (replicate, date, times), joined to the panel by date; each replicate is then one group of weighted
+    aggregates, so no sample is ever written out. Dates are days of a calendar, numbered in order.
+    Returns statistic, point, low, high and valid draws; no interval under max(100, 0.9 draws) valid ones (for tests with few
+    draws: 0.9 draws).
     """
-    spark = panel.sparkSession
-    days = [r.day for r in panel.select("day").distinct().orderBy("day").toLocalIterator()]
-    drawn = spark.createDataFrame([(r, days[i], t) for r, i, t in date_multiplicities(len(days), draws, length, seed)], "replicate int, day date, times bigint")
+    days = panel.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+    drawn = date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i")
     replicas = panel.select("day", "compressed", "expansion_ratio", "absr_60m", "absr_180m").join(drawn, "day").groupBy("replicate").agg(*_statistics(F.col("times")))
     point = panel.withColumn("times", F.lit(1)).agg(*_statistics(F.col("times")))
     stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("s")).select("s.*")
