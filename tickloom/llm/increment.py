@@ -62,8 +62,9 @@ class History:
     The table lies in the shared folder; a lost executor costs nothing but re-reading its files.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, name: str | None = None):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None):
+        """``buckets`` stays for the table's life: by default as many as the cluster shuffles into, 64 at least."""
+        self.spark, self.buckets = spark, buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = name or f"accepted_{uuid.uuid4().hex}"
         self.path = scratch_path(spark, self.name)
         self.made = False
