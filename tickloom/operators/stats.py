@@ -169,9 +169,10 @@ def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: i
     Returns statistic, point, low, high and valid draws; no interval under max(100, 0.9 draws) valid ones (for tests with few
     draws: 0.9 draws).
     """
+    panel = cut(panel.select("day", "compressed", "expansion_ratio", "absr_60m", "absr_180m"))
     days = panel.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     drawn = date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i")
-    replicas = panel.select("day", "compressed", "expansion_ratio", "absr_60m", "absr_180m").join(drawn, "day").groupBy("replicate").agg(*_statistics(F.col("times")))
+    replicas = panel.join(drawn, "day").groupBy("replicate").agg(*_statistics(F.col("times")))
     point = panel.withColumn("times", F.lit(1)).agg(*_statistics(F.col("times")))
     stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("s")).select("s.*")
     least = max(100, 0.9 * draws) if draws >= 112 else 0.9 * draws

@@ -45,8 +45,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return quotes.unionByName(gates).distinct()
 
 
+def p6_gates(spark: SparkSession, d: str) -> DataFrame:
+    return count_cases(table(spark, d, "data_gates"))
+
+
+def p6_prices_and_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The cases that need no forecast, with their reasons: what SQL can state of the quotes' cases."""
+    return quote_cases(table(spark, d, "ticks"), table(spark, d, "quote_sources")).where("reason <> 'excursion'")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_trailing, p2_found, p2_series, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_trailing, p2_found, p2_series, p6_found, p6_gates, p6_prices_and_stuck)}
 
 
 _SESSIONS = """
@@ -74,11 +83,41 @@ grid AS (SELECT feed, pair, unnest(generate_series(a, z, 300000)) AS bar_ms FROM
 """
 
 
+_GATES = """
+WITH g AS (SELECT gate_id, feed, pair, yyyymm, total_ticks, 'negative_spread' AS field, negative_spread AS n FROM data_gates
+  UNION ALL SELECT gate_id, feed, pair, yyyymm, total_ticks, 'jump_gt_2pct', jump_gt_2pct FROM data_gates),
+m AS (SELECT feed, pair, field, quantile_cont(n, 0.5) AS usual FROM g GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY feed, pair ORDER BY yyyymm) AS place FROM (SELECT DISTINCT feed, pair, yyyymm FROM data_gates)),
+s AS (SELECT DISTINCT feed, pair, field, n, yyyymm, place FROM g JOIN r USING (feed, pair, yyyymm) WHERE n > 0),
+i AS (SELECT *, place - row_number() OVER (PARTITION BY feed, pair, field, n ORDER BY yyyymm) AS island FROM s),
+l AS (SELECT *, count(*) OVER (PARTITION BY feed, pair, field, n, island) AS months FROM i)
+SELECT gate_id, field, 'impossible' AS reason FROM g WHERE n < 0 OR n > total_ticks
+UNION ALL SELECT gate_id, field, 'spike' FROM g JOIN m USING (feed, pair, field) WHERE n > 200 AND n > 20 * usual
+UNION ALL SELECT gate_id, field, 'stuck' FROM g JOIN l USING (feed, pair, field, n, yyyymm) WHERE months >= 5
+"""
+
+_STUCK = """
+WITH t AS (SELECT feed, pair, utc_ms, seq, tick_id, bid, ask FROM ticks
+  WHERE utc_ms IS NOT NULL AND bid IS NOT NULL AND NOT isnan(bid) AND ask IS NOT NULL AND NOT isnan(ask)),
+s AS (SELECT *, CASE WHEN bid = lag(bid) OVER w AND utc_ms - lag(utc_ms) OVER w <= 3600000 THEN 0 ELSE 1 END AS nb,
+  CASE WHEN ask = lag(ask) OVER w AND utc_ms - lag(utc_ms) OVER w <= 3600000 THEN 0 ELSE 1 END AS na
+  FROM t WINDOW w AS (PARTITION BY feed, pair ORDER BY utc_ms, seq, tick_id)),
+r AS (SELECT *, sum(nb) OVER w AS rb, sum(na) OVER w AS ra FROM s WINDOW w AS (PARTITION BY feed, pair ORDER BY utc_ms, seq, tick_id)),
+l AS (SELECT *, count(*) OVER b AS cb, max(utc_ms) OVER b - min(utc_ms) OVER b AS db, count(*) OVER a AS ca, max(utc_ms) OVER a - min(utc_ms) OVER a AS da
+  FROM r WINDOW b AS (PARTITION BY feed, pair, rb), a AS (PARTITION BY feed, pair, ra))
+SELECT tick_id, 'price' AS reason FROM t WHERE bid <= 0 OR ask <= 0 OR ask < bid
+UNION ALL SELECT tick_id, 'stuck_bid' FROM l WHERE cb >= 30 AND db >= 1200000
+UNION ALL SELECT tick_id, 'stuck_ask' FROM l WHERE ca >= 30 AND da >= 1200000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     fit = "CASE WHEN coalesce(b.n, 0) > 0 OR k.support >= 1.5 THEN round(coalesce(CASE WHEN s0*s2 - s1*s1 > 1e-6*s0*s0 THEN (s2*{c}0 - s1*{c}1) / (s0*s2 - s1*s1) END, CASE WHEN s0 > 0 THEN {c}0 / s0 END, b.m{c}), 6) END AS {n}_fit"
     return {
         "p1_found": _SESSIONS + f"SELECT feed, pair, strftime(day, '%Y-%m-%d') AS london_date FROM rolled WHERE day >= first + 29 AND total_7 > {WEEK_SHARE} * total_30",
         "p1_trailing": _SESSIONS + "SELECT feed, pair, strftime(day, '%Y-%m-%d') AS london_date, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("total_7", "avg_7", "total_30", "avg_30")) + ", days_7, days_30 FROM rolled",
+        "p6_gates": _GATES,
+        "p6_prices_and_stuck": _STUCK,
         "p2_found": _BARS + "SELECT g.feed, g.pair, g.bar_ms FROM grid g ANTI JOIN b USING (feed, pair, bar_ms)",
         "p2_series": _BARS + """, near AS (
   SELECT g.feed, g.pair, g.bar_ms, (t.utc_ms - (g.bar_ms + 150000)) / 450000.0 AS u, t.bid, t.ask FROM grid g JOIN t
