@@ -145,20 +145,39 @@ def date_multiplicities(spark: SparkSession, n: int, draws: int, length: int, se
     return spark.range(draws).mapInArrow(draw, "replicate bigint, i bigint, times bigint")
 
 
+def weighted_medians(joined: DataFrame) -> DataFrame:
+    """(replicate, compressed, median) of ``expansion_ratio`` with weights ``times``, exact and interpolated, without a map of values per group.
+
+    ``class`` numbers ranges of values in order. Weights are added per (replicate, flag, class), which says in which class the two
+    middle ranks lie; only that class's rows are then put in order. Any ranges give the same medians; even ones make the classes small.
+    """
+    rows = joined.where("expansion_ratio IS NOT NULL").select("replicate", "compressed", "class", "expansion_ratio", "times")
+    key = ["replicate", "compressed"]
+    sums = rows.groupBy(*key, "class").agg(F.sum("times").alias("w"))
+    ordered = Window.partitionBy(*key).orderBy("class")
+    sums = sums.withColumn("upto", F.sum("w").over(ordered)).withColumn("h", (F.sum("w").over(Window.partitionBy(*key)) - 1) / 2.0)
+    sums = sums.withColumn("before", F.col("upto") - F.col("w"))
+    middle = sums.where((F.col("upto") > F.floor("h")) & (F.col("before") <= F.ceil("h"))).select(*key, "class", "before", "h")
+    near = rows.join(middle, [*key, "class"]).groupBy(*key, "class", "before", "h", "expansion_ratio").agg(F.sum("times").alias("w"))
+    near = near.withColumn("last", F.col("before") + F.sum("w").over(Window.partitionBy(*key, "class").orderBy("expansion_ratio"))).withColumn("first", F.col("last") - F.col("w"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") > rank), F.col("expansion_ratio")))
+    ends = near.groupBy(*key).agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("part"))
+    return ends.select(*key, (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("median"))
+
+
 STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over")
 
 
-def _statistics(times: Column) -> list[Column]:
-    """Six differences compressed minus other, every row weighing ``times``."""
-    out = []
-    weighted = lambda c, flag: F.try_divide(F.sum(F.when(flag & c.isNotNull(), c * times)), F.sum(F.when(flag & c.isNotNull(), times)))
+def _statistics(joined: DataFrame) -> DataFrame:
+    """Per replicate five differences compressed minus other, every row weighing ``times``."""
+    weighted = lambda c, flag: F.try_divide(F.sum(F.when(flag & c.isNotNull(), c * F.col("times"))), F.sum(F.when(flag & c.isNotNull(), F.col("times"))))
     yes, no = F.col("compressed"), ~F.col("compressed")
     er = F.col("expansion_ratio")
-    median = lambda flag: F.percentile(F.when(flag, er), F.lit(0.5), F.when(flag & er.isNotNull(), times).otherwise(0))
-    out.append((median(yes) - median(no)).alias("ratio_median"))
+    means = []
     for name, c in (("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), ("share_over", F.coalesce((er > 1).cast("double"), F.lit(0.0)))):
-        out.append((weighted(c, yes) - weighted(c, no)).alias(name))
-    return out
+        means.append((weighted(c, yes) - weighted(c, no)).alias(name))
+    medians = weighted_medians(joined).groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
+    return joined.groupBy("replicate").agg(*means).join(medians, "replicate", "left")
 
 
 def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed) -> DataFrame:
@@ -170,10 +189,12 @@ def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: i
     draws: 0.9 draws).
     """
     panel = cut(panel.select("day", "compressed", "expansion_ratio", "absr_60m", "absr_180m"))
+    bounds = panel.agg(F.percentile_approx("expansion_ratio", [i / 128 for i in range(1, 128)]).alias("b")).first()["b"] or []
+    panel = cut(panel.withColumn("class", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("expansion_ratio"))) if bounds else F.lit(0)))
     days = panel.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     drawn = date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i")
-    replicas = panel.join(drawn, "day").groupBy("replicate").agg(*_statistics(F.col("times")))
-    point = panel.withColumn("times", F.lit(1)).agg(*_statistics(F.col("times")))
+    replicas = _statistics(panel.join(drawn, "day"))
+    point = _statistics(panel.withColumn("replicate", F.lit(0)).withColumn("times", F.lit(1)))
     stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("s")).select("s.*")
     least = max(100, 0.9 * draws) if draws >= 112 else 0.9 * draws
     ci = stack(replicas).groupBy("statistic").agg(F.count("v").alias("valid"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
