@@ -82,6 +82,37 @@ def test_excursions_are_told_from_level_changes():
     assert not spikes.excursions(bid, bid + 6e-5, float("nan")).any()
 
 
+def _excursions_by_search(bid, ask, step):
+    """Every run of up to FEW quotes after the last sound one held against every possible sound quote after, without a forecast."""
+    far, n, few, out = spikes.STEPS * step * (1 + 1e-9), len(bid), spikes.FEW, set()
+    near = lambda i, j: abs(bid[i] - bid[j]) <= far and abs(ask[i] - ask[j]) <= far
+    lasts = lambda i: sum(near(k, i) for k in range(i + 1, min(n, i + 1 + few))) * 2 > min(few, n - 1 - i)
+    away = lambda j, s, e: any(min(g * (x[j] - x[s]), g * (x[j] - x[e])) > far for x in (bid, ask) for g in (1, -1))
+    s, i = 0, 1
+    while i < n:
+        ends = [] if near(i, s) else [e for e in range(i + 1, min(n, i + few + 1)) if (near(e, s) or lasts(e)) and all(away(j, s, e) for j in range(i, e))]
+        if ends:
+            out |= set(range(i, ends[-1]))
+            i = ends[-1]
+        s, i = i, i + 1
+    return out
+
+
+@pytest.mark.parametrize("shift", [0, 9.7, 15, 39, 60, 100, -25])
+def test_excursions_where_the_level_moves_across_them(shift):
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        bid = 1.1 + np.cumsum(rng.choice([-1e-5, 0, 1e-5], 400))
+        want = set()
+        for k in (60, 150, 240, 330, 395):
+            long = int(rng.integers(1, 4)) if k < 395 else 1
+            bid[k + long :] += shift * 1e-5
+            bid[k : k + long] += (1 if rng.random() < 0.5 else -1) * 216e-5
+            want |= set(range(k, k + long))
+        marks = set(np.flatnonzero(spikes.excursions(bid, bid + 6e-5, 1e-5)).tolist())
+        assert marks == want == _excursions_by_search(bid, bid + 6e-5, 1e-5)
+
+
 def _ticks(spark, rows):
     schema = "tick_id bigint, feed string, pair string, utc_ms bigint, seq bigint, bid double, ask double, part string, step double, kind string"
     return spark.createDataFrame([(i, "f", p, t, s, b, a, "x", 9.0, "y") for i, (p, t, s, b, a) in enumerate(rows)], schema)

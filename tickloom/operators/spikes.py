@@ -2,9 +2,11 @@
 
 Quotes. A local-level model per source forecasts bid and ask; both share one gain because they share noise settings in
 units of the source's own median step. An innovation above the threshold marks the quote as a candidate, whose update is
-withheld. When quotes agree with the forecast again, the exact check follows: a candidate is an excursion if it lies more
-than ``steps`` median steps away, to the same side, from the last sound quote before and the first after. If candidates
-go on for more than ``few`` quotes the level has changed for good; the filter restarts at the first of them.
+withheld. When quotes agree with the forecast again, or candidates go on for more than ``few`` quotes, the exact check
+follows: a run of candidates is an excursion if each lies more than ``steps`` median steps away, to the same side, from the
+last sound quote before and the first after. The forecast doesn't choose the quote after: every waiting quote is tried as
+one, and counts if it is within ``steps`` of the quote before or most of the ``few`` quotes behind it are within ``steps`` of it.
+If candidates go on the level has changed for good; the filter restarts behind their excursion, or else at the first of them.
 Stretches whose innovations vanish (exactly the same price) are stuck once long enough in rows and in time.
 
 Nothing here needs a whole source in one task: see ``pieces``. A partition's first and last piece leave their outermost
@@ -80,7 +82,8 @@ def excursions(bid: np.ndarray, ask: np.ndarray, step: float, steps: float = STE
     """Marks of the quotes that belong to an excursion; quotes that are impossible in themselves are passed over.
 
     Without a known median step there is no normal behaviour to compare with and nothing is marked. Candidates at the
-    very start or end of the sequence have no sound quote on one side and are not marked.
+    very start or end of the sequence have no sound quote on one side and are not marked. Of several possible ends of an
+    excursion the last counts.
     """
     marks = np.zeros(len(bid), dtype=bool)
     if not step > 0:
@@ -94,7 +97,35 @@ def excursions(bid: np.ndarray, ask: np.ndarray, step: float, steps: float = STE
     xb = xa = 0.0
     sound = i = 0
     n = len(b)
-    while i < n:
+
+    def near(j: int, s: int) -> bool:
+        return abs(b[j] - b[s]) <= far and abs(a[j] - a[s]) <= far
+
+    def away(j: int, s: int, e: int) -> bool:
+        b0, a0, b1, a1 = b[s], a[s], b[e], a[e]
+        return (b[j] - b0 > far and b[j] - b1 > far) or (b0 - b[j] > far and b1 - b[j] > far) or (a[j] - a0 > far and a[j] - a1 > far) or (a0 - a[j] > far and a1 - a[j] > far)
+
+    def lasting(j: int) -> bool:
+        return 2 * sum(near(k, j) for k in range(j + 1, min(j + 1 + few, n))) > min(few, n - 1 - j)
+
+    def end_of(w: list[int], x: int, s: int, closed: bool) -> int:
+        """Place in ``w`` of the sound quote after the excursion that begins at place x; 0 if there is none. ``closed``: the last of ``w`` is sound."""
+        if near(w[x], s):
+            return 0
+        for y in range(min(len(w) - 1, x + few), x, -1):
+            if all(away(j, s, w[y]) for j in w[x:y]) and ((closed and y == len(w) - 1) or near(w[y], s) or lasting(w[y])):
+                return y
+        return 0
+
+    while i < n or waiting:
+        if i == n or len(waiting) > few:
+            # Nothing has come back to the forecast: an excursion may still end at a level that differs from the one before.
+            y = end_of(waiting, 0, sound, False)
+            marks[at[waiting[:y]]] = True
+            if i == n and not y and not near(waiting[0], sound) and not lasting(waiting[0]):
+                break
+            i, spread, waiting = waiting[y], -1.0, []
+            continue
         if spread < 0:
             xb, xa, spread, sound = b[i], a[i], noise, i
             i += 1
@@ -105,10 +136,14 @@ def excursions(bid: np.ndarray, ask: np.ndarray, step: float, steps: float = STE
         bound = gate * total
         if db * db <= bound and da * da <= bound:
             if waiting:
-                b0, a0, b1, a1 = b[sound], a[sound], b[i], a[i]
-                for j in waiting:
-                    if (b[j] - b0 > far and b[j] - b1 > far) or (b0 - b[j] > far and b1 - b[j] > far) or (a[j] - a0 > far and a[j] - a1 > far) or (a0 - a[j] > far and a1 - a[j] > far):
-                        marks[at[j]] = True
+                waiting.append(i)
+                x = 0
+                while x < len(waiting) - 1:
+                    y = end_of(waiting, x, sound, True)
+                    marks[at[waiting[x:y]]] = True
+                    x = max(x, y)
+                    sound = waiting[x]
+                    x += 1
                 waiting = []
             gain = ahead / total
             xb += gain * db
@@ -117,9 +152,6 @@ def excursions(bid: np.ndarray, ask: np.ndarray, step: float, steps: float = STE
             sound = i
         else:
             waiting.append(i)
-            if len(waiting) > few:
-                i, spread, waiting = waiting[0], -1.0, []
-                continue
         i += 1
     return marks
 
