@@ -167,6 +167,46 @@ def test_bootstrap_matches_direct_resampling(spark):
     assert T.decide((0.1, 0.2), [(0.1, 0.3)], 1.0) == "PASS" and T.decide((0.1, 0.2), [None, (-1, 1)], 1.0) == "MECHANICAL" and T.decide(None, [], 1.0) == "FAIL"
 
 
+def test_bootstrap_has_the_share_over_one_and_a_half(spark):
+    import datetime as dt
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    rows = [("A", d, i % 2 == 0, (1.6 if i % 8 == 0 else 1.2) if i % 2 == 0 else 0.5, 0.1, 0.1) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, expansion_ratio double, absr_60m double, absr_180m double")
+    got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42).collect()}
+    assert len(got) == 6 and got["share_over"].point == 1.0 and got["share_over_15"].point == pytest.approx(0.25)
+    # Its two blocks have 3 and 2 of 10 such days.
+    assert (got["share_over_15"].low, got["share_over_15"].high, got["share_over_15"].valid) == (pytest.approx(0.2), pytest.approx(0.3), 20)
+
+
+def test_registered_bootstraps_draw_in_full(monkeypatch):
+    from tickloom.plans import catalogue
+
+    asked = []
+
+    def stop(*_, draws=FROZEN.draws, **__):
+        asked.append(draws)
+        raise InterruptedError
+
+    for name in ("joint_block_bootstrap", "moving_block_interval"):
+        monkeypatch.setattr(T, name, stop)
+    monkeypatch.setattr(catalogue, "_flagged", lambda *_: _Rows())
+    for query in (catalogue.bst_02_joint_block, catalogue.bst_01_block_ci, catalogue.gat_02_decision):
+        with pytest.raises(InterruptedError):
+            query(None, None)
+    assert asked == [FROZEN.draws] * 3 == [2000] * 3
+
+
+class _Rows:
+    """Stands for any table: each method gives it back, and it has no rows."""
+
+    def __getattr__(self, _):
+        return lambda *a, **k: self
+
+    def __iter__(self):
+        return iter(())
+
+
 def month(spark, rows, start=0):
     return spark.createDataFrame([("P", 202601, BASE + t, b, b + 0.0001, start + i) for i, (t, b) in enumerate(rows)], "sym string, yyyymm int, utc_ms bigint, bid double, ask double, seq bigint")
 

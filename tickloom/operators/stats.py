@@ -165,16 +165,17 @@ def weighted_medians(joined: DataFrame) -> DataFrame:
     return ends.select(*key, (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("median"))
 
 
-STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over")
+STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over", "share_over_15")
 
 
 def _statistics(joined: DataFrame) -> DataFrame:
-    """Per replicate five differences compressed minus other, every row weighing ``times``."""
+    """Per replicate six differences compressed minus other, every row weighing ``times``."""
     weighted = lambda c, flag: F.try_divide(F.sum(F.when(flag & c.isNotNull(), c * F.col("times"))), F.sum(F.when(flag & c.isNotNull(), F.col("times"))))
     yes, no = F.col("compressed"), ~F.col("compressed")
     er = F.col("expansion_ratio")
     means = []
-    for name, c in (("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), ("share_over", F.coalesce((er > 1).cast("double"), F.lit(0.0)))):
+    over = [(n, F.coalesce((er > e).cast("double"), F.lit(0.0))) for n, e in zip(("share_over", "share_over_15"), FROZEN.events)]
+    for name, c in (("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), *over):
         means.append((weighted(c, yes) - weighted(c, no)).alias(name))
     medians = weighted_medians(joined).groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
     return joined.groupBy("replicate").agg(*means).join(medians, "replicate", "left")

@@ -348,21 +348,21 @@ def sta_02_two_prop_z(spark, d):
 
 @query()
 def bst_02_joint_block(spark, d):
-    return T.joint_block_bootstrap(_flagged(spark, d), draws=200)
+    return T.joint_block_bootstrap(_flagged(spark, d), draws=FROZEN.draws)
 
 
 @query()
 def bst_01_block_ci(spark, d):
     """Mean difference of the daily mean ratio, flagged against others: one value per date, so both series fit the driver."""
     days = _flagged(spark, d).groupBy("day").agg(F.avg(F.when(F.col("compressed"), F.col("expansion_ratio"))).alias("a"), F.avg(F.when(~F.col("compressed"), F.col("expansion_ratio"))).alias("b")).orderBy("day").collect()
-    found = T.moving_block_interval([r.a for r in days], [r.b for r in days], draws=500) or (None, None, None)
+    found = T.moving_block_interval([r.a for r in days], [r.b for r in days], draws=FROZEN.draws) or (None, None, None)
     return spark.createDataFrame([("expansion_ratio", *found)], "value string, difference double, low double, high double")
 
 
 @query()
 def gat_02_decision(spark, d):
     flagged = _flagged(spark, d)
-    ci = {r.statistic: (r.low, r.high) if r.low is not None else None for r in T.joint_block_bootstrap(flagged, draws=120).collect()}
+    ci = {r.statistic: (r.low, r.high) if r.low is not None else None for r in T.joint_block_bootstrap(flagged, draws=FROZEN.draws).collect()}
     signs = T.mean_difference(flagged, "expansion_ratio").agg(F.avg((F.col("difference") > 0).cast("double"))).first()[0] or 0.0
     return spark.createDataFrame([(T.decide(ci["ratio_median"], [ci["r60_mean"], ci["r180_mean"]], signs), float(signs))], "verdict string, positive_share double")
 
