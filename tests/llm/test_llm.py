@@ -268,3 +268,32 @@ def test_near_copies_link_the_shorter(spark):
     rows = [(1, full[:-9], "b"), (2, full, "b"), (3, full, "b"), (4, _file(rng, 20), "b")]
     found = C._summaries(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
     assert [r.id for r in C.near_copies(found.where("id IS NOT NULL")).collect()] == [1]
+
+
+def _timed(bodies, last=2000):
+    """A file of these cues, each 2 s but the last ``last`` ms."""
+    stamp = lambda ms: f"00:{ms // 60_000:02}:{ms // 1000 % 60:02},{ms % 1000:03}"
+    return "\n".join(f"{i + 1}\n{stamp(3000 * i)} --> {stamp(3000 * i + (last if i + 1 == len(bodies) else 2000))}\n{b}\n" for i, b in enumerate(bodies))
+
+
+def _near(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    return sorted(r.id for r in C.near_copies(C._summaries(df, "doc_id", "text", "source").where("id IS NOT NULL")).collect())
+
+
+def test_near_copies_meet_every_continuation(spark):
+    body = list(range(100, 120))
+    cut = [(i, 500 + i, 10, 1000 + i, [*body, 7], [2000] * 21, [1, 2]) for i in range(1, 6)]  # the same words last, of different content
+    full, longest = (10, 600, 10, 1010, [*body, 8], [2000] * 21, [1, 2]), (11, 700, 10, 1011, [*body, 8, 9], [1900] * 22, [1, 2])
+    rows = spark.createDataFrame([*cut, full, longest], "id bigint, chars bigint, length int, content bigint, hashes array<bigint>, durations array<int>, bands array<bigint>")
+    assert {r.id: r.of for r in C.near_copies(rows).collect()} == {i: 10 for i in range(1, 6)}
+
+
+def test_near_copies_with_a_repeated_line(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    body = [" ".join(words[10 * i : 10 * i + 10]) + "." for i in range(30)]
+    for repeated in ("Yes.", "♪"):
+        body[4] = body[29] = repeated
+        end = " ".join(words[300:310])
+        assert _near(spark, [(1, _timed([*body, end[:20] + "."], 2500), "a"), (2, _timed([*body, end + "."], 2500), "a")]) == [1]
