@@ -270,6 +270,14 @@ def test_near_copies_link_the_shorter(spark):
     assert [r.id for r in C.near_copies(found.where("id IS NOT NULL")).collect()] == [1]
 
 
+def test_texts_cut_in_their_first_cue(spark):
+    cut = ["1", "1\r\n", "\ufeff1\n00:0", "1\n00:00:01,000 -->", "1\n00:00:01,000 --> 00:00:0…"]
+    whole = ["", None, " \n", "no cues here", "1 of 3", "\ufeff"]
+    df = spark.createDataFrame([(i, x, "a") for i, x in enumerate([*cut, *whole])], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.reason for r in C.truncated(df, "doc_id", "text", "source").collect()}
+    assert got == {i: "structure" if i < len(cut) else None for i in range(len(cut) + len(whole))}
+
+
 def _timed(bodies, last=2000):
     """A file of these cues, each 2 s but the last ``last`` ms."""
     stamp = lambda ms: f"00:{ms // 60_000:02}:{ms // 1000 % 60:02},{ms % 1000:03}"
