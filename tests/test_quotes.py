@@ -259,3 +259,24 @@ def test_barrier_race(spark):
     starts = spark.createDataFrame([("P", BASE, 1.0), ("P", BASE + 86_400_000, 1.0)], "sym string, at_ms bigint, p0 double")
     out = lambda w, n: [r.outcome for r in Y.barrier_race(starts, bars, F.lit(w), least_bars=n).orderBy("at_ms").collect()]
     assert out(0.04, 3) == ["up", "unknown"] and out(0.1, 3) == ["both", "unknown"] and out(0.5, 3) == ["neither", "unknown"] and out(0.5, 4) == ["unknown", "unknown"]
+
+
+def test_every_bar_is_raced(spark, monkeypatch):
+    import random
+
+    from tickloom.plans import rules
+
+    rng, at, level, rows = random.Random(4), BASE, 1.0, []
+    for _ in range(150):
+        at += rng.choice([5, 5, 5, 10, 40]) * M
+        level *= 1 + rng.gauss(0, 2e-4)
+        rows.append(("P", at, level * (1 + rng.random() * 3e-4), level * (1 - rng.random() * 3e-4), level))
+    bars = spark.createDataFrame(rows, "sym string, bar_ms bigint, bid_h double, bid_l double, mid_c double")
+    monkeypatch.setattr(rules, "_five", lambda *_: bars)
+    want = {}
+    for _, t, _, _, p0 in rows:
+        inside = [r for r in rows if t <= r[1] < t + 60 * M]
+        up, down = (min((r[1] for r in inside if hit(r)), default=None) for hit in (lambda r: r[2] >= p0 + p0 * 0.0005, lambda r: r[3] <= p0 - p0 * 0.0005))
+        neither = "unknown" if len(inside) < 10 else "neither"
+        want[t] = neither if up is None and down is None else "both" if up == down else "up" if down is None or (up is not None and up < down) else "down"
+    assert len(set(want.values())) > 2 and {r.at_ms: r.outcome for r in rules.sp_18_barrier_race_all(None, None).collect()} == want

@@ -188,6 +188,13 @@ def sp_18_barrier_race(spark, d):
     return Y.barrier_race(starts, b, F.col("p0") * F.lit(0.0005))
 
 
+@query()
+def sp_18_barrier_race_all(spark, d):
+    """The race from every five-minute bar; ``sp_18_barrier_race`` and its SQL race those that begin an hour."""
+    b = _five(spark, d)
+    return Y.barrier_race(b.select("sym", F.col("bar_ms").alias("at_ms"), F.col("mid_c").alias("p0")), b, F.col("p0") * F.lit(0.0005))
+
+
 @query(
     _B5 + f""", w AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b5), o AS (SELECT sym, CAST(lt AS DATE) AS day, hour(lt) * 60 + minute(lt) - 540 AS m, bar_ms, mid_c FROM w),
 f AS (SELECT *, CAST(CASE WHEN m >= -120 AND m < -60 THEN -120 WHEN m >= -60 AND m < -30 THEN -60 WHEN m >= -30 AND m < 0 THEN -30 WHEN m >= 0 AND m < 30 THEN 0 WHEN m >= 30 AND m < 60 THEN 30 END AS INT) AS win FROM o)
