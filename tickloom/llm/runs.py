@@ -46,7 +46,7 @@ def collapse_runs(
     order = [*ks, "t", *ts]
     numbers = [f"{side}_{a}" for a in vs for side in ("first", "last")]
     names = [*ks, "start_ms", *ts, "end_ms", "n", *numbers, *(f"{a}x" for a in vs), "part", "side"]
-    kinds = {**dict.fromkeys(ks, "string"), **dict.fromkeys(["start_ms", *ts, "end_ms", "n"], "bigint"), "part": "int", "side": "int"}
+    kinds = {**dict.fromkeys(ks, "string"), **dict.fromkeys(["start_ms", *ts, "end_ms", "n"], "bigint"), "part": "bigint", "side": "int"}
     schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names)
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     arrow_schema = pa.schema([(c, arrow[kinds.get(c, "double")]) for c in names])
@@ -69,7 +69,7 @@ def collapse_runs(
             side[0] = 2
         kept = np.flatnonzero((n >= least) | (side >= 0))
         first, last = pa.array(start[kept]), end[kept] - 1
-        made = {"start_ms": time[start[kept]], "end_ms": time[last], "n": n[kept], "part": np.full(len(kept), part, dtype=np.int32), "side": side[kept]}
+        made = {"start_ms": time[start[kept]], "end_ms": time[last], "n": n[kept], "part": np.full(len(kept), part, dtype=np.int64), "side": side[kept]}
         made |= {f"first_{a}": value[a][start[kept]] for a in vs} | {f"last_{a}": value[a][last] for a in vs}
         yield from pa.Table.from_arrays([pa.array(made[c]) if c in made else table.column(c).take(first) for c in names], schema=arrow_schema).to_batches(100_000)
 
