@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import spikes
+from tickloom.operators import pieces, spikes
 from tickloom.operators.regular_grid import regular_series
 from tickloom.operators.rolling import trailing_totals
 from tickloom.operators.spikes import count_cases, quote_cases
@@ -142,9 +142,11 @@ def _brute(rows, pip):
     return out
 
 
-@pytest.mark.parametrize("edge", [256, 16])
-def test_quote_cases_do_not_depend_on_partitions(spark, monkeypatch, edge):
+@pytest.mark.parametrize(("edge", "chunk"), [(256, 1_000_000), (16, 1_000_000), (16, 150), (16, 1)])
+def test_quote_cases_do_not_depend_on_partitions(spark, monkeypatch, edge, chunk):
     monkeypatch.setattr(spikes, "EDGE", edge)
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if chunk > 1000 else 37)
     rng = np.random.default_rng(3)
     rows = []
     for pair, n in (("AAABBB", 3000), ("CCCDDD", 150), ("EEEFFF", 1)):
@@ -162,6 +164,7 @@ def test_quote_cases_do_not_depend_on_partitions(spark, monkeypatch, edge):
     rows = [rows[i] for i in order]
     pips = spark.createDataFrame([("f", p, 0.0001) for p in ("AAABBB", "CCCDDD", "EEEFFF")], "feed string, pair string, pip double")
     got = {(r.tick_id, r.reason) for r in quote_cases(_ticks(spark, rows), pips).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     clean = [(p, t, s, None if b is not None and b != b else b, a) for p, t, s, b, a in rows]
     assert got == _brute(clean, 0.0001)
 
@@ -184,3 +187,37 @@ def test_count_cases(spark):
     stuck = {(i, "negative_spread", "stuck") for i in (8, 9, 10, 11, 12, 100)}
     assert got == {(3, "negative_spread", "spike"), (6, "negative_spread", "impossible"), (101, "negative_spread", "impossible")} | stuck
     assert count_cases(df.where("false")).count() == 0
+
+
+def _gates(spark, counts, sources=("p",), total=100_000_000):
+    schema = "gate_id bigint, feed string, pair string, yyyymm int, negative_spread bigint, jump_gt_2pct bigint, total_ticks bigint, reported_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1000 * k + i, "f", p, 201001 + i % 12 + 100 * (i // 12), c, 0, total, at) for k, p in enumerate(sources) for i, c in enumerate(counts)]
+    return spark.createDataFrame(random.Random(3).sample(rows, len(rows)), schema)
+
+
+def test_count_cases_of_a_source_that_climbs(spark):
+    # 121 months whose counts climb in steps, the last ten far above the median: the forecast must not climb along.
+    counts = [21] * 61 + [round(21 * 1.06**i) for i in range(50)] + list(range(500, 510))
+    got = {r.gate_id for r in count_cases(_gates(spark, counts)).where("reason = 'spike'").collect()}
+    assert got == {i for i, c in enumerate(counts) if c > 200 and c > 20 * np.median(counts)} and set(range(111, 121)) <= got
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 1])
+def test_count_cases_are_the_stated_ones_in_any_state_of_the_filter(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    for usual in (0, 3, 9, 10, 11, 40, 900):
+        walk = np.exp(np.cumsum(rng.normal(0, 0.8, 160)) / 2)
+        counts = [int(usual * w) for w in walk] + [int(x) for x in rng.choice([0, 199, 200, 201, 20 * usual, 20 * usual + 1, 21 * usual + 1], 60)]
+        med = float(np.median(counts))
+        got = sorted(r.gate_id for r in count_cases(_gates(spark, counts, ("p", None), 10**12)).where("reason = 'spike'").collect())
+        want = [i for i, c in enumerate(counts) if c > 200 and c > 20 * med]
+        assert got == want + [1000 + i for i in want]
+
+
+def test_innovation_variance():
+    price, time = np.array([1.0, 1, 1, 2, 2, 3, 3]), np.array([0, 1, 2, 3, 4, 5, 5 + 3_600_001])
+    first, end, variance = spikes.innovation_variance(price, time, np.array([0]))
+    assert first.tolist() == [0, 3, 5, 6] and end.tolist() == [3, 5, 6, 7]
+    assert variance[:2].tolist() == [0, 0] and np.isnan(variance[2:]).all()

@@ -1,17 +1,20 @@
 """Implausible readings: state-space forecasting per source, withheld updates, vanishing innovation variance.
 
-Quotes. A local-level model per source forecasts bid and ask; both share one gain because they share noise settings in
-units of the source's own median step. An innovation above the threshold marks the quote as a candidate, whose update is
-withheld. When quotes agree with the forecast again, or candidates go on for more than ``few`` quotes, the exact check
-follows: a run of candidates is an excursion if each lies more than ``steps`` median steps away, to the same side, from the
-last sound quote before and the first after. The forecast doesn't choose the quote after: every waiting quote is tried as
-one, and counts if it is within ``steps`` of the quote before or most of the ``few`` quotes behind it are within ``steps`` of it.
-If candidates go on the level has changed for good; the filter restarts behind their excursion, or else at the first of them.
-Stretches whose innovations vanish (exactly the same price) are stuck once long enough in rows and in time.
-
-Nothing here needs a whole source in one task: see ``pieces``. A partition's first and last piece leave their outermost
-``EDGE`` rows undecided and hand on twice as many; those edges, at most 4 * EDGE rows per partition, are filtered again
-source by source, joined to their neighbours. Runs of equal prices that touch a partition's ends are summarised and merged.
+Quotes. Every quote of a source is held against two forecasts. A local-level model with noise forecasts bid and ask; both share
+one gain because they share noise settings in units of the source's own median step. A quote outside the model's support (a price
+that isn't above 0, ask below bid) has no likelihood: its innovation counts as infinite and its update is withheld. An innovation above
+the threshold marks a quote as a candidate, whose update is withheld too. When quotes agree with the forecast again, or candidates
+go on for more than ``few`` quotes, the exact check follows: a run of candidates is an excursion if each lies more than ``steps`` median
+steps away, to the same side, from the last sound quote before and the first after. The forecast doesn't choose the quote after: every
+waiting quote is tried as one, and counts if it is within ``steps`` of the quote before or most of the ``few`` quotes behind it are within
+``steps`` of it. If candidates go on the level has changed for good; the filter restarts behind their excursion, or else at the first of them.
+
+The second forecast is that of the same model without noise, the quote before: its innovations are the steps of the price, and a
+price is stuck where their variance vanishes over enough rows and time (``innovation_variance``).
+
+Nothing here needs a whole source in one task: see ``pieces``. A chunk's first and last piece leave their outermost
+``EDGE`` rows undecided and hand on twice as many; the edges on the two sides of a border, at most 4 * EDGE rows, are joined and
+filtered again, border by border. A stretch of vanishing variance that touches a chunk's ends is summarised and merged.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ def median_steps(ticks: DataFrame) -> DataFrame:
     ``ticks`` has ORDER's columns, bid and pip. Each sorted partition sends counts of its distinct step sizes (in pips,
     to a millionth) and its two outermost rows, from which the steps across partition borders are added.
     """
-    schema = "feed string, pair string, size double, n bigint, pip double, part int, side int, utc_ms bigint, seq bigint, tick_id bigint, bid double"
+    schema = "feed string, pair string, size double, n bigint, pip double, part bigint, side int, utc_ms bigint, seq bigint, tick_id bigint, bid double"
 
     def work(t: pa.Table, part: int):
         bid, pip = doubles(t, "bid"), doubles(t, "pip")
@@ -156,13 +159,21 @@ def excursions(bid: np.ndarray, ask: np.ndarray, step: float, steps: float = STE
     return marks
 
 
-def _runs(price: np.ndarray, time: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) rows of the runs of exactly equal prices without a step of over an hour."""
-    new = np.ones(len(price), dtype=bool)
-    new[1:] = (price[1:] != price[:-1]) | (time[1:] - time[:-1] > STEP_MS)
-    new[start] = True
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(price))
+def innovation_variance(price: np.ndarray, time: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, variance) of the stretches of a price between the innovations of its noise-free local level.
+
+    Without noise the gain is 1 and the forecast is the price before. A first quote and one after a step of over an hour have no
+    forecast. A stretch goes on as long as its innovations stay at 0; ``variance`` is their mean square, so it is 0 for every stretch of
+    at least two quotes, and NaN for one quote, which has no innovation of its own.
+    """
+    innovation = np.full(len(price), np.inf)
+    innovation[1:] = np.where(time[1:] - time[:-1] > STEP_MS, np.inf, price[1:] - price[:-1])
+    innovation[start] = np.inf
+    first = np.flatnonzero(innovation != 0)
+    end = np.append(first[1:], len(price))
+    square = np.where(innovation == 0, innovation, 0.0) ** 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return first, end, np.add.reduceat(square, first) / (end - first - 1) if len(first) else square
 
 
 def quote_cases(ticks: DataFrame, quote_sources: DataFrame, few: int = FEW, steps: float = STEPS) -> DataFrame:
@@ -174,7 +185,7 @@ def quote_cases(ticks: DataFrame, quote_sources: DataFrame, few: int = FEW, step
     """
     rows = with_pip(usable_ticks(ticks), quote_sources)
     scaled = rows.join(median_steps(rows.where("pip > 0")), [*SOURCE], "left").select(*ORDER, "bid", "ask", "step")
-    schema = "kind string, reason string, feed string, pair string, tick_id bigint, utc_ms bigint, seq bigint, bid double, ask double, step double, part int, side int, n bigint, end_ms bigint, open boolean"
+    schema = "kind string, reason string, feed string, pair string, tick_id bigint, utc_ms bigint, seq bigint, bid double, ask double, step double, part bigint, side int, n bigint, end_ms bigint, open boolean"
     arrow = _arrow(schema)
 
     def batch(t: pa.Table, rows: np.ndarray, **given) -> pa.RecordBatch:
@@ -203,14 +214,14 @@ def quote_cases(ticks: DataFrame, quote_sources: DataFrame, few: int = FEW, step
         # side: 1 where the edge pass has to decide, else 0; open: the row before it in the source isn't among the edges.
         yield batch(t, at, kind="edge", part=part, side=undecided[at].astype(np.int32), open=restart[at])
         for name, price in (("stuck_bid", bid), ("stuck_ask", ask)):
-            first, last = _runs(price, time, start)
+            first, last, variance = innovation_variance(price, time, start)
             n, long = last - first, time[last - 1] - time[first]
-            stuck = (n >= STUCK_ROWS) & (long >= STUCK_MS)
+            stuck = (variance == 0) & (n >= STUCK_ROWS) & (long >= STUCK_MS)
             outer = np.unique([0, len(first) - 1])
             stuck[outer] = False
             yield batch(t, np.flatnonzero(np.repeat(stuck, n)), kind="case", reason=name)
-            # The outermost runs may go on next door: a summary each, and their rows until the merged run is known.
-            # side 0: only the partition's start is open, 1: only its end, 2: the run fills the whole partition.
+            # The outermost stretches may go on next door: a summary each, and their rows until the merged one is known.
+            # side 0: only the chunk's start is open, 1: only its end, 2: the stretch fills the whole chunk.
             sides = np.array([2] if len(first) == 1 else [0, 1], dtype=np.int32)
             yield batch(t, first[outer], kind="run", reason=name, part=part, side=sides, n=n[outer], end_ms=time[last[outer] - 1], bid=price[first[outer]])
             for k, o in enumerate(outer.tolist()):
@@ -219,21 +230,24 @@ def quote_cases(ticks: DataFrame, quote_sources: DataFrame, few: int = FEW, step
     found = cut(map_sorted(scaled, ORDER, work, schema))
     cases = found.where("kind = 'case'").select("tick_id", "reason")
 
-    edges = found.where("kind = 'edge'").select(*SOURCE, "tick_id", "utc_ms", "seq", "bid", "ask", "step", "side", "open")
+    # A stretch of edges is what the chunks on both sides of a border hand on; it begins where the row before isn't among the edges.
+    # Two rows per chunk number the stretches, and each is filtered again on its own, however many borders its source has.
+    at = ("utc_ms", "seq", "tick_id")
+    edges = found.where("kind = 'edge'").select(*SOURCE, *at, "bid", "ask", "step", "side", "part", "open")
+    restarts = edges.where("open").select(*SOURCE, "part", F.struct(*at).alias("from_row"))
+    edges = edges.join(restarts, [*SOURCE, "part"], "left").withColumn("half", F.coalesce(F.struct(*at) >= F.col("from_row"), F.lit(False)).cast("int"))
+    halves = edges.select(*SOURCE, "part", "half").distinct()
+    halves = halves.withColumn("stretch", F.sum("half").over(Window.partitionBy(*SOURCE).orderBy("part", "half")))
+    edges = edges.join(halves, [*SOURCE, "part", "half"]).select(*SOURCE, "stretch", *at, "bid", "ask", "step", "side")
 
     def again(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["utc_ms", "seq", "tick_id"])
-        parts = np.split(np.arange(len(rows)), np.flatnonzero(rows["open"].to_numpy()))
-        marks = np.zeros(len(rows), dtype=bool)
         bid, ask, step = (rows[c].to_numpy(np.float64) for c in ("bid", "ask", "step"))
-        for p in parts:
-            if len(p):
-                marks[p] = excursions(bid[p], ask[p], step[p[0]], steps, few)
-        return rows.loc[marks & (rows["side"].to_numpy() == 1), ["tick_id"]]
+        return rows.loc[excursions(bid, ask, step[0], steps, few) & (rows["side"].to_numpy() == 1), ["tick_id"]]
 
-    edge_cases = edges.groupBy(*SOURCE).applyInPandas(again, "tick_id bigint").withColumn("reason", F.lit("excursion"))
+    edge_cases = edges.groupBy(*SOURCE, "stretch").applyInPandas(again, "tick_id bigint").withColumn("reason", F.lit("excursion"))
 
-    # At most four run summaries per partition: a segmented scan in source order merges those that continue each other.
+    # At most four summaries per chunk: a segmented scan in source order merges those that continue each other.
     order = Window.partitionBy(*SOURCE, "reason").orderBy("utc_ms", "seq", "tick_id", "part", "side")
     joined = (F.lag("part").over(order) != F.col("part")) & F.lag("side").over(order).isin(1, 2) & F.col("side").isin(0, 2)
     joined &= (F.lag("bid").over(order) == F.col("bid")) & (F.col("utc_ms") - F.lag("end_ms").over(order) <= STEP_MS)
@@ -245,19 +259,50 @@ def quote_cases(ticks: DataFrame, quote_sources: DataFrame, few: int = FEW, step
     return cases.unionByName(edge_cases).unionByName(late.select("tick_id", "reason"))
 
 
+#: The level of a gate count may leave the source's median by this much in log(1 + count), and a standardised innovation above this is a candidate.
+DRIFT, COUNT_THRESHOLD = 1.0, 1.0
+
+
+def count_candidates(y: np.ndarray, usual: float) -> np.ndarray:
+    """Marks of the counts (as log(1 + count)) above the forecast of a slow local level that starts at the source's median ``usual``.
+
+    Updates of marked counts are withheld and the level is held within DRIFT of the median, so a source that climbs step by step can't
+    take its own forecast along. Innovations have a deviation of at most sqrt(2.01), so whatever exceeds the median by
+    DRIFT + 1.418 = 2.418 is marked in any state of the filter; a count above both 200 and 20 medians exceeds it by
+    log(201 / 11) = 2.905 at least. So the stated limits, checked behind this, are never vetoed by the filter.
+    """
+    marks = np.zeros(len(y), dtype=bool)
+    level, spread = usual, 1.0
+    for i, v in enumerate(y.tolist()):
+        ahead = spread + 0.01
+        total = ahead + 1.0
+        if v > level and (v - level) ** 2 > COUNT_THRESHOLD**2 * total:
+            marks[i] = True  # withheld
+        else:
+            gain = ahead / total
+            level = min(max(level + gain * (v - level), usual - DRIFT), usual + DRIFT)
+            spread = ahead * (1 - gain)
+    return marks
+
+
 def count_cases(gates: DataFrame, least: int = 200, times: float = 20.0, months: int = 5) -> DataFrame:
     """gate_id, field and reason (``impossible``, ``spike``, ``stuck``) of every implausible count in a gate report.
 
-    Per source and count field a slow local-level filter on log(1 + count), started at the source's median, marks counts
-    far above the forecast and withholds their update; the exact check keeps those above ``least`` and ``times`` the
-    source's median. Impossible: below 0 or above total_ticks. Stuck: innovations vanish over at least ``months`` reported
-    months in a row (the same count above 0; a month reported twice is one month, and has each of its counts).
-    NULL counts are never cases. The filter restarts at the median wherever a partition splits a source, so no source
-    has to be in one task.
+    Per source and count field a slow local-level filter on log(1 + count) marks counts above the forecast and withholds their
+    update (``count_candidates``); the exact check keeps those above ``least`` and ``times`` the source's median, and leaves none out
+    wherever a chunk splits a source. Impossible: below 0 or above total_ticks, outside the model's support. Stuck: the innovations
+    of the noise-free model, whose forecast is the month before, vanish over at least ``months`` reported months in a row (the
+    same count above 0; a month reported twice is one month, has each of its counts, and forecasts each of them).
+    NULL counts are never cases; NULL feeds or pairs make a source too. ``least`` and ``times`` must not be under 200 and 20, which the filter is built for.
     """
+    if least < 200 or times < 20:
+        raise ValueError("the filter is built for limits of at least 200 and 20 medians")
     fields = ("negative_spread", "jump_gt_2pct")
+    # NULL keys never join, so they are written with a mark in front; the names aren't returned.
+    gates = gates.withColumns({k: F.coalesce(F.concat(F.lit("+"), F.col(k).cast("string")), F.lit("-")) for k in SOURCE})
     rows = gates.select("gate_id", *SOURCE, "yyyymm", "reported_at", "total_ticks", F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.col(f).cast("bigint") for f in fields)))).alias("field", "n")).where("n IS NOT NULL")
-    medians = rows.groupBy(*SOURCE, "field").agg(F.percentile("n", F.lit(0.5)).alias("usual"))
+    counts = rows.groupBy(*SOURCE, "field", "n").agg(F.count("*").alias("rows"))
+    medians = counts.groupBy(*SOURCE, "field").agg(F.percentile("n", F.lit(0.5), F.col("rows")).alias("usual"))
     rows = rows.join(medians, [*SOURCE, "field"])
     impossible = rows.where("n < 0 OR n > total_ticks").select("gate_id", "field", F.lit("impossible").alias("reason"))
     order = ("feed", "pair", "field", "yyyymm", "reported_at", "gate_id")
@@ -268,24 +313,21 @@ def count_cases(gates: DataFrame, least: int = 200, times: float = 20.0, months:
         y, base = np.log1p(np.maximum(doubles(t, "n"), 0)), np.log1p(np.maximum(doubles(t, "usual"), 0))
         marks = np.zeros(t.num_rows, dtype=bool)
         for s, e in zip(start.tolist(), end.tolist()):
-            level, spread = float(base[s]), 1.0
-            for i in range(s, e):
-                ahead = spread + 0.01
-                z2 = (y[i] - level) ** 2 / (ahead + 1.0)
-                if z2 > 1.0 and y[i] > level:
-                    marks[i] = True  # withheld
-                else:
-                    gain = ahead / (ahead + 1.0)
-                    level += gain * (y[i] - level)
-                    spread = ahead * (1 - gain)
+            marks[s:e] = count_candidates(y[s:e], float(base[s]))
         yield from t.filter(pa.array(marks)).select(["gate_id", "field", "n", "usual"]).cast(_arrow(schema)).to_batches()
 
     spikes = map_sorted(rows.select(*order, "n", "usual"), order, work, schema)
     spikes = spikes.where(f"n > {least} AND n > {times} * usual").select("gate_id", "field", F.lit("spike").alias("reason"))
     positive = rows.where("n > 0 AND yyyymm IS NOT NULL").select("gate_id", *SOURCE, "field", "yyyymm", "n")
+    # A source's months, one row each: numbered, so that the month before is the reported one before.
     reported = gates.where("yyyymm IS NOT NULL").select(*SOURCE, "yyyymm").distinct().withColumn("at", F.row_number().over(Window.partitionBy(*SOURCE).orderBy("yyyymm")))
     same = positive.select(*SOURCE, "field", "n", "yyyymm").distinct().join(reported, [*SOURCE, "yyyymm"])
-    same = same.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy(*SOURCE, "field", "n").orderBy("yyyymm")))
-    same = same.withColumn("long", F.count("*").over(Window.partitionBy(*SOURCE, "field", "n", "island"))).where(f"long >= {months}")
+    series = [*SOURCE, "field", "n"]
+    # The innovation is 0 where the month before has the count too; a stretch of such months has an innovation variance of 0.
+    same = same.withColumn("innovation", F.when(F.col("at") - F.lag("at").over(Window.partitionBy(*series).orderBy("at")) == 1, 0.0))
+    same = same.withColumn("stretch", F.count(F.when(F.col("innovation").isNull(), 1)).over(Window.partitionBy(*series).orderBy("at")))
+    of = Window.partitionBy(*series, "stretch")
+    same = same.withColumn("long", F.count("*").over(of)).withColumn("variance", F.avg(F.col("innovation") * F.col("innovation")).over(of))
+    same = same.where(f"variance = 0 AND long >= {months}")
     stuck = positive.join(same.select(*SOURCE, "field", "n", "yyyymm"), [*SOURCE, "field", "n", "yyyymm"], "left_semi").select("gate_id", "field", F.lit("stuck").alias("reason"))
     return impossible.unionByName(spikes).unionByName(stuck)
