@@ -32,7 +32,10 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _bars(spark, d).where("n = 0").select("feed", "pair", "bar_ms")
+    """The bars that the regression has filled, with enough support for both fits, or marked as missing, without a fit."""
+    filled = "status = 'filled' AND support >= 1.5 AND bid_fit IS NOT NULL AND ask_fit IS NOT NULL"
+    missing = "status = 'missing' AND bid_fit IS NULL AND ask_fit IS NULL"
+    return _bars(spark, d).where(f"{filled} OR {missing}").select("feed", "pair", "bar_ms")
 
 
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
