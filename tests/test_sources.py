@@ -80,6 +80,60 @@ def test_watch_isolates_conflicts(spark, tmp_path):
     assert got == {("EURUSD", 1.1, 0), ("EURUSD", 1.2, 1), ("GBPUSD", 5.1, 0), ("GBPUSD", 5.2, 1)}
 
 
+def test_watch_archives_only_what_is_stored(spark, tmp_path):
+    inbox, store, old, said = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "old"), []
+    export(inbox, [(BASE, 1.1)])
+    export(inbox, [(BASE, 5.1)], "GBPUSD_ticks_202601.csv", age=1)  # young
+    with open(export(inbox, [(BASE, 2.1)], "AUDUSD_ticks_202601.csv"), "a") as f:
+        f.write("x,y,z\n")  # malformed
+    os.utime(f"{inbox}/AUDUSD_ticks_202601.csv", (time.time() - 2000,) * 2)  # and first in line
+    export(inbox, [], "USDCAD_ticks_202601.csv")  # empty
+    export(inbox, [(BASE, 1.0)], "EURUSD_ticks_2026.csv")  # not an export's name
+    sweep = lambda: stream.watch_exports(spark, inbox, store, lambda f, why: said.append(os.path.basename(f)), archive=old)
+    done = sweep()
+    assert said == ["AUDUSD_ticks_202601.csv"] and len(done.young) == 1 and {os.path.basename(f) for f in done.taken} == {"EURUSD_ticks_202601.csv", "USDCAD_ticks_202601.csv"}
+    assert sorted(os.listdir(old)) == ["EURUSD_ticks_202601.csv", "USDCAD_ticks_202601.csv"]
+    assert {"AUDUSD_ticks_202601.csv", "GBPUSD_ticks_202601.csv", "EURUSD_ticks_2026.csv"} <= set(os.listdir(inbox))
+    export(inbox, [(BASE, 1.3)])  # contradicts what is stored
+    os.utime(f"{inbox}/GBPUSD_ticks_202601.csv", (time.time() - 500,) * 2)  # old enough now
+    sweep()
+    assert said == ["AUDUSD_ticks_202601.csv", "EURUSD_ticks_202601.csv"]  # the malformed one isn't reported again
+    assert os.path.exists(f"{inbox}/EURUSD_ticks_202601.csv") and not os.path.exists(f"{inbox}/GBPUSD_ticks_202601.csv")
+    assert {(r.sym, r.bid) for r in exports.read_store(spark, store).collect()} == {("EURUSD", 1.1), ("GBPUSD", 5.1)}
+    export(inbox, [(BASE, 2.1)], "AUDUSD_ticks_202601.csv", age=900)  # mended
+    export(inbox, [(BASE, 1.1), (BASE + 1, 1.2)], age=800)
+    sweep()
+    assert {(r.sym, r.bid) for r in exports.read_store(spark, store).collect()} == {("EURUSD", 1.1), ("EURUSD", 1.2), ("GBPUSD", 5.1), ("AUDUSD", 2.1)}
+    assert len(os.listdir(old)) == 5 and os.listdir(inbox) == ["EURUSD_ticks_2026.csv"]
+
+
+def test_watch_goes_on_and_restarts(spark, tmp_path):
+    inbox, store, said = str(tmp_path / "in"), str(tmp_path / "store"), []
+    stored = lambda: {r.sym for r in exports.read_store(spark, store).collect()}
+    names = ["EURUSD_ticks_202601.csv", "GBPUSD_ticks_202601.csv"]
+    for turn, name in enumerate(names):
+        query = stream.watch_exports(spark, inbox, store, lambda f, why: said.append(f), idle_seconds=0, once=False, every="1 second")
+        try:
+            export(inbox, [(BASE, 1.1)], name, age=5)
+            until = time.time() + 60
+            while time.time() < until and query.isActive:
+                if os.path.isdir(f"{store}/_taken") and len([x for x in os.listdir(f"{store}/_taken") if not x.startswith(".")]) == turn + 1:
+                    break
+                time.sleep(0.2)
+        finally:
+            query.stop()
+        assert stored() == {n[:6] for n in names[: turn + 1]} and not said
+
+
+def test_drained_streams_append_each_window_once(spark, tmp_path):
+    rows = [("f", "P", BASE + 60_000 * i, i, i, 1.0 + i, 2.0 + i) for i in range(0, 4000, 7)]
+    ticks = spark.createDataFrame(rows, "feed string, pair string, utc_ms bigint, seq bigint, tick_id bigint, bid double, ask double")
+    for part in range(4):  # files in order of time, one per trigger
+        ticks.where(f"seq >= {part * 1000} AND seq < {part * 1000 + 1000}").coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+    got = stream.drained(stream.read_ticks(spark, str(tmp_path / "ticks"), 1), lambda s: stream.tumbling(s, 60, "1 hour"), "test").collect()
+    assert sum(r.n_ticks for r in got) == len(rows) and len(got) == len({(r.sym, r.bar_ms) for r in got}) == len({r[2] // 3_600_000 for r in rows})
+
+
 def test_synthetic_is_seeded_and_calm_on_fridays(spark):
     a, b = (synthetic.generate(spark, "2024-01-01", "2024-01-05").repartition(n) for n in (2, 5))
     assert a.exceptAll(b).isEmpty() and a.where("ask <= bid").isEmpty()

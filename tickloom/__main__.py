@@ -15,6 +15,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("store")
         p.add_argument("--pairs", default="")
         p.add_argument("--once", action="store_true")
+        p.add_argument("--archive", default="")
     p = commands.add_parser("demo")
     p.add_argument("store")
     p.add_argument("first")
@@ -49,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         print(take_in(spark, new, args.store))
     elif args.command == "watch":
-        watch_exports(spark, args.inbox, args.store, lambda f, why: print(f"{f}: {why}", file=sys.stderr), once=args.once).awaitTermination()
+        watch_exports(spark, args.inbox, args.store, lambda f, why: print(f"{f}: {why}", file=sys.stderr), once=args.once, archive=args.archive or None, pairs=list(pairs) or None).awaitTermination()
     elif args.command == "demo":
         exports.write_store(synthetic.generate(spark, args.first, args.last).withColumn("yyyymm", month_of()), args.store)
     else:

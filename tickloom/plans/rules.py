@@ -231,17 +231,17 @@ _O = "(utc_ms, seq, tick_id)"
 
 @query(WITH_Q + f"SELECT sym, (utc_ms // 300000) * 300000 AS bar_ms, arg_min(bid, {_O}) AS bid_o, max(bid) AS bid_h, min(bid) AS bid_l, arg_max(bid, {_O}) AS bid_c, count(*) AS n_ticks FROM q GROUP BY 1, 2")
 def str_01_stream_bars(spark, d):
-    return stream.drained(stream.tumbling(stream.read_ticks(spark, f"{d}/ticks.parquet")), "bars")
+    return stream.drained(stream.read_ticks(spark, f"{d}/ticks.parquet"), stream.tumbling, "bars")
 
 
 @query(WITH_Q + ", w AS (SELECT *, unnest(generate_series((utc_ms // 900000) * 900000 - 2700000, (utc_ms // 900000) * 900000, 900000)) AS from_ms FROM q) SELECT sym, from_ms, max(bid) AS bid_h, min(bid) AS bid_l, count(*) AS n_ticks FROM w GROUP BY 1, 2")
 def str_sliding(spark, d):
-    return stream.drained(stream.sliding(stream.read_ticks(spark, f"{d}/ticks.parquet")), "sliding")
+    return stream.drained(stream.read_ticks(spark, f"{d}/ticks.parquet"), stream.sliding, "sliding")
 
 
 @query(WITH_Q + ", s AS (SELECT *, CASE WHEN utc_ms - lag(utc_ms) OVER (PARTITION BY sym ORDER BY utc_ms) <= 3600000 THEN 0 ELSE 1 END AS new FROM q), g AS (SELECT *, sum(new) OVER (PARTITION BY sym ORDER BY utc_ms, seq, tick_id) AS k FROM s) SELECT sym, min(utc_ms) AS from_ms, max(utc_ms) AS to_ms, count(*) AS n_ticks FROM g GROUP BY sym, k")
 def str_session_gap(spark, d):
-    return stream.drained(stream.between_gaps(stream.read_ticks(spark, f"{d}/ticks.parquet")), "gaps")
+    return stream.drained(stream.read_ticks(spark, f"{d}/ticks.parquet"), stream.between_gaps, "gaps")
 
 
 # --- sources and governance ---

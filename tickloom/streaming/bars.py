@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalar import is_export_name
 from tickloom.operators.refresh import Conflict, refresh
-from tickloom.session import cut, scratch_path
-from tickloom.sources.exports import EXPORT, STORE, located, read_exports, read_store, write_store
+from tickloom.session import cut, remove_path, scratch_path
+from tickloom.sources.exports import STORE, read_exports, read_store, write_store
 from tickloom.sources.tables import number
 
 
@@ -30,6 +32,10 @@ def read_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return stream.select(F.concat_ws(":", "feed", "pair").alias("sym"), F.timestamp_millis("utc_ms").alias("ts"), "utc_ms", "seq", "tick_id", number("bid").alias("bid"), number("ask").alias("ask")).where(ok)
 
 
+#: The time of the row that closes a drained stream: later than any quote, so every window of quotes ends before it.
+CLOSING_MS = 253_370_764_800_000
+
+
 def tumbling(stream: DataFrame, minutes: int = 5, lateness: str = "1 day") -> DataFrame:
     """Bars with a watermark. Quotes later than the lateness are dropped from bars only; ingest never drops them."""
     at = F.struct("utc_ms", "seq", "tick_id")
@@ -49,51 +55,104 @@ def between_gaps(stream: DataFrame, gap: str = "60 minutes", lateness: str = "1
     return w.agg(F.min("utc_ms").alias("from_ms"), F.max("utc_ms").alias("to_ms"), F.count("*").alias("n_ticks")).select("sym", "from_ms", "to_ms", "n_ticks")
 
 
-def drained(result: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all that is there now and return its final state, written in the shared folder.
+def drained(stream: DataFrame, shape: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Run ``shape(stream)`` over all that is there now, in append mode, and return the rows written in the shared folder.
 
-    Complete mode, so windows that a watermark would still hold back are there too.
+    Each window is written once, when the watermark has passed it, and leaves the state. The windows that the watermark still holds
+    back at the end are closed by a second run over one closing row, which only comes after everything else.
     """
-    spark = result.sparkSession
-    out = scratch_path(spark, label)
+    spark = stream.sparkSession
+    out, state, late = (scratch_path(spark, f"{label}{x}") for x in ("", "-state", "-closing"))
+    closing = spark.createDataFrame([("", CLOSING_MS)], "sym string, utc_ms bigint").withColumn("ts", F.timestamp_millis("utc_ms"))
+    closing = closing.select(*[F.col(f.name) if f.name in ("sym", "ts", "utc_ms") else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    closing.limit(0).write.parquet(late)
+    result = shape(stream.unionByName(spark.readStream.schema(closing.schema).parquet(late)))
+    for last in (False, True):
+        if last:
+            closing.write.mode("append").parquet(late)
+        run = result.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
+    for path in (state, late):
+        remove_path(spark, path)
+    return spark.read.schema(result.schema).parquet(out)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    run = result.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+class Sweep:
+    """What one pass over an inbox did, by file: rows stored for those taken in, reasons for those refused, and those left for later."""
+
+    def __init__(self):
+        self.taken: dict[str, int] = {}
+        self.refused: dict[str, str] = {}
+        self.young: list[str] = []
 
+    def awaitTermination(self, timeout: float | None = None) -> bool:
+        """A pass is over when it returns; for callers that wait for either kind of run."""
+        return True
 
-def watch_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Callable[[str, str], None], idle_seconds: int = 120, files_per_trigger: int = 16, once: bool = True, archive: str | None = None):
-    """Take export files into the store as they come: oldest first, some per trigger, each on its own.
 
-    Per file: read, compare with the stored month, append what is new, write the month back. A file that contradicts the
-    store is reported to ``on_conflict`` (file, reason) and left alone; the others go on. A file younger than ``idle_seconds``
-    may still be written: a single pass leaves it for the next one, a continuous one waits until it is old enough. The
-    stream only says which files are there; each is read when its turn comes. With ``archive``, files that the stream
-    has passed are moved there by the source itself.
+def sweep_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Callable[[str, str], None], idle_seconds: float = 120, most: int | None = None, pairs: list[str] | None = None, archive: str | None = None) -> Sweep:
+    """One pass: take the inbox's export files into the store, oldest first, at most ``most``, each on its own.
+
+    Per file: read, compare with the stored month, append what is new, write the month back. Only then is the file done: it is
+    moved to ``archive`` or, without one, remembered by name, length and time in the store's ``_taken`` folder, so it isn't read
+    again. A file younger than ``idle_seconds`` may still be written and is left for a later pass. Whatever goes wrong with a file is
+    reported to ``on_conflict`` (file, reason), the file stays where it is, and the others go on. Contradictions and malformed files are
+    reported once until the file changes; after other errors it is tried again in the next pass. A pass that breaks off between
+    storing and moving takes the file once more, which changes nothing.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(inbox).getFileSystem(conf)
+    done = Sweep()
+    if not files.exists(path(inbox)):
+        return done
+    wanted = {p.strip().upper() for p in pairs} if pairs else None
+    found = [f for f in files.listStatus(path(inbox)) if f.isFile() and is_export_name(f.getPath().getName())]
+    found = sorted((f.getModificationTime(), f.getPath().toString(), f.getLen()) for f in found if wanted is None or f.getPath().getName()[:6] in wanted)
+    known = path(f"{store}/_taken")
+    ledger = known.getFileSystem(conf)
+    for modified, file, size in found:
+        if most is not None and len(done.taken) >= most:
+            break
+        if time.time() - modified / 1000 < idle_seconds:
+            done.young.append(file)
+            continue
+        entry = path(known, hashlib.sha256(f"{file}:{modified}:{size}".encode()).hexdigest())
+        if ledger.exists(entry):
+            continue
+        try:
+            done.taken[file] = take_in(spark, read_exports(spark, file), store)
+            if archive:
+                files.mkdirs(path(archive))
+                target = path(archive, path(file).getName())
+                if files.exists(target):  # an earlier export of the same month
+                    target = path(archive, f"{path(file).getName()}.{modified}")
+                if not files.rename(path(file), target):
+                    raise OSError(f"can't move it to {target.toString()}")
+            else:
+                ledger.create(entry, True).close()
+        except Exception as why:
+            done.refused[file] = str(why)
+            if isinstance(why, Conflict) or "MALFORMED" in str(why).upper():
+                ledger.create(entry, True).close()
+            on_conflict(file, str(why))
+    return done
+
+
+def watch_exports(spark: SparkSession, inbox: str, store: str, on_conflict: Callable[[str, str], None], idle_seconds: float = 120, files_per_trigger: int = 16, once: bool = True, archive: str | None = None, pairs: list[str] | None = None, every: str = "30 seconds"):
+    """Passes of ``sweep_exports``: one, at once, or one at every tick of a clock stream until the returned query is stopped.
+
+    The stream is only the clock, so a file that is left in the inbox (young, refused, beyond ``files_per_trigger``) comes up again in
+    the next pass, and what has been taken in is known from the store and the archive, across restarts.
     """
-    reader = spark.readStream.schema(EXPORT).option("header", True).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", "false").option("pathGlobFilter", "*_ticks_*.csv")
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    lines = reader.csv(inbox)
-    placed = located(lines.select("*", "_metadata")).select("_file", F.unix_millis("_metadata.file_modification_time").alias("modified"))
-
-    def take(batch: DataFrame, _: int) -> None:
-        # One entry per file of this trigger, at most files_per_trigger.
-        for f, modified in sorted((tuple(r) for r in batch.distinct().collect()), key=lambda r: r[::-1]):
-            young = idle_seconds - (time.time() - modified / 1000)
-            if young > 0 and once:
-                continue
-            time.sleep(max(0.0, young))
-            try:
-                take_in(spark, read_exports(spark, f), store)
-            except Conflict as why:
-                on_conflict(f, str(why))
-
-    writer = placed.writeStream.foreachBatch(take).option("checkpointLocation", scratch_path(spark, "watch"))
-    return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="30 seconds").start()
+    if once:
+        return sweep_exports(spark, inbox, store, on_conflict, idle_seconds, None, pairs, archive)
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def pass_over(_: DataFrame, __: int) -> None:
+        sweep_exports(spark, inbox, store, on_conflict, idle_seconds, files_per_trigger, pairs, archive)
+
+    return clock.writeStream.foreachBatch(pass_over).option("checkpointLocation", f"{store}/_clock").trigger(processingTime=every).start()
 
 
 def take_in(spark: SparkSession, new: DataFrame, store: str, watermark: int = -1) -> int:
