@@ -206,3 +206,33 @@ def test_queries_agree_with_their_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_scratch_folder():
+    """On a cluster a machine-local folder is refused; scratch is gone after the driver."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from types import SimpleNamespace
+from pyspark.sql import SparkSession
+from tickloom import session
+conf = SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: None)
+for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+    try:
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+        raise SystemExit(master)
+    except RuntimeError:
+        pass
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = session.cut(spark.range(5))
+spark.range(3).write.parquet(session.scratch_path(spark, "x"))
+assert df.count() == 5
+print("SCRATCH", session.shared_dir(spark))
+spark.stop()
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    root = next(line.split(" ", 1)[1] for line in ran.stdout.splitlines() if line.startswith("SCRATCH"))
+    assert not [f for _, _, files in os.walk(root) for f in files]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one if that is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master (tests);
+    on a cluster that would be a machine-local folder, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -22,12 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    _delete_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch of this application is of no use after it: the file system removes the folder when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table, under this application's folder in the shared one; it is removed when the driver ends, if not before."""
+    root = f"{shared_dir(spark).rstrip('/')}/tickloom-{spark.sparkContext.applicationId}"
+    _delete_at_exit(spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
