@@ -158,13 +158,97 @@ def test_bootstrap_matches_direct_resampling(spark):
     assert T.block_layout(45, 20) == [(0, 20), (20, 40), (40, 45)]
     draws = [tuple(r) for r in T.date_multiplicities(spark, 45, 20, 20, 42).collect()]
     assert all(sum(t for r, _, t in draws if r == k) == 45 for k in range(20))
-    got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42).collect()}
+    got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42, least_valid=18).collect()}
     direct = []
     for k in range(20):
         sample = [x for r, i, t in draws if r == k for x in rows if x[1] == days[i] for _ in range(t)]
         direct.append(np.median([x[3] for x in sample if x[2]]) - np.median([x[3] for x in sample if not x[2]]))
     assert got["ratio_median"].low == pytest.approx(np.percentile(direct, 2.5), abs=1e-12)
-    assert T.decide((0.1, 0.2), [(0.1, 0.3)], 1.0) == "PASS" and T.decide((0.1, 0.2), [None, (-1, 1)], 1.0) == "MECHANICAL" and T.decide(None, [], 1.0) == "FAIL"
+    assert all(r.low is None and r.excludes_zero is None for r in T.joint_block_bootstrap(df, 20, 20, 42).collect())  # under 100 valid draws
+    wide = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42, level=0.9833, least_valid=18).collect()}
+    assert wide["ratio_median"].low <= got["ratio_median"].low and wide["ratio_median"].low == pytest.approx(np.percentile(direct, 0.835), abs=1e-12)
+    checked = T.block_length_check(df, (5, 20), 20, level=0.9, least_valid=18)
+    assert {(r.length, r.statistic) for r in checked.collect()} == {(n, s) for n in (5, 20) for s in T.STATISTICS}
+
+
+def _found(**low):
+    """Bootstrap results with these lower ends; the point and the upper end lie 1 and 2 above it."""
+    return {k: {"point": low.get(k, 0.5) + 1, "excludes_zero": low.get(k, 0.5) > 0} for k in T.STATISTICS}
+
+
+def test_second_gate():
+    signs = {s: 1.0 for s in "ABCDE"} | {"F": -1.0}
+    assert T.decide(_found(), signs)[0] == "PASS"
+    assert T.decide(_found(r60_mean=-0.5), signs)[0] == "FAIL"  # one return is not enough, and not mechanical either
+    assert T.decide(_found(r60_mean=-0.5, r180_mean=-0.5), signs)[0] == "MECHANICAL"
+    assert T.decide(_found(ratio_mean=-0.5), signs)[0] == "FAIL"
+    said, checks = T.decide(_found(), signs | {"E": -0.1})
+    assert said == "FAIL" and not checks["signs_60"] and T.decide(_found(), {})[0] == "FAIL"
+    below = _found()
+    below["r60_mean"] = {"point": -1.0, "excludes_zero": True}
+    assert T.decide(below, signs)[0] == "FAIL"
+    none = _found()
+    none["ratio_median"] = {"point": None, "excludes_zero": None}
+    assert T.decide(none, signs)[0] == "FAIL"
+
+
+def test_first_gate():
+    part = lambda p, zero=True: {"rank": {"p": p}, "boot": {"excludes_zero": zero}}
+    pooled = {"ratio": part(0.01), "shares": {"over_1": {"p": 0.01}, "over_15": {"p": 0.01}}, "returns": {60: part(0.01), 180: part(0.01)}}
+    good, bad = {s: 1.0 for s in "ABCDEF"}, {s: 1.0 if s < "E" else -1.0 for s in "ABCDEF"}
+    signs = {"ratio": good, "60": good, "180": good}
+    assert T.decide_first(pooled, signs)[0] == "PASS"
+    assert T.decide_first({**pooled, "returns": {60: part(0.01), 180: part(0.2)}}, signs)[0] == "MECHANICAL"
+    assert T.decide_first(pooled, {**signs, "60": bad})[0] == "MECHANICAL"
+    assert T.decide_first({**pooled, "ratio": part(0.01, False)}, signs)[0] == "FAIL"
+    assert T.decide_first({**pooled, "shares": {"over_1": {"p": 0.01}, "over_15": {"p": None}}}, signs)[0] == "FAIL"
+
+
+def test_moving_blocks_of_rows(spark):
+    import datetime as dt
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(i), rng.random() < 0.4, rng.choice([None, rng.random()])) for s in "ABC" for i in range(70)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "sym string, day date, compressed boolean, v double")
+    got = T.moving_block_interval(df, "v", draws=30, length=7, seed=3).first()
+    group = {f: np.array([r[3] for r in sorted(rows, key=lambda r: r[:2]) if r[2] == f and r[3] is not None]) for f in (True, False)}
+    found = []
+    for r in range(30):
+        means = []
+        for flag, x in group.items():
+            n = len(x)
+            start = np.random.default_rng((3, r, int(flag))).integers(0, n - 7 + 1, -(-n // 7))
+            means.append(np.concatenate([x[s : s + 7] for s in start])[:n].mean())
+        found.append(means[0] - means[1])
+    assert got.difference == pytest.approx(group[True].mean() - group[False].mean()) and (got.n_compressed, got.n_other) == (len(group[True]), len(group[False]))
+    assert (got.low, got.high) == (pytest.approx(np.percentile(found, 2.5)), pytest.approx(np.percentile(found, 97.5)))
+    assert got.excludes_zero == (got.low > 0 or got.high < 0)
+    assert T.moving_block_interval(df.where("compressed"), "v").first().difference is None
+    short = T.moving_block_interval(df.where("sym = 'A' AND day < '2024-01-06'"), "v", draws=5).first()
+    assert short.low == pytest.approx(short.difference) == short.high  # one block each
+
+
+def test_evidence_gate(spark):
+    import datetime as dt
+
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(5 * i)
+    rows = [("a", day(i % 250), 0.06) for i in range(500)] + [("b", day(i % 250), 0.04) for i in range(500)] + [("c", day(i % 30), 0.2) for i in range(600)] + [("d", day(i % 250), 0.06) for i in range(500)] + [("a", day(1), None)]
+    ci = [("a", 0.01, 0.1), ("a", 0.02, 0.1), ("b", 0.01, 0.1), ("c", 0.01, 0.3), ("d", 0.01, 0.1), ("d", -0.01, 0.1)]
+    got = {r.state: r for r in T.evidence_gate(spark.createDataFrame(rows, "state string, day date, effect double"), spark.createDataFrame(ci, "state string, low double, high double")).collect()}
+    assert {s: (r.enough, r.passes) for s, r in got.items()} == {"a": (True, True), "b": (True, False), "c": (False, False), "d": (True, False)}
+    assert got["a"].n_matches == 500 and got["a"].n_dates == 250 and got["a"].n_years == 4
+
+
+def test_sessions_end_with_the_data(spark):
+    day = BASE - 7 * 60 * M
+    rows = [(day + m * M, 1.1 + m % 7 / 100) for m in range(0, 600)] + [(day + 86_400_000 + m * M, 1.1 + m % 7 / 100) for m in range(0, 601)] + [(day + 86_400_000 + 601 * M, 1.1)]
+    q = spark.createDataFrame([("P", t, i, i, b, b + 0.001) for i, (t, b) in enumerate(rows)], "sym string, utc_ms bigint, seq bigint, tick_id bigint, bid double, ask double")
+    reasons = lambda f: [r.reason for r in X.session_table(Q.closes(f)).orderBy("london_date").collect()]
+    assert reasons(q) == ["", ""]
+    assert reasons(q.where(f"utc_ms < {day + 86_400_000 + 601 * M}")) == ["", "out-of-slice"]
 
 
 def test_bootstrap_has_the_share_over_one_and_a_half(spark):
@@ -173,7 +257,7 @@ def test_bootstrap_has_the_share_over_one_and_a_half(spark):
     days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
     rows = [("A", d, i % 2 == 0, (1.6 if i % 8 == 0 else 1.2) if i % 2 == 0 else 0.5, 0.1, 0.1) for i, d in enumerate(days)]
     df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, expansion_ratio double, absr_60m double, absr_180m double")
-    got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42).collect()}
+    got = {r.statistic: r for r in T.joint_block_bootstrap(df, 20, 20, 42, least_valid=18).collect()}
     assert len(got) == 6 and got["share_over"].point == 1.0 and got["share_over_15"].point == pytest.approx(0.25)
     # Its two blocks have 3 and 2 of 10 such days.
     assert (got["share_over_15"].low, got["share_over_15"].high, got["share_over_15"].valid) == (pytest.approx(0.2), pytest.approx(0.3), 20)

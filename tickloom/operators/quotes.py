@@ -47,10 +47,10 @@ def bars(quotes: DataFrame, minutes: int, strict: bool = True) -> DataFrame:
 
 
 def closes(quotes: DataFrame, minutes: int = 1) -> DataFrame:
-    """What sessions need of bars, without the spread's median: bid high and low, closing mid."""
+    """What sessions need of bars, without the spread's median: bid high and low, closing mid, and the times of the bar's first and last quote."""
     step = minutes * 60_000
     at = F.struct(*ORDER)
-    return quotes.groupBy("sym", (F.floor(F.col("utc_ms") / step) * step).alias("bar_ms")).agg(F.max("bid").alias("bid_h"), F.min("bid").alias("bid_l"), F.max_by(mid(), at).alias("mid_c"), F.count("*").alias("n_ticks"))
+    return quotes.groupBy("sym", (F.floor(F.col("utc_ms") / step) * step).alias("bar_ms")).agg(F.max("bid").alias("bid_h"), F.min("bid").alias("bid_l"), F.max_by(mid(), at).alias("mid_c"), F.count("*").alias("n_ticks"), F.min("utc_ms").alias("first_ms"), F.max("utc_ms").alias("last_ms"))
 
 
 def dedup_consecutive(quotes: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def session_table(bars: DataFrame, p: Frozen = FROZEN, asia_bars: int | None = N
     and a group holds a day's minutes however hot the sym is. Every weekday between a sym's first and last bar has a row.
 
     ``bounded`` (the second version): windows need their floors of bars, a forward quote may be at most ``age_minutes`` old
-    (exactly that passes); reasons are out-of-slice, window-coverage, zero-asia-range. Otherwise (the first version): fewer
+    (exactly that passes); reasons are out-of-slice (the sym's data begin after
+    the Asia start or end before the London end), window-coverage, zero-asia-range. Otherwise (the first version): fewer
     than 10 bars is no-data, an empty window is missing-window-data, and a quote may be of any age, over days.
     """
     age = p.quote_age if age_minutes is None else age_minutes
@@ -50,8 +51,10 @@ def session_table(bars: DataFrame, p: Frozen = FROZEN, asia_bars: int | None = N
         F.max(when(asia, "bid_h")).alias("asia_hi"), F.min(when(asia, "bid_l")).alias("asia_lo"), F.max(when(ldn, "bid_h")).alias("ldn_hi"), F.min(when(ldn, "bid_l")).alias("ldn_lo"),
         near(origin).alias("p0"), *[near(origin + h).alias(f"p{h}") for h in p.horizons],
     )
-    span = bars.groupBy("sym").agg(F.min("bar_ms").alias("first_ms"), F.max("bar_ms").alias("last_ms"))
-    dates = span.select("sym", "first_ms", F.explode(F.sequence(F.to_date(local("first_ms", p.session_zone)), F.to_date(local("last_ms", p.session_zone)))).alias("london_date")).where(F.weekday("london_date") < 5)
+    # Where bars don't say when their quotes came, their data last from the bar's start to its end.
+    first, last = ("first_ms", "last_ms") if "last_ms" in bars.columns else ("bar_ms", F.col("bar_ms") + MINUTE)
+    span = bars.groupBy("sym").agg(F.min(first).alias("first_ms"), F.max(last).alias("end_ms"), F.max("bar_ms").alias("last_ms"))
+    dates = span.select("sym", "first_ms", "end_ms", F.explode(F.sequence(F.to_date(local("first_ms", p.session_zone)), F.to_date(local("last_ms", p.session_zone)))).alias("london_date")).where(F.weekday("london_date") < 5)
     utc_minute = lambda minute: F.unix_millis(F.to_utc_timestamp(F.col("london_date").cast("timestamp") + F.make_dt_interval(mins=F.lit(minute)), p.session_zone))
     t = dates.join(day, ["sym", "london_date"], "left").na.fill(0, ["n_bars", "asia_n", "ldn_n"])
     t = t.withColumn("dst_summer", summer_time(F.timestamp_millis(utc_minute(p.london_minutes[0])), p.session_zone))
@@ -65,7 +68,8 @@ def session_table(bars: DataFrame, p: Frozen = FROZEN, asia_bars: int | None = N
         t = t.drop(*names).join(found, ["sym", "london_date"], "left")
     t = t.withColumn("asia_range", F.col("asia_hi") - F.col("asia_lo")).withColumn("ldn_range", F.col("ldn_hi") - F.col("ldn_lo"))
     if bounded:
-        reason = F.when(F.lit(out_of_slice) & (F.col("first_ms") > utc_minute(p.asia_minutes[0])), "out-of-slice").when((F.col("asia_n") < floors[0]) | (F.col("ldn_n") < floors[1]), "window-coverage")
+        outside = (F.col("first_ms") > utc_minute(p.asia_minutes[0])) | (F.col("end_ms") < utc_minute(p.london_minutes[1]))
+        reason = F.when(F.lit(out_of_slice) & outside, "out-of-slice").when((F.col("asia_n") < floors[0]) | (F.col("ldn_n") < floors[1]), "window-coverage")
     else:
         reason = F.when(F.col("n_bars") < 10, "no-data").when((F.col("asia_n") == 0) | (F.col("ldn_n") == 0), "missing-window-data")
     reason = reason.when(F.col("asia_range") <= 0, "zero-asia-range").otherwise("")

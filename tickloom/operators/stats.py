@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,26 @@ def summaries(panel: DataFrame, value: str, key: str = "sym") -> DataFrame:
 
 
 def rollup_year(panel: DataFrame, value: str) -> DataFrame:
-    """n and mean per sym and year, per sym, and of all."""
-    return panel.withColumn("year", F.year("day")).rollup("sym", "year").agg(F.grouping_id().alias("level"), F.count(value).alias("n"), F.avg(value).alias("mean"))
+    """The figures of ``describe`` per sym and year (level 0), per sym (1), and of all (3)."""
+    return panel.withColumn("year", F.year("day")).rollup("sym", "year").agg(F.grouping_id().alias("level"), *describe(value))
+
+
+def by_year(panel: DataFrame, value: str) -> DataFrame:
+    """The figures of ``describe`` per year, all syms together."""
+    return panel.groupBy(F.year("day").alias("year")).agg(*describe(value))
+
+
+def pair_summaries(sessions: DataFrame, value: str = "expansion_ratio", key: str = "sym") -> DataFrame:
+    """Per key and pooled (key NULL), from all sessions in one pass: ``describe`` and event shares of the valid ones, the share of summer time
+    among the valid ones, and how many sessions are valid and invalid."""
+    ok = F.coalesce(F.col("valid"), F.lit(False))
+    t = sessions.select(F.col(key).alias("_k"), ok.alias("_ok"), F.when(ok, F.col(value)).alias("_v"), F.when(ok, F.col("dst_summer").cast("double")).alias("_s"))
+    share = lambda e: F.avg(F.when(F.col("_ok"), F.coalesce((F.col("_v") > e).cast("double"), F.lit(0.0))))
+    out = t.groupingSets([["_k"], []], "_k").agg(
+        F.grouping("_k").alias("pooled"), *describe("_v"), share(FROZEN.events[0]).alias("p_gt_1"), share(FROZEN.events[1]).alias("p_gt_15"),
+        F.avg("_s").alias("dst_share"), F.count_if("_ok").alias("n_valid"), F.count_if(~F.col("_ok")).alias("n_invalid"),
+    )
+    return out.withColumnRenamed("_k", key)
 
 
 def midrank(panel: DataFrame, value: str, lookback: int = FROZEN.lookback, name: str = "pct") -> DataFrame:
@@ -145,20 +164,23 @@ def date_multiplicities(spark: SparkSession, n: int, draws: int, length: int, se
     return spark.range(draws).mapInArrow(draw, "replicate bigint, i bigint, times bigint")
 
 
-def weighted_medians(joined: DataFrame) -> DataFrame:
-    """(replicate, compressed, median) of ``expansion_ratio`` with weights ``times``, exact and interpolated, without a map of values per group.
+def weighted_medians(panel: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(replicate, compressed, median) of ``expansion_ratio`` with the weights of ``drawn`` (replicate, day, times), exact and interpolated.
 
-    ``class`` numbers ranges of values in order. Weights are added per (replicate, flag, class), which says in which class the two
-    middle ranks lie; only that class's rows are then put in order. Any ranges give the same medians; even ones make the classes small.
+    ``class`` numbers ranges of values in order. Rows are counted per (date, flag, class) first; the counts, weighted, say in which
+    class a replicate's two middle ranks lie, and only that class's rows then meet the draws. Any ranges give the same medians;
+    even ones make the classes small. The table of middle classes has a few rows per replicate, a parameter, so it may be broadcast.
     """
-    rows = joined.where("expansion_ratio IS NOT NULL").select("replicate", "compressed", "class", "expansion_ratio", "times")
+    rows = panel.where("expansion_ratio IS NOT NULL").select("day", "compressed", "class", "expansion_ratio")
     key = ["replicate", "compressed"]
-    sums = rows.groupBy(*key, "class").agg(F.sum("times").alias("w"))
+    counts = rows.groupBy("day", "compressed", "class").agg(F.count("*").alias("n"))
+    sums = counts.join(drawn, "day").groupBy(*key, "class").agg(F.sum(F.col("n") * F.col("times")).alias("w"))
     ordered = Window.partitionBy(*key).orderBy("class")
     sums = sums.withColumn("upto", F.sum("w").over(ordered)).withColumn("h", (F.sum("w").over(Window.partitionBy(*key)) - 1) / 2.0)
     sums = sums.withColumn("before", F.col("upto") - F.col("w"))
     middle = sums.where((F.col("upto") > F.floor("h")) & (F.col("before") <= F.ceil("h"))).select(*key, "class", "before", "h")
-    near = rows.join(middle, [*key, "class"]).groupBy(*key, "class", "before", "h", "expansion_ratio").agg(F.sum("times").alias("w"))
+    near = rows.join(F.broadcast(middle), ["compressed", "class"]).join(drawn, ["replicate", "day"])
+    near = near.groupBy(*key, "class", "before", "h", "expansion_ratio").agg(F.sum("times").alias("w"))
     near = near.withColumn("last", F.col("before") + F.sum("w").over(Window.partitionBy(*key, "class").orderBy("expansion_ratio"))).withColumn("first", F.col("last") - F.col("w"))
     at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") > rank), F.col("expansion_ratio")))
     ends = near.groupBy(*key).agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("part"))
@@ -168,62 +190,211 @@ def weighted_medians(joined: DataFrame) -> DataFrame:
 STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over", "share_over_15")
 
 
-def _statistics(joined: DataFrame) -> DataFrame:
-    """Per replicate six differences compressed minus other, every row weighing ``times``."""
-    weighted = lambda c, flag: F.try_divide(F.sum(F.when(flag & c.isNotNull(), c * F.col("times"))), F.sum(F.when(flag & c.isNotNull(), F.col("times"))))
-    yes, no = F.col("compressed"), ~F.col("compressed")
+def _terms() -> list[tuple[str, Column]]:
+    """The statistics that are differences of means, and what is averaged: a row without a ratio counts as not over, one without a return not at all."""
     er = F.col("expansion_ratio")
-    means = []
     over = [(n, F.coalesce((er > e).cast("double"), F.lit(0.0))) for n, e in zip(("share_over", "share_over_15"), FROZEN.events)]
-    for name, c in (("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), *over):
-        means.append((weighted(c, yes) - weighted(c, no)).alias(name))
-    medians = weighted_medians(joined).groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
-    return joined.groupBy("replicate").agg(*means).join(medians, "replicate", "left")
+    return [("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), *over]
 
 
-def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed) -> DataFrame:
-    """Point differences and 95% intervals by resampling blocks of dates, the whole panel of a date staying together.
+def _statistics(panel: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Per replicate six differences compressed minus other. Means come from sums and counts per date, so the draws meet dates and not rows."""
+    sides = (("c", F.col("compressed")), ("o", ~F.col("compressed")))
+    kept = [(f"{name}_{s}", F.when(flag & c.isNotNull(), c)) for name, c in _terms() for s, flag in sides]
+    dates = panel.groupBy("day").agg(*[f(c).alias(f"{n}_{k}") for n, c in kept for f, k in ((F.sum, "sum"), (F.count, "n"))])
+    weighted = [F.try_divide(F.sum(F.col(f"{n}_sum") * F.col("times")), F.sum(F.col(f"{n}_n") * F.col("times"))).alias(n) for n, _ in kept]
+    means = dates.join(drawn, "day").groupBy("replicate").agg(*weighted)
+    means = means.select("replicate", *[(F.col(f"{n}_c") - F.col(f"{n}_o")).alias(n) for n, _ in _terms()])
+    yes, no = F.col("compressed"), ~F.col("compressed")
+    medians = weighted_medians(panel, drawn).groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
+    return means.join(medians, "replicate", "left")
 
-    The draws are (replicate, date, times), joined to the panel by date; each replicate is then one group of weighted
-    aggregates, so no sample is ever written out. Dates are days of a calendar, numbered in order.
-    Returns statistic, point, low, high and valid draws; no interval under max(100, 0.9 draws) valid ones (for tests with few
-    draws: 0.9 draws).
-    """
+
+def _stacked(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("s")).select("s.*")
+
+
+def _classed(panel: DataFrame) -> DataFrame:
     panel = cut(panel.select("day", "compressed", "expansion_ratio", "absr_60m", "absr_180m"))
     bounds = panel.agg(F.percentile_approx("expansion_ratio", [i / 128 for i in range(1, 128)]).alias("b")).first()["b"] or []
-    panel = cut(panel.withColumn("class", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("expansion_ratio"))) if bounds else F.lit(0)))
-    days = panel.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
-    drawn = date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i")
-    replicas = _statistics(panel.join(drawn, "day"))
-    point = _statistics(panel.withColumn("replicate", F.lit(0)).withColumn("times", F.lit(1)))
-    stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in STATISTICS])).alias("s")).select("s.*")
-    least = max(100, 0.9 * draws) if draws >= 112 else 0.9 * draws
-    ci = stack(replicas).groupBy("statistic").agg(F.count("v").alias("valid"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
-    ci = ci.select("statistic", "valid", *[F.when(F.col("valid") >= least, F.col(c)).alias(c) for c in ("low", "high")])
-    return stack(point).withColumnRenamed("v", "point").join(ci, "statistic", "left")
-
-
-def moving_block_interval(a: Sequence[float], b: Sequence[float], draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed) -> tuple[float, float, float] | None:
-    """Mean difference of two short series with its 95% interval, overlapping blocks, each group on its own. For series that fit a driver: one value per day."""
-    a, b = (np.asarray([v for v in x if v is not None and np.isfinite(v)], dtype=float) for x in (a, b))
-    if not len(a) or not len(b):
-        return None
-    rng = np.random.default_rng(seed)
-
-    def mean(x: np.ndarray) -> float:
-        size = min(length, len(x))
-        starts = rng.integers(0, len(x) - size + 1, -(-len(x) // size))
-        return float(np.concatenate([x[s : s + size] for s in starts])[: len(x)].mean())
-
-    found = [mean(a) - mean(b) for _ in range(draws)]
-    return float(a.mean() - b.mean()), *map(float, np.percentile(found, [2.5, 97.5]))
-
-
-def decide(ratio: tuple[float, float] | None, direction: Sequence[tuple[float, float] | None], positive_share: float) -> str:
-    """PASS if the ratio's interval lies above 0 in most pairs and some return's too, MECHANICAL if only the ratio's does, else FAIL."""
-    if ratio is None or ratio[0] <= 0 or positive_share < 5 / 6:
-        return "FAIL"
-    return "PASS" if any(ci is not None and ci[0] > 0 for ci in direction) else "MECHANICAL"
+    return cut(panel.withColumn("class", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("expansion_ratio"))) if bounds else F.lit(0)))
+
+
+def point_differences(panel: DataFrame) -> DataFrame:
+    """(statistic, point) of the six differences, every date taken once."""
+    classed = _classed(panel)
+    once = classed.select("day").distinct().select(F.lit(0).alias("replicate"), "day", F.lit(1).alias("times"))
+    return _stacked(_statistics(classed, once)).withColumnRenamed("v", "point")
+
+
+def _ends(level: float) -> tuple[float, float]:
+    """The quantiles that bound an interval of this level; rounded, because 1 - level isn't exact in binary."""
+    return round((1 - level) / 2, 12), round((1 + level) / 2, 12)
+
+
+def _excludes_zero() -> Column:
+    return (F.col("low") > 0) | (F.col("high") < 0)
+
+
+def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed, level: float = 0.95, least_valid: int = 100) -> DataFrame:
+    """Point differences and intervals by resampling blocks of dates, the whole panel of a date staying together.
+
+    The draws are (replicate, date, times); a date's rows are summed once and the sums weighted, so no sample is ever written
+    out. Dates are days of a calendar, numbered in order. Returns statistic, point, low, high, valid draws and excludes_zero; no interval
+    under max(``least_valid``, 0.9 draws) valid ones.
+    """
+    classed = _classed(panel)
+    days = classed.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+    drawn = cut(date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i").select("replicate", "day", "times"))
+    once = days.select(F.lit(0).alias("replicate"), "day", F.lit(1).alias("times"))
+    low, high = _ends(level)
+    ci = _stacked(_statistics(classed, drawn)).groupBy("statistic").agg(F.count("v").alias("valid"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    ci = ci.select("statistic", "valid", *[F.when(F.col("valid") >= max(least_valid, int(0.9 * draws)), F.col(c)).alias(c) for c in ("low", "high")])
+    point = _stacked(_statistics(classed, once)).withColumnRenamed("v", "point")
+    return point.join(ci, "statistic", "left").withColumn("excludes_zero", _excludes_zero())
+
+
+def block_length_check(panel: DataFrame, lengths: Sequence[int] = (10, 20, 40), draws: int = FROZEN.draws, seed: int = FROZEN.seed, level: float = 0.9833, **more) -> DataFrame:
+    """The joint bootstrap at an evidence level, repeated with other block lengths: its columns and ``length``."""
+    out = [joint_block_bootstrap(panel, draws, n, seed, level, **more).withColumn("length", F.lit(n)) for n in lengths]
+    return reduce(DataFrame.unionByName, out)
+
+
+def evidence_gate(states: DataFrame, intervals: DataFrame, floor: float = 0.05, matches: int = 500, dates: int = 200, years: int = 3) -> DataFrame:
+    """Per state whether its evidence is enough: state, n_matches, n_dates, n_years, effect, low, enough, passes.
+
+    ``states`` has a row per matched pair: state, day, effect (as a share, so that five points are 0.05). ``intervals`` has state, low
+    and high of each block length tried. Enough: at least so many matches, dates and calendar years. A state passes if there is enough,
+    its mean effect is at least ``floor`` and every interval of it lies above 0. States without an interval don't pass; rows
+    without an effect aren't counted.
+    """
+    rows = states.where("effect IS NOT NULL")
+    out = rows.groupBy("state").agg(F.count("*").alias("n_matches"), F.count_distinct("day").alias("n_dates"), F.count_distinct(F.year("day")).alias("n_years"), F.avg("effect").alias("effect"))
+    out = out.join(intervals.groupBy("state").agg(F.min(F.coalesce("low", F.lit(float("-inf")))).alias("low")), "state", "left")
+    out = out.withColumn("enough", (F.col("n_matches") >= matches) & (F.col("n_dates") >= dates) & (F.col("n_years") >= years))
+    return out.withColumn("passes", F.col("enough") & (F.col("effect") >= floor) & F.coalesce(F.col("low") > 0, F.lit(False)))
+
+
+def _positions(rows: DataFrame) -> DataFrame:
+    """compressed, i, before: each row's number within its flag, in the order of sym and day, and the sum of ``v`` over the rows before it; and one
+    row behind the last. Rows are range-partitioned, so no flag is in one task: totals per partition give the offsets."""
+    order = ["compressed", "sym", "day"]
+    placed = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    totals = placed.groupBy("compressed", "part").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    ahead = Window.partitionBy("compressed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("compressed", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s0"))
+    own = Window.partitionBy("compressed", "part").orderBy("sym", "day", "v")
+    inside = placed.select("compressed", "part", (F.row_number().over(own) - 1).alias("k"), F.coalesce(F.sum("v").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("p"))
+    numbered = inside.join(offsets, ["compressed", "part"]).select("compressed", (F.col("n0") + F.col("k")).alias("i"), (F.col("s0") + F.col("p")).alias("before"))
+    return numbered.unionByName(totals.groupBy("compressed").agg(F.sum("n").alias("i"), F.sum("s").alias("before")))
+
+
+def moving_block_interval(panel: DataFrame, value: str, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed, level: float = 0.95) -> DataFrame:
+    """Mean difference of ``value``, compressed minus other rows, with its interval: overlapping blocks of rows, each group on its own.
+
+    Rows are numbered by sym and day within their group; those without a value are left out. A replicate of n rows draws ceil(n / length)
+    starts and cuts the last block so that it has n rows, from a seed of its own. A block's sum is the difference of two running
+    sums, so a draw is two numbers that meet the running sums by row number; no sample is written out and nothing but counts reaches the
+    driver. Returns one row: value, n_compressed, n_other, difference, low, high, excludes_zero; NULLs without rows in both groups. A group
+    shorter than a block is one block.
+    """
+    rows = panel.where(F.col(value).isNotNull() & F.col("compressed").isNotNull()).select("compressed", "sym", "day", F.col(value).cast("double").alias("v"))
+    sums = cut(_positions(rows))
+    size = {r.compressed: r.n for r in sums.groupBy("compressed").agg(F.max("i").alias("n")).collect()}
+    spark = panel.sparkSession
+    schema = "value string, n_compressed bigint, n_other bigint, difference double, low double, high double, excludes_zero boolean"
+    if len(size) < 2:
+        return spark.createDataFrame([(value, size.get(True, 0), size.get(False, 0), None, None, None, None)], schema)
+
+    def draw(batches):
+        for b in batches:
+            for r in b.column(0).to_pylist():
+                for flag, n in size.items():
+                    long = min(length, n)
+                    start = np.random.default_rng((seed, r, int(flag))).integers(0, n - long + 1, -(-n // long))
+                    end = start + long
+                    end[-1] -= len(start) * long - n
+                    at, times = np.unique(np.concatenate([start, end]), return_inverse=True)
+                    times = np.bincount(times, np.repeat([-1, 1], len(start)), len(at)).astype(np.int64)
+                    kept = np.flatnonzero(times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), r)), pa.array([flag] * len(kept), pa.bool_()), pa.array(at[kept]), pa.array(times[kept])], names=["replicate", "compressed", "i", "times"])
+
+    drawn = spark.range(draws).mapInArrow(draw, "replicate bigint, compressed boolean, i bigint, times bigint")
+    side = lambda c, flag: F.max(F.when(F.col("compressed") == flag, F.col(c)))
+    n = F.when(F.col("compressed"), float(size[True])).otherwise(float(size[False]))
+    means = drawn.join(sums, ["compressed", "i"]).groupBy("replicate", "compressed").agg((F.sum(F.col("times") * F.col("before"))).alias("s")).withColumn("m", F.col("s") / n)
+    found = means.groupBy("replicate").agg((side("m", True) - side("m", False)).alias("d"))
+    low, high = _ends(level)
+    ci = found.agg(F.percentile("d", F.lit(low)).alias("low"), F.percentile("d", F.lit(high)).alias("high"))
+    point = sums.groupBy("compressed").agg(F.max_by("before", "i").alias("s")).withColumn("m", F.col("s") / n).agg((side("m", True) - side("m", False)).alias("difference"))
+    both = point.withColumn("one", F.lit(1)).join(ci.withColumn("one", F.lit(1)), "one")  # one row each
+    return both.select(F.lit(value).alias("value"), F.lit(size[True]).alias("n_compressed"), F.lit(size[False]).alias("n_other"), "difference", "low", "high", _excludes_zero().alias("excludes_zero"))
+
+
+def difference_tests(panel: DataFrame, values: Sequence[str]) -> DataFrame:
+    """value, mean_compressed, mean_other, n1, n2, z: means of both groups and the rank test, for each of several columns. Means and ranks leave NULLs out."""
+    out = []
+    for v in values:
+        a, b = _groups(v)
+        means = panel.agg(F.avg(a).alias("mean_compressed"), F.avg(b).alias("mean_other"))
+        out.append(means.join(mann_whitney(panel, v).select("n1", "n2", "z"), F.lit(True)).select(F.lit(v).alias("value"), "*"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+def summarize(flagged: DataFrame, draws: int = FROZEN.draws, horizons: Sequence[int] = FROZEN.horizons, intervals: Sequence[int] = (60, 180)) -> dict:
+    """The first version's bundle: medians and rank test of the ratio, shares over the events, absolute returns by horizon, and diagnostics."""
+    yes, no = F.col("compressed"), ~F.col("compressed")
+    med = lambda c, flag: F.percentile(F.when(flag, F.col(c)), F.lit(0.5))
+    rank = lambda c: verdict(mann_whitney(flagged, c).first().z)
+    boot = lambda c: moving_block_interval(flagged, c, draws).first().asDict()
+    f = flagged.agg(
+        F.count_if(yes).alias("n_compressed"), F.count_if(no).alias("n_other"), med("expansion_ratio", yes).alias("a"), med("expansion_ratio", no).alias("b"),
+        med("expansion_ratio", F.lit(True)).alias("c"), med("ldn_pct", yes).alias("d"), med("ldn_pct", no).alias("e"), F.avg(F.when(yes, F.col("ldn_range")) * 1e4).alias("f"), F.avg(F.when(no, F.col("ldn_range")) * 1e4).alias("g"),
+        *[F.avg(F.when(x, F.col(f"absr_{h}m")) * 1e4).alias(f"{k}{h}") for h in horizons for k, x in (("c", yes), ("o", no))],
+    ).first()
+    over = {n: two_proportions(flagged, F.col("expansion_ratio") > e).first() for n, e in zip(("over_1", "over_15"), FROZEN.events)}
+    out = {"n_compressed": f.n_compressed, "n_other": f.n_other}
+    out["ratio"] = {"median_compressed": f.a, "median_other": f.b, "median_all": f.c, "rank": rank("expansion_ratio"), "boot": boot("expansion_ratio")}
+    out["shares"] = {k: {"compressed": r.x1 / r.n1 if r.n1 else None, "other": r.x2 / r.n2 if r.n2 else None, **verdict(r.z)} for k, r in over.items()}
+    out["returns"] = {h: {"mean_bp_compressed": f[f"c{h}"], "mean_bp_other": f[f"o{h}"], "rank": rank(f"absr_{h}m"), **({"boot": boot(f"absr_{h}m")} if h in intervals else {})} for h in horizons}
+    out["london_percentile"] = {"median_compressed": f.d, "median_other": f.e, "rank": rank("ldn_pct")}
+    out["london_range_bp"] = {"mean_compressed": f.f, "mean_other": f.g}
+    return out
+
+
+def consistent(signs: Mapping[str, float]) -> bool:
+    """Whether at least five of six syms (5/6 of any number) have a positive difference."""
+    return bool(signs) and 6 * sum(v > 0 for v in signs.values()) >= 5 * len(signs)
+
+
+def decide_first(pooled: Mapping, signs: Mapping[str, Mapping[str, float]], level: float = 0.05) -> tuple[str, dict[str, bool]]:
+    """The first version's verdict and its checks, from ``summarize`` and the signs per sym of ``ratio``, ``60`` and ``180``.
+
+    The ratio and each return need a rank test below ``level``, an interval that excludes 0 and consistent signs; both shares need a
+    test below ``level``. PASS if all hold, MECHANICAL if just the ratio's and the shares' do, else FAIL.
+    """
+    small = lambda t: t.get("p") is not None and t["p"] < level
+
+    def holds(part: Mapping, s: Mapping[str, float]) -> bool:
+        return small(part["rank"]) and bool((part.get("boot") or {"excludes_zero": True})["excludes_zero"]) and consistent(s)
+
+    checks = {"ratio": holds(pooled["ratio"], signs["ratio"])} | {k: small(t) for k, t in pooled["shares"].items()}
+    checks |= {f"return_{h}": holds(pooled["returns"][h], signs[str(h)]) for h in (60, 180)}
+    ratio = checks["ratio"] and checks["over_1"] and checks["over_15"]
+    return "PASS" if all(checks.values()) else "MECHANICAL" if ratio and not (checks["return_60"] and checks["return_180"]) else "FAIL", checks
+
+
+def decide(statistics: Mapping[str, Mapping], signs_60: Mapping[str, float]) -> tuple[str, dict[str, bool]]:
+    """The second version's verdict and its checks, from the joint bootstrap's point and excludes_zero per statistic and the signs of |R_60| per sym.
+
+    ratio: the median's difference is above 0, and its interval and that of the mean exclude 0; return_60 and return_180: above 0
+    with an interval that excludes 0; signs_60: consistent. PASS if all four hold, MECHANICAL if the ratio's does and neither return's, else FAIL.
+    """
+    up = lambda k: (statistics[k]["point"] or 0) > 0 and bool(statistics[k]["excludes_zero"])
+    checks = {"ratio": up("ratio_median") and bool(statistics["ratio_mean"]["excludes_zero"]), "return_60": up("r60_mean"), "return_180": up("r180_mean"), "signs_60": consistent(signs_60)}
+    if all(checks.values()):
+        return "PASS", checks
+    return "MECHANICAL" if checks["ratio"] and not (checks["return_60"] or checks["return_180"]) else "FAIL", checks
 
 
 def verdict(z: float | None) -> dict:

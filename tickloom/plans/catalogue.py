@@ -11,7 +11,9 @@ from tickloom.operators import quotes as Q
 from tickloom.operators import refresh as R
 from tickloom.operators import sessions as X
 from tickloom.operators import stats as T
+from tickloom.session import cut
 from tickloom.sources.adapters import DAILY_SQL, FLAGGED_SQL, PANEL_SQL, QUOTES_SQL, dirty_quotes, panel, quotes
+from tickloom.sources.tables import number, six_capitals, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,7 +170,7 @@ def cal_01_sessions(spark, d):
 _BARS1 = WITH_Q + ", b1 AS (SELECT sym, (utc_ms // 60000) * 60000 AS bar_ms, max(bid) AS bid_h, min(bid) AS bid_l, arg_max((bid+ask)/2, (utc_ms, seq, tick_id)) AS mid_c FROM q GROUP BY 1, 2), l AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b1), lb AS (SELECT *, CAST(lt AS DATE) AS london_date, hour(lt) * 60 + minute(lt) AS m FROM l)"
 
 
-def _sessions_sql(bounded: bool) -> str:
+def _sessions_sql(bounded: bool, floors: tuple[int, int] = (60, 30)) -> str:
     hs = FROZEN.horizons
     # Unbounded: the last close at or before the instant, over days.
     if bounded:
@@ -176,7 +178,7 @@ def _sessions_sql(bounded: bool) -> str:
     else:
         near = ""
     day = f"SELECT sym, london_date, count(*) FILTER (WHERE m < 601) AS n_bars, count(*) FILTER (WHERE m < 420) AS asia_n, count(*) FILTER (WHERE m BETWEEN 420 AND 600) AS ldn_n, max(bid_h) FILTER (WHERE m < 420) AS ah, min(bid_l) FILTER (WHERE m < 420) AS al, max(bid_h) FILTER (WHERE m BETWEEN 420 AND 600) AS lh, min(bid_l) FILTER (WHERE m BETWEEN 420 AND 600) AS ll{near} FROM lb GROUP BY 1, 2"
-    sql = _BARS1 + f", day AS ({day}), span AS (SELECT sym, min(bar_ms) AS f, min(london_date) AS a, max(london_date) AS z FROM lb GROUP BY 1), dates AS (SELECT sym, f, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS london_date FROM span), j AS (SELECT dates.sym, dates.f, dates.london_date, day.* EXCLUDE (sym, london_date), epoch_ms({_UTC.format(m=0)}) AS a0, epoch_ms({_UTC.format(m=420)}) AS l0 FROM dates LEFT JOIN day USING (sym, london_date) WHERE isodow(dates.london_date) < 6)"
+    sql = _BARS1 + f", day AS ({day}), span AS (SELECT sym, f, e, min(london_date) AS a, max(london_date) AS z FROM lb JOIN (SELECT sym, min(utc_ms) AS f, max(utc_ms) AS e FROM q GROUP BY 1) USING (sym) GROUP BY 1, 2, 3), dates AS (SELECT sym, f, e, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS london_date FROM span), j AS (SELECT dates.sym, dates.f, dates.e, dates.london_date, day.* EXCLUDE (sym, london_date), epoch_ms({_UTC.format(m=0)}) AS a0, epoch_ms({_UTC.format(m=420)}) AS l0, epoch_ms({_UTC.format(m=601)}) AS l1 FROM dates LEFT JOIN day USING (sym, london_date) WHERE isodow(dates.london_date) < 6)"
     if not bounded:
         last = "j"
         for h in (0, *hs):
@@ -186,7 +188,7 @@ def _sessions_sql(bounded: bool) -> str:
         reason = "CASE WHEN coalesce(n_bars, 0) < 10 THEN 'no-data' WHEN coalesce(asia_n, 0) = 0 OR coalesce(ldn_n, 0) = 0 THEN 'missing-window-data' WHEN ah - al <= 0 THEN 'zero-asia-range' ELSE '' END"
     else:
         sql += ", y AS (SELECT * FROM j)"
-        reason = "CASE WHEN f > a0 THEN 'out-of-slice' WHEN coalesce(asia_n, 0) < 60 OR coalesce(ldn_n, 0) < 30 THEN 'window-coverage' WHEN ah - al <= 0 THEN 'zero-asia-range' ELSE '' END"
+        reason = f"CASE WHEN f > a0 OR e < l1 THEN 'out-of-slice' WHEN coalesce(asia_n, 0) < {floors[0]} OR coalesce(ldn_n, 0) < {floors[1]} THEN 'window-coverage' WHEN ah - al <= 0 THEN 'zero-asia-range' ELSE '' END"
     v = lambda x: f"CASE WHEN reason = '' THEN {x} END"
     cols = [f"reason = '' AND p0 IS NOT NULL AND p{h} IS NOT NULL AS valid_for_h{h}m" for h in hs]
     cols += [f"{v(x)} AS {n}" for x, n in (("ah", "asia_hi"), ("al", "asia_lo"), ("ah - al", "asia_range"), ("lh", "ldn_hi"), ("ll", "ldn_lo"), ("lh - ll", "ldn_range"), ("(lh - ll) / (ah - al)", "expansion_ratio"))]
@@ -215,6 +217,12 @@ def ses_02_sessions_v2(spark, d):
     return _v2(spark, d)
 
 
+@query(_sessions_sql(True, (FROZEN.asia_bars, FROZEN.london_bars)))
+def ses_02_frozen_floors(spark, d):
+    """The same with the frozen floors of 350 and 150 bars, which few of the test quotes' sessions reach."""
+    return X.session_table(Q.closes(quotes(spark, d))).withColumn("london_date", _text("london_date"))
+
+
 _V2 = "WITH ses AS (" + _sessions_sql(True) + ") "
 
 
@@ -282,9 +290,25 @@ def agg_07_08_grouping_sets(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("p_gt_1", "p_gt_15")})
 
 
-@query(WITH_P + ", y AS (SELECT *, year(day) AS year FROM panel) SELECT sym, CAST(year AS VARCHAR) AS year, CAST(grouping(sym, year) AS BIGINT) AS level, count(expansion_ratio) AS n, round(avg(expansion_ratio), 9) AS mean FROM y GROUP BY ROLLUP (sym, year)")
+@query(WITH_P + f", y AS (SELECT *, year(day) AS year FROM panel) SELECT sym, CAST(year AS VARCHAR) AS year, CAST(grouping(sym, year) AS BIGINT) AS level, {_stats_sql('expansion_ratio')} FROM y GROUP BY ROLLUP (sym, year)")
 def agg_09_rollup_year(spark, d):
-    return T.rollup_year(panel(spark, d), "expansion_ratio").withColumns({"mean": F.round("mean", 9), "year": F.col("year").cast("string")})
+    return _rounded(T.rollup_year(panel(spark, d), "expansion_ratio")).withColumn("year", F.col("year").cast("string"))
+
+
+@query(WITH_P + f"SELECT CAST(year(day) AS INT) AS year, {_stats_sql('expansion_ratio')} FROM panel GROUP BY 1")
+def agg_10_by_year(spark, d):
+    return _rounded(T.by_year(panel(spark, d), "expansion_ratio"))
+
+
+@query(
+    "WITH t AS (SELECT feed || ':' || upper(regexp_replace(pair, '[^A-Za-z]', '', 'g')) AS sym, coalesce(valid, false) AS ok, CASE WHEN valid AND NOT isnan(expansion_ratio) THEN expansion_ratio END AS v, CASE WHEN valid THEN dst_summer::INT END AS s FROM sessions) "
+    f"SELECT sym, CAST(grouping(sym) AS TINYINT) AS pooled, {_stats_sql('v')}, round(avg(CASE WHEN v > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE ok), 9) AS p_gt_1, round(avg(CASE WHEN v > 1.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE ok), 9) AS p_gt_15, round(avg(s), 9) AS dst_share, count(*) FILTER (WHERE ok) AS n_valid, count(*) FILTER (WHERE NOT ok) AS n_invalid FROM t GROUP BY GROUPING SETS ((sym), ())"
+)
+def agg_07_pair_summary(spark, d):
+    """Per sym and pooled: the figures of the ratio, share of summer time, valid and invalid sessions, over all rows of the table."""
+    t = table(spark, d, "sessions").select(F.concat_ws(":", "feed", six_capitals("pair")).alias("sym"), "valid", number("expansion_ratio").alias("expansion_ratio"), "dst_summer")
+    out = _rounded(T.pair_summaries(t))
+    return out.withColumns({c: F.round(c, 9) for c in ("p_gt_1", "p_gt_15", "dst_share")})
 
 
 def _flagged(spark, d):
@@ -346,6 +370,37 @@ def sta_02_two_prop_z(spark, d):
     return T.two_proportions(_flagged(spark, d), F.col("expansion_ratio") > 1).withColumn("z", F.round("z", 9))
 
 
+@query(
+    WITH_F
+    + f""", r AS (SELECT compressed, ldn_pct, {", ".join(f"absr_{h}m" for h in FROZEN.horizons)}, expansion_ratio FROM flagged), """
+    + ", ".join(
+        f"""k{i} AS (SELECT compressed, {v} AS v, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE AS rank FROM r WHERE {v} IS NOT NULL),
+t{i} AS (SELECT '{v}' AS value, avg(v) FILTER (WHERE compressed) AS a, avg(v) FILTER (WHERE NOT compressed) AS b, count(*) FILTER (WHERE compressed) AS n1, count(*) FILTER (WHERE NOT compressed) AS n2, sum(rank) FILTER (WHERE compressed) AS rs FROM k{i})"""
+        for i, v in enumerate((*(f"absr_{h}m" for h in FROZEN.horizons), "ldn_pct", "expansion_ratio"))
+    )
+    + ", t AS ("
+    + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(FROZEN.horizons) + 2))
+    + ") SELECT value, round(a, 9) AS mean_compressed, round(b, 9) AS mean_other, n1, n2, CASE WHEN n1 >= 20 AND n2 >= 20 THEN round((rs - n1::DOUBLE * (n1 + 1) / 2 - n1::DOUBLE * n2 / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12), 9) END AS z FROM t"
+)
+def sta_03_tests(spark, d):
+    """Rank tests of the absolute returns at every horizon, of the London range's percentile and of the ratio."""
+    flagged = cut(_flagged(spark, d))
+    out = T.difference_tests(flagged, (*(f"absr_{h}m" for h in FROZEN.horizons), "ldn_pct", "expansion_ratio"))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_compressed", "mean_other", "z")})
+
+
+@query(
+    WITH_F
+    + """, s AS (SELECT *, CASE WHEN expansion_ratio > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o1, CASE WHEN expansion_ratio > 1.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o15 FROM flagged),
+p AS (SELECT median(expansion_ratio) FILTER (WHERE compressed) - median(expansion_ratio) FILTER (WHERE NOT compressed) AS ratio_median, """
+    + ", ".join(f"avg({v}) FILTER (WHERE compressed) - avg({v}) FILTER (WHERE NOT compressed) AS {n}" for v, n in (("expansion_ratio", "ratio_mean"), ("absr_60m", "r60_mean"), ("absr_180m", "r180_mean"), ("o1", "share_over"), ("o15", "share_over_15")))
+    + " FROM s) SELECT statistic, round(point, 9) AS point FROM p UNPIVOT (point FOR statistic IN (ratio_median, ratio_mean, r60_mean, r180_mean, share_over, share_over_15))"
+)
+def bst_02_points(spark, d):
+    """The joint bootstrap's point differences, through its own sums per date and medians by class."""
+    return T.point_differences(_flagged(spark, d)).withColumn("point", F.round("point", 9))
+
+
 @query()
 def bst_02_joint_block(spark, d):
     return T.joint_block_bootstrap(_flagged(spark, d), draws=FROZEN.draws)
@@ -353,18 +408,36 @@ def bst_02_joint_block(spark, d):
 
 @query()
 def bst_01_block_ci(spark, d):
-    """Mean difference of the daily mean ratio, flagged against others: one value per date, so both series fit the driver."""
-    days = _flagged(spark, d).groupBy("day").agg(F.avg(F.when(F.col("compressed"), F.col("expansion_ratio"))).alias("a"), F.avg(F.when(~F.col("compressed"), F.col("expansion_ratio"))).alias("b")).orderBy("day").collect()
-    found = T.moving_block_interval([r.a for r in days], [r.b for r in days], draws=FROZEN.draws) or (None, None, None)
-    return spark.createDataFrame([("expansion_ratio", *found)], "value string, difference double, low double, high double")
+    """Mean difference of the ratio, flagged rows against others, with overlapping blocks of rows."""
+    return T.moving_block_interval(_flagged(spark, d), "expansion_ratio", draws=FROZEN.draws)
+
+
+@query(WITH_F + "SELECT 'absr_60m' AS value, count(absr_60m) FILTER (WHERE compressed) AS n_compressed, count(absr_60m) FILTER (WHERE NOT compressed) AS n_other, round(avg(absr_60m) FILTER (WHERE compressed) - avg(absr_60m) FILTER (WHERE NOT compressed), 9) AS difference FROM flagged")
+def bst_01_points(spark, d):
+    """The point of the moving blocks' interval, from its running sums (one draw: the draws don't matter to it)."""
+    found = T.moving_block_interval(_flagged(spark, d), "absr_60m", draws=1)
+    return found.select("value", "n_compressed", "n_other", F.round("difference", 9).alias("difference"))
+
+
+def _signs(flagged: DataFrame, value: str) -> dict[str, float]:
+    return {r.sym: r.difference for r in T.mean_difference(flagged, value).collect()}
 
 
 @query()
 def gat_02_decision(spark, d):
+    """The second version's verdict and its four checks."""
     flagged = _flagged(spark, d)
-    ci = {r.statistic: (r.low, r.high) if r.low is not None else None for r in T.joint_block_bootstrap(flagged, draws=FROZEN.draws).collect()}
-    signs = T.mean_difference(flagged, "expansion_ratio").agg(F.avg((F.col("difference") > 0).cast("double"))).first()[0] or 0.0
-    return spark.createDataFrame([(T.decide(ci["ratio_median"], [ci["r60_mean"], ci["r180_mean"]], signs), float(signs))], "verdict string, positive_share double")
+    found = {r.statistic: r.asDict() for r in T.joint_block_bootstrap(flagged, draws=FROZEN.draws).collect()}
+    said, checks = T.decide(found, _signs(flagged, "absr_60m"))
+    return spark.createDataFrame([(said, *checks.values())], "verdict string, " + ", ".join(f"{c} boolean" for c in checks))
+
+
+@query()
+def gat_01_decision(spark, d):
+    """The first version's verdict and its five checks."""
+    flagged = cut(_flagged(spark, d))
+    said, checks = T.decide_first(T.summarize(flagged, FROZEN.draws), {"ratio": _signs(flagged, "expansion_ratio"), "60": _signs(flagged, "absr_60m"), "180": _signs(flagged, "absr_180m")})
+    return spark.createDataFrame([(said, *checks.values())], "verdict string, " + ", ".join(f"{c} boolean" for c in checks))
 
 
 # --- refresh of stored months ---

@@ -21,7 +21,7 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """One row per sym and day: the usable session loaded last."""
-    figures = ("ldn_range", "expansion_ratio", "r_60m", "absr_60m", "absr_180m", "asia_hi", "asia_lo", "dst_summer")
+    figures = ("ldn_range", "expansion_ratio", "r_60m", "absr_15m", "absr_30m", "absr_60m", "absr_180m", "asia_hi", "asia_lo", "dst_summer")
     t = counting_sessions(table(spark, d, "sessions"), *figures)
     return t.select(F.concat_ws(":", "feed", "pair").alias("sym"), "day", "asia_range", *figures[:-1], (F.col("dst_summer") > 0).alias("dst_summer"))
 
@@ -43,7 +43,7 @@ u AS (SELECT feed || ':' || upper(regexp_replace(pair, '[^A-Za-z]', '', 'g')) AS
     CAST(strptime(left(regexp_replace(london_date, '\\D', '', 'g'), 8), '%Y%m%d') AS DATE) AS day, * EXCLUDE (pair)
   FROM sessions WHERE valid AND asia_range IS NOT NULL AND NOT isnan(asia_range) AND asia_range > 0),
 pick AS (SELECT sym, day, max((loaded_at, session_id)) AS m FROM u GROUP BY 1, 2),
-panel AS (SELECT u.sym, u.day, asia_range, dst_summer, asia_hi, asia_lo, """ + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in ("ldn_range", "expansion_ratio", "r_60m", "absr_60m", "absr_180m")) + """
+panel AS (SELECT u.sym, u.day, asia_range, dst_summer, asia_hi, asia_lo, """ + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in ("ldn_range", "expansion_ratio", "r_60m", "absr_15m", "absr_30m", "absr_60m", "absr_180m")) + """
   FROM u JOIN pick ON u.sym = pick.sym AND u.day = pick.day AND u.loaded_at = pick.m[1] AND u.session_id = pick.m[2])
 """
 
