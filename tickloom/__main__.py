@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
         if quotes.isEmpty():
             print("no quotes of these pairs", file=sys.stderr)
             return 1
-        print(whole_run(spark, quotes, args.first, args.last, args.out, pairs, args.draws)["verdict"])
+        print(whole_run(spark, quotes, args.first, args.last, args.out, pairs, args.draws, args.store)["verdict"])
     return 0
 
 

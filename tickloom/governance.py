@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import subprocess
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import interval_text
+from tickloom.session import read_text, write_text
 
 
 class Mismatch(ValueError):
@@ -41,7 +44,9 @@ def snapshot(df: DataFrame, key: str = "sym") -> dict:
 
 
 def reject_mismatch(a: Mapping, b: Mapping, where: str) -> None:
-    if a.get("snapshot_id") != b.get("snapshot_id") or a.get("pairs") != b.get("pairs"):
+    if not a.get("snapshot_id") or not b.get("snapshot_id"):
+        raise Mismatch(f"{where}: no snapshot")
+    if a["snapshot_id"] != b["snapshot_id"] or not a.get("pairs") or a["pairs"] != b.get("pairs"):
         raise Mismatch(f"{where}: the snapshots differ")
 
 
@@ -50,15 +55,58 @@ def code_hashes() -> dict[str, str]:
     return {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
 
 
-def preconditions(run: Mapping, gates: Mapping, sessions: DataFrame, live: Mapping, required: tuple[str, ...]) -> list[str]:
+def revision() -> str | None:
+    """The commit the code was checked out at; None where there is no repository."""
+    try:
+        ran = subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10, check=False)
+    except OSError:
+        return None
+    return ran.stdout.strip() or None
+
+
+def bind(report: Mapping, store: Mapping) -> dict:
+    """The report with what it was made from: the store's snapshot, the code's revision and hashes."""
+    if not store.get("snapshot_id"):
+        raise Mismatch("there is no snapshot to bind to")
+    return {**report, "snapshot_id": store["snapshot_id"], "code": {"revision": revision(), "files": code_hashes()}}
+
+
+STORE_MANIFEST = "_manifest.json"
+
+
+def store_manifest(spark: SparkSession, root: str, snap: Mapping) -> dict:
+    """The manifest of a store, made from its snapshot the first time. It never changes after that: another snapshot raises Mismatch.
+
+    What ``mark_shards`` has noted of the store's months stays in it.
+    """
+    path = f"{root.rstrip('/')}/{STORE_MANIFEST}"
+    old = json.loads(read_text(spark, path) or "{}")
+    if old.get("snapshot_id"):
+        reject_mismatch(old, snap, "store manifest")
+        return old
+    found = {**old, **snap}
+    write_text(spark, path, json.dumps(found, indent=2, sort_keys=True))
+    return found
+
+
+def mark_shards(spark: SparkSession, root: str, marks: Mapping[str, Mapping]) -> None:
+    """Note in the store's manifest how months came about (``sym/yyyymm`` to a mark). The snapshot bound before stays, so readers refuse it until the store is bound again."""
+    path = f"{root.rstrip('/')}/{STORE_MANIFEST}"
+    found = json.loads(read_text(spark, path) or "{}")
+    found["shards"] = {**found.get("shards", {}), **marks}
+    write_text(spark, path, json.dumps(found, indent=2, sort_keys=True))
+
+
+def preconditions(run: Mapping, gates: Mapping, sessions: DataFrame, live: Mapping, required: tuple[str, ...], store: Mapping | None = None) -> list[str]:
     """Why inference must not start; empty if it may.
 
-    ``run`` is the session run's manifest (store, unique_sessions, universe_complete, expected_months, sessions_hash), ``gates`` the
-    gate report (store, expected_months, pairs), ``live`` the store's snapshot now, ``sessions`` the session table.
+    ``run`` is the session run's manifest (store, unique_sessions, universe_complete, expected_months, months_missing, sessions_hash), ``gates``
+    the gate report (store, expected_months, pairs), ``live`` the store's snapshot now, ``sessions`` the session table and ``store`` the
+    manifest saved with the store, if there is one. Sessions are counted as valid rows per pair, in the table and in the manifest.
     """
     bad = []
-    for name, x in (("run", run), ("gates", gates)):
-        if not x.get("store"):
+    for name, x in (("run", run), ("gates", gates), *([("saved store", {"store": store})] if store and store.get("snapshot_id") else [])):
+        if not (x.get("store") or {}).get("snapshot_id"):
             bad.append(f"{name}: no binding to a store")
             continue
         try:
@@ -67,12 +115,15 @@ def preconditions(run: Mapping, gates: Mapping, sessions: DataFrame, live: Mappi
             bad.append(str(why))
     if not run.get("universe_complete"):
         bad.append("run: the universe is incomplete")
-    if run.get("expected_months") != gates.get("expected_months"):
+    if not run.get("expected_months") or run.get("expected_months") != gates.get("expected_months"):
         bad.append("run and gates: other months")
-    found = {r.sym: r.n for r in sessions.groupBy("sym").agg(F.count("*").alias("n")).collect()}
-    if set(found) != set(required):
-        bad.append(f"sessions: pairs {sorted(set(found) ^ set(required))} missing or not wanted")
-    if found != dict(run.get("unique_sessions", {})):
+    if missing := {p: m for p, m in (run.get("months_missing") or {}).items() if m}:
+        bad.append(f"run: months without quotes {missing}")
+    counted = valid_sessions(sessions)
+    have = {p for p, n in counted.items() if n > 0}
+    if have != set(required):
+        bad.append(f"sessions: pairs {sorted(have ^ set(required))} missing or not wanted")
+    if counted != dict(run.get("unique_sessions", {})):
         bad.append("sessions: other counts than the manifest")
     if not sessions.groupBy("sym", "london_date").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         bad.append("sessions: a pair has a date twice")
@@ -84,19 +135,31 @@ def preconditions(run: Mapping, gates: Mapping, sessions: DataFrame, live: Mappi
             bad.append(f"gates: {p} is missing")
         elif not g.get("data_pass") or not g.get("total_ticks") or not g.get("bars_checked") or g.get("months_missing"):
             bad.append(f"gates: {p} didn't pass")
-    for shard, x in run.get("shards", {}).items():
+    for shard, x in {**run.get("shards", {}), **(store or {}).get("shards", {})}.items():
         if x.get("chronology") == "recovered-unordered":
             bad.append(f"store: {shard} has no settled order")
     return bad
 
 
-def manifest(quotes: DataFrame, sessions: DataFrame, expected_months: list[int], universe_complete: bool) -> dict:
+def valid_sessions(sessions: DataFrame) -> dict[str, int]:
+    """Valid rows per pair (one row per pair). Tables without a ``valid`` column hold valid sessions only."""
+    ok = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in sessions.columns else F.lit(True)
+    return {r.sym: r.n for r in sessions.groupBy("sym").agg(F.count_if(ok).alias("n")).collect()}
+
+
+def manifest(quotes: DataFrame | Mapping, sessions: DataFrame, expected_months: list[int], universe_complete: bool, months_missing: Mapping[str, list[int]] | None = None) -> dict:
+    """What a session run is bound to. ``quotes`` may be the store's snapshot, where it has been taken already."""
     return {
-        "store": snapshot(quotes), "expected_months": list(expected_months), "universe_complete": universe_complete,
-        "unique_sessions": {r.sym: r.n for r in sessions.groupBy("sym").agg(F.count("*").alias("n")).collect()}, "sessions_hash": snapshot(sessions)["snapshot_id"],
+        "store": snapshot(quotes) if isinstance(quotes, DataFrame) else dict(quotes), "expected_months": list(expected_months), "universe_complete": universe_complete,
+        "unique_sessions": valid_sessions(sessions), "sessions_hash": snapshot(sessions)["snapshot_id"], "months_missing": dict(months_missing or {}),
     }
 
 
+def promotable(required: tuple[str, ...] | None, universe: tuple[str, ...]) -> bool:
+    """Whether a result counts as one of the frozen universe: a narrower run that was asked for never does."""
+    return required is None or set(required) == set(universe)
+
+
 def render(report: Mapping, bound_to: str | None) -> str:
     """A markdown entry of a decision report; refuses if the report isn't bound to the snapshot it is shown with."""
     if not bound_to or report.get("snapshot_id") != bound_to:
@@ -104,3 +167,18 @@ def render(report: Mapping, bound_to: str | None) -> str:
     lines = [f"# {report['title']}", "", f"Verdict: **{report['verdict']}**", "", "| statistic | point | interval |", "| --- | --- | --- |"]
     lines += [f"| {k} | {v['point']:+.4f} | {interval_text(v.get('ci'))} |" for k, v in sorted(report["statistics"].items())]
     return "\n".join([*lines, "", f"Snapshot {bound_to}"])
+
+
+def render_sessions(summary: Mapping, run: Mapping, bound_to: str | None) -> str:
+    """A markdown entry of a session run: counts, figures per pair and per year; refuses if the run isn't bound to the snapshot it is shown with."""
+    if not bound_to or (run.get("store") or {}).get("snapshot_id") != bound_to:
+        raise Mismatch("the run isn't bound to this snapshot")
+    number = lambda v: "n/a" if v is None else f"{v:.4f}"
+    lines = ["# Session ranges", "", f"Sessions with both windows: {sum(run['unique_sessions'].values())}; left out: {sum(run.get('exclusions', {}).values())}", ""]
+    lines += [f"- {reason}: {n}" for reason, n in sorted(run.get("exclusions", {}).items())]
+    lines += ["", "| pair | n | median | mean | P(>1) | P(>1.5) | summer |", "| --- | --- | --- | --- | --- | --- | --- |"]
+    for r in sorted(summary["summaries"], key=lambda r: (r["pooled"], str(r["sym"]))):
+        lines.append(f"| {r['sym'] or 'all'} | {r['n']} | " + " | ".join(number(r.get(c)) for c in ("median", "mean", "p_gt_1", "p_gt_15", "dst_share")) + " |")
+    lines += ["", "| pair | year | n | median |", "| --- | --- | --- | --- |"]
+    lines += [f"| {r['sym']} | {r['year']} | {r['n']} | {number(r['median'])} |" for r in sorted(summary["years"], key=lambda r: (str(r["sym"]), str(r["year"])))]
+    return "\n".join([*lines, "", f"Snapshot {bound_to}"])

@@ -78,3 +78,10 @@ def recover(old: DataFrame, new: DataFrame, allow_loss: bool = False) -> tuple[D
     if gone and not allow_loss:
         raise Conflict(f"{gone} stored quotes are missing from the export")
     return new, int(gone)
+
+
+def first_per_session(sessions: DataFrame) -> DataFrame:
+    """One row per (sym, london_date): the one that came first in the order of months. ``sessions`` has a yyyymm column, the month whose run gave the row."""
+    rest = [c for c in sessions.columns if c not in ("sym", "london_date")]
+    kept = sessions.groupBy("sym", "london_date").agg(F.min_by(F.struct(*rest), F.struct("yyyymm")).alias("_row"))
+    return kept.select(*[F.col(c) if c not in rest else F.col(f"_row.{c}").alias(c) for c in sessions.columns])

@@ -390,8 +390,9 @@ def decide(statistics: Mapping[str, Mapping], signs_60: Mapping[str, float]) ->
     ratio: the median's difference is above 0, and its interval and that of the mean exclude 0; return_60 and return_180: above 0
     with an interval that excludes 0; signs_60: consistent. PASS if all four hold, MECHANICAL if the ratio's does and neither return's, else FAIL.
     """
-    up = lambda k: (statistics[k]["point"] or 0) > 0 and bool(statistics[k]["excludes_zero"])
-    checks = {"ratio": up("ratio_median") and bool(statistics["ratio_mean"]["excludes_zero"]), "return_60": up("r60_mean"), "return_180": up("r180_mean"), "signs_60": consistent(signs_60)}
+    of = lambda k, what: statistics.get(k, {}).get(what)
+    up = lambda k: (of(k, "point") or 0) > 0 and bool(of(k, "excludes_zero"))
+    checks = {"ratio": up("ratio_median") and bool(of("ratio_mean", "excludes_zero")), "return_60": up("r60_mean"), "return_180": up("r180_mean"), "signs_60": consistent(signs_60)}
     if all(checks.values()):
         return "PASS", checks
     return "MECHANICAL" if checks["ratio"] and not (checks["return_60"] or checks["return_180"]) else "FAIL", checks

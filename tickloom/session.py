@@ -50,3 +50,48 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file on whatever file system the path names; None if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, whole or not at all: under another name first, then moved."""
+    jvm = spark.sparkContext._jvm
+    where, part = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}"))
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.setWriteChecksum(False)  # a small file may be edited by hand, which a checksum beside it wouldn't survive
+    try:
+        stream = files.create(part, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+    finally:
+        files.setWriteChecksum(True)
+    files.delete(where, False)
+    if not files.rename(part, where):
+        raise OSError(f"can't write {path}")
+
+
+def listing(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, length, time) of the files that a table is read from: two equal listings are the same files. Metadata only, nothing is read."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        files = where.getFileSystem(conf)
+        out.append((name, files.getFileStatus(where).getLen(), files.getFileStatus(where).getModificationTime()) if files.exists(where) else (name, -1, -1))
+    return out

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.scalar import EXPORT_NAME, export_month, export_pair
+from tickloom.governance import mark_shards
 from tickloom.operators.quotes import dedup_consecutive
+from tickloom.operators.refresh import Conflict, lost
+from tickloom.session import cut
 from tickloom.sources.tables import number
 
 EXPORT = T.StructType([T.StructField("utc_ms", T.LongType()), T.StructField("bid", T.DoubleType()), T.StructField("ask", T.DoubleType())])
@@ -81,16 +84,25 @@ def write_store(df: DataFrame, root: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sym", "yyyymm").parquet(root)
 
 
-def read_store(spark: SparkSession, root: str, pair: str | None = None, first_ms: int | None = None, last_ms: int | None = None) -> DataFrame:
-    """The store, or a closed time range of one pair. The range also becomes a filter on the month, so only its directories are opened."""
+def read_store(spark: SparkSession, root: str, pair: str | None = None, first_ms: int | None = None, last_ms: int | None = None, pad_months: int = 0, required: bool = False) -> DataFrame:
+    """The store, or a closed time range of one pair, or that with ``pad_months`` whole months more on either side.
+
+    The range also becomes a filter on the month, so only its directories are opened. With ``required``, a pair that the store
+    doesn't have raises LookupError.
+    """
     df = spark.read.schema(STORE).parquet(root)
     if pair is not None:
         df = df.where(F.col("sym") == pair)
-    month = lambda ms: F.date_format(F.timestamp_millis(F.lit(ms)), "yyyyMM").cast("int")
+        if required and df.select("sym").limit(1).isEmpty():
+            raise LookupError(f"the store has no {pair}")
+    day = lambda ms: F.timestamp_millis(F.lit(ms))
+    month = lambda ms, pad: F.date_format(F.add_months(day(ms), pad), "yyyyMM").cast("int")
     if first_ms is not None:
-        df = df.where((F.col("yyyymm") >= month(first_ms)) & (F.col("utc_ms") >= first_ms))
+        low = F.lit(first_ms) if not pad_months else F.unix_millis(F.date_trunc("month", F.add_months(day(first_ms), -pad_months)))
+        df = df.where((F.col("yyyymm") >= month(first_ms, -pad_months)) & (F.col("utc_ms") >= low))
     if last_ms is not None:
-        df = df.where((F.col("yyyymm") <= month(last_ms)) & (F.col("utc_ms") <= last_ms))
+        df = df.where(F.col("yyyymm") <= month(last_ms, pad_months))
+        df = df.where(F.col("utc_ms") <= last_ms) if not pad_months else df.where(F.col("utc_ms") < F.unix_millis(F.date_trunc("month", F.add_months(day(last_ms), pad_months + 1))))
     return df
 
 
@@ -109,6 +121,31 @@ def stored_months(spark: SparkSession, root: str, pair: str) -> list[int]:
     return sorted(r.yyyymm for r in months.collect())
 
 
+def recover_store(spark: SparkSession, exports: str, root: str, pairs: list[str] | None = None, allow_loss: bool = False) -> dict[str, dict]:
+    """Rebuild the stored months that full exports cover, in the exports' order, and note it in the store's manifest.
+
+    Every stored quote must be in the export as often as it is stored; else Conflict is raised and nothing is changed, unless ``allow_loss``,
+    which records per month how many are lost, of how many contents, and the first times. Exports without any quote raise Conflict.
+    Returns the marks per ``sym/yyyymm``.
+    """
+    new = cut(read_exports(spark, exports, pairs))
+    months = new.groupBy("sym", "yyyymm").agg(F.count("*").alias("rows"))
+    counted = {f"{r.sym}/{r.yyyymm}": r.rows for r in months.collect()}  # one row per pair and month
+    if not counted:
+        raise Conflict("the exports hold no quotes")
+    old = read_store(spark, root).join(months.select("sym", "yyyymm"), ["sym", "yyyymm"], "left_semi")
+    gone = lost(old, new).withColumn("yyyymm", F.date_format(F.timestamp_millis("utc_ms"), "yyyyMM").cast("int"))
+    gone = gone.groupBy("sym", "yyyymm").agg(F.sum(F.col("n_old") - F.col("n_new")).alias("lost"), F.count("*").alias("contents"), F.slice(F.array_sort(F.collect_set("utc_ms")), 1, 5).alias("head")).collect()
+    if gone and not allow_loss:
+        raise Conflict("; ".join(f"{r.lost} stored quotes of {r.sym}/{r.yyyymm} are missing from the export" for r in gone))
+    marks = {k: {"rebuilt_rows": n, "chronology": "source-arrival"} for k, n in counted.items()}
+    for r in gone:
+        marks[f"{r.sym}/{r.yyyymm}"] |= {"lost_occurrences": r.lost, "distinct_lost_quotes": r.contents, "lost_ms": list(r.head)}
+    write_store(new, root)
+    mark_shards(spark, root, marks)
+    return marks
+
+
 def normalize_store(spark: SparkSession, old: dict[str, str], root: str) -> dict[str, dict]:
     """Rewrite older shards (pair to path) in the store's layout. Their order within a millisecond is lost, which the returned marks say, month by month."""
     marks = {}
@@ -116,7 +153,8 @@ def normalize_store(spark: SparkSession, old: dict[str, str], root: str) -> dict
         df = from_storage(spark.read.parquet(path)).withColumn("sym", F.lit(pair)).withColumn("yyyymm", F.date_format(F.timestamp_millis("utc_ms"), "yyyyMM").cast("int"))
         write_store(df, root)
         marks |= {f"{pair}/{m}": {"chronology": "recovered-unordered"} for m in stored_months(spark, root, pair)}
+    mark_shards(spark, root, marks)
     return marks
 
 
-__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "in_place", "located", "normalize_store", "numbered", "read_exports", "read_exports_last_wins", "read_pairs", "read_store", "stored_months", "to_storage", "write_pairs", "write_store"]
+__all__ = ["EXPORT", "EXPORT_NAME", "STORE", "from_storage", "in_place", "located", "normalize_store", "numbered", "read_exports", "read_exports_last_wins", "read_pairs", "read_store", "recover_store", "stored_months", "to_storage", "write_pairs", "write_store"]
