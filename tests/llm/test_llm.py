@@ -1,6 +1,7 @@
 """The problems of training data on small tables: against brute force, and their edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -267,7 +268,7 @@ def test_near_copies_link_the_shorter(spark):
     full = _file(rng, 20)
     rows = [(1, full[:-9], "b"), (2, full, "b"), (3, full, "b"), (4, _file(rng, 20), "b")]
     found = C._summaries(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
-    assert [r.id for r in C.near_copies(found.where("id IS NOT NULL")).collect()] == [1]
+    assert [r.id for r in _early(found)] == [1]
 
 
 def test_texts_cut_in_their_first_cue(spark):
@@ -278,6 +279,12 @@ def test_texts_cut_in_their_first_cue(spark):
     assert got == {i: "structure" if i < len(cut) else None for i in range(len(cut) + len(whole))}
 
 
+def _early(found):
+    """The documents whose alignment with a near copy ends early."""
+    rows = found.where("row IS NOT NULL")
+    return C.near_copies(rows).where("verdict = 'early'").join(rows.select("row", "id"), "row").collect()
+
+
 def _timed(bodies, last=2000):
     """A file of these cues, each 2 s but the last ``last`` ms."""
     stamp = lambda ms: f"00:{ms // 60_000:02}:{ms // 1000 % 60:02},{ms % 1000:03}"
@@ -286,15 +293,76 @@ def _timed(bodies, last=2000):
 
 def _near(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    return sorted(r.id for r in C.near_copies(C._summaries(df, "doc_id", "text", "source").where("id IS NOT NULL")).collect())
+    return sorted(r.id for r in _early(C._summaries(df, "doc_id", "text", "source")))
 
 
 def test_near_copies_meet_every_continuation(spark):
     body = list(range(100, 120))
-    cut = [(i, 500 + i, 10, 1000 + i, [*body, 7], [2000] * 21, [1, 2]) for i in range(1, 6)]  # the same words last, of different content
-    full, longest = (10, 600, 10, 1010, [*body, 8], [2000] * 21, [1, 2]), (11, 700, 10, 1011, [*body, 8, 9], [1900] * 22, [1, 2])
-    rows = spark.createDataFrame([*cut, full, longest], "id bigint, chars bigint, length int, content bigint, hashes array<bigint>, durations array<int>, bands array<bigint>")
-    assert {r.id: r.of for r in C.near_copies(rows).collect()} == {i: 10 for i in range(1, 6)}
+    schema = "row bigint, chars bigint, broken boolean, content bigint, hashes array<bigint>, durations array<int>, lengths array<int>, codes array<binary>, bands array<bigint>, asks array<bigint>"
+    code = [bytes([1, 2, 3])] * 20
+    cut = [(i, 500 + i, False, 1000 + i, [*body, 7], [2000] * 21, [20] * 21, [*code, bytes([5, 6])], [1, 2], [2]) for i in range(1, 6)]  # the same words last, of different content
+    full, longest = (10, 600, False, 1010, [*body, 8], [2000] * 21, [30] * 21, [*code, bytes([5, 9, 8])], [1, 2], [2]), (11, 700, False, 1011, [*body, 8, 9], [1900] * 22, [30] * 22, [*code, bytes([5, 9, 8]), b"a"], [1, 2], [2])
+    rows = spark.createDataFrame([*cut, full, longest], schema)
+    assert {r.row: (r.of, r.verdict) for r in C.near_copies(rows).collect()} == {i: (10, "early") for i in range(1, 6)}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7, 0.9])
+def test_copies_cut_anywhere_meet_their_whole_text(spark, share):
+    """150 files, each with a copy cut at about that share: what the method's first half finds alone, wherever the cut falls."""
+    rng = random.Random(int(100 * share))
+    rows = []
+    for i in range(150):
+        text = _file(rng, rng.randrange(12, 40), rng.choice([".", ""]))
+        at = int(len(text.rstrip()) * share)
+        rows += [(2 * i, text, "a"), (2 * i + 1, text[:at], "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    early = {r.id for r in _early(C._summaries(df, "doc_id", "text", "source"))}
+    # A copy that stops between two cues, or behind a last cue's last word, isn't cut.
+    inside = {i for i in range(1, 300, 2) if _inside(rows[i][1], rows[i - 1][1])}
+    assert len(inside) > 100 and early <= inside and len(early) >= 0.9 * len(inside)
+    found = {r.doc_id: r for r in C.truncated(df, "doc_id", "text", "source").collect()}
+    assert {i for i in early if found[i].reason == "copy"} == early
+
+
+def _inside(cut, whole):
+    """Whether a prefix of a file stops inside a cue: in its number, its times or its words."""
+    return not re.search(r"\n\s*$", cut) and not re.match(r"\s*\n\s*(\n|$)", whole[len(cut) :] + "\n\n") or bool(re.search(r"\n\d+\n\s*$", cut)) or bool(re.search(r"-->[^\n]*\n$", cut))
+
+
+def test_complete_near_copies_are_not_cut(spark):
+    rng = random.Random(3)
+    body = [" ".join(rng.choice(WORDS) for _ in range(7)) + "." for _ in range(20)]
+    body[9] = "and then she went"  # ends openly, and with little for its time
+    rows = [(1, _timed(body[:10], 9000), "a"), (2, _timed(body, 2000).replace("00:00:27,000 --> 00:00:29,000", "00:00:27,000 --> 00:00:36,000"), "a")]
+    rows += [(10 + i, _file(rng, 15), "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.cut, r.reason) for r in C.truncated(df, "doc_id", "text", "source").collect()}
+    assert got[1] == (False, None)
+    alone = {r.doc_id: (r.cut, r.reason) for r in C.truncated(df.where("doc_id <> 2"), "doc_id", "text", "source").collect()}
+    assert alone[1][0]
+
+
+def test_truncation_takes_keys_as_they_are(spark):
+    rng = random.Random(2)
+    text = _file(rng, 8)
+    df = spark.createDataFrame([("a", text, "x"), (None, text[:-30], "x"), ("a", text[: text.rindex("-->")], None), (None, None, None)], "k string, text string, source string")
+    got = sorted((r.k or "", r.cut) for r in C.truncated(df, "k", "text", "source").collect())
+    assert got == [("", False), ("", True), ("a", False), ("a", True)]
+
+
+def test_terminality_on_held_out_cuts(spark):
+    """Files without any copy, half of them cut inside the words of their last cue: closing words, durations and structure alone."""
+    rng = random.Random(12)
+    rows, cut = [], set()
+    for i in range(600):
+        text = _file(rng, rng.randrange(8, 30))
+        if i % 2:
+            last = text.rindex("\n", 0, -1) + 1
+            text = text[: last + int((len(text) - last) * rng.uniform(0.15, 0.85))]
+            cut.add(i)
+        rows.append((i, text, "a"))
+    got = {r.doc_id for r in C.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source").where("cut").collect()}
+    assert len(got & cut) >= 0.98 * len(cut) and len(got - cut) <= 0.01 * len(cut)
 
 
 def test_near_copies_with_a_repeated_line(spark):
