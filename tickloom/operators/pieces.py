@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 CHUNK, CHUNKS = 1_000_000, 1 << 32
 
 
-def range_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range-partitioned and sorted within partitions. The range bounds come from Spark's own sampling, so a hot source is split."""
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -57,8 +57,9 @@ def longs(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64, copy=False)
 
 
-def map_sorted(df: DataFrame, order: Sequence[str], work: Callable[[pa.Table, int], Iterator[pa.RecordBatch] | list], schema: str) -> DataFrame:
-    """Apply ``work(table, chunk number)`` to each chunk of the range-sorted rows. Chunk numbers rise in the order of ``order``."""
+def map_sorted(df: DataFrame, order: Sequence[str], work: Callable[[pa.Table, int], Iterator[pa.RecordBatch] | list], schema: str, partitions: int | None = None) -> DataFrame:
+    """Apply ``work(table, chunk number)`` to each chunk of the range-sorted rows. Chunk numbers rise in the order of ``order``.
+    ``partitions`` is the number of partitions, by default Spark's own."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -67,4 +68,4 @@ def map_sorted(df: DataFrame, order: Sequence[str], work: Callable[[pa.Table, in
         for i, table in enumerate(chunks(batches)):
             yield from work(table, first + i)
 
-    return range_sorted(df, order).mapInArrow(run, schema)
+    return range_sorted(df, order, partitions).mapInArrow(run, schema)
