@@ -111,6 +111,71 @@ def test_history_is_not_shuffled_when_probed(spark):
         history.drop()
 
 
+@pytest.mark.parametrize("sweep", [100_000, 300])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, sweep):
+    """10,000 lines 900 ms apart at one price: each depends on the one before, so every second one is a copy."""
+    from tickloom.llm import increment
+
+    n = 10_000 if sweep > 1000 else 1200
+    monkeypatch.setattr(increment, "SWEEP", sweep)
+    written = []
+    monkeypatch.setattr(increment, "cut", lambda df, own=increment.cut: written.append(1) or own(df))
+    schema = "id bigint, feed string, utc_ms bigint, bid double, ask double, rank bigint, pair string, pip double"
+    lines = spark.createDataFrame([(i, "a", 900 * i, 1.0, 2.0, i, "p", 1.0) for i in range(n)], schema)
+    history = History(spark, buckets=4)
+    try:
+        history.append(lines.where("false"))
+        copies, accepted = admit(lines, history, append=False)
+        assert {(r.id, r.accepted_id) for r in copies.collect()} == {(i, i - 1) for i in range(1, n, 2)} and accepted.count() == n // 2
+        if sweep > 1000:
+            assert len(written) <= 15
+    finally:
+        history.drop()
+
+
+def test_chains_of_any_shape(spark, monkeypatch):
+    from tickloom.llm import increment
+
+    monkeypatch.setattr(increment, "SWEEP", 40)
+    rng = random.Random(7)
+    lines = [(i, rng.choice("ab"), rng.randrange(0, 90_000, 50), rng.choice([1.0, 1.03]), 2.0) for i in range(500)]
+    schema = "id bigint, feed string, utc_ms bigint, bid double, ask double, rank bigint, pair string, pip double"
+    history = History(spark, buckets=4)
+    try:
+        history.append(spark.createDataFrame([], schema))
+        copies, _ = admit(spark.createDataFrame([(*x, k, "p", 1.0) for k, x in enumerate(lines)], schema), history)
+        assert {(r.id, r.accepted_id) for r in copies.collect()} == _greedy([], lines)
+    finally:
+        history.drop()
+
+
+def test_files_and_paragraphs_against_a_kept_history(spark, tmp_path):
+    from tickloom.llm.increment import PARAGRAPH_MS, contents, coverage
+
+    schema = "id bigint, feed string, pair string, utc_ms bigint, bid double, ask double, pip double, batch bigint"
+    file = lambda batch, times, bid=1.0: [(1000 * batch + i, "f", "p", t, bid, 2.0, 0.1, batch) for i, t in enumerate(times)]
+    early, late = [0, 5, 9], [PARAGRAPH_MS + 1, PARAGRAPH_MS + 2]
+    rows = file(1, early) + file(2, early + late) + file(3, [9, 5, 0, 0]) + file(4, late) + file(5, early, 1.5) + [(9, "f", "p", None, 1.0, 1.0, 0.1, 6)]
+    lines = spark.createDataFrame(rows, schema)
+    own = contents(lines, F.col("batch"))
+    history = History(spark, buckets=4, name="kept", path=str(tmp_path / "kept"))
+    try:
+        history.append_contents(contents(spark.createDataFrame(file(-1, late), schema), F.lit(-1)))
+        again = History(spark, buckets=4, name="kept", path=str(tmp_path / "kept"))  # opened a second time
+        got = {r.batch: (r.contents, r.known_contents, r.full_copy) for r in coverage(own, again).collect()}
+        assert got == {1: (3, 0, False), 2: (5, 5, False), 3: (3, 3, True), 4: (2, 2, True), 5: (3, 0, False)}
+        again.append_contents(own)
+        assert all(r.full_copy and r.covered_share == 1 for r in coverage(own, history).collect())
+        assert contents(lines.where("false"), F.col("batch")).count() == 0
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = coverage(own, history)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert "Bucketed: true" in plan and "LeftSemi" in plan
+    finally:
+        history.drop()
+
+
 @pytest.mark.parametrize("kind", ["even", "tails", "ties", "single"])
 def test_percentiles(spark, kind):
     rng = np.random.default_rng(2)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.increment import History, admit
+from tickloom.llm.increment import PARAGRAPH_MS, History, admit, contents, coverage
 from tickloom.llm.leakage import leaks
 from tickloom.llm.mixing import mix, token_counts
 from tickloom.llm.percentiles import exact_percentiles
@@ -34,26 +36,56 @@ def _exports(spark: SparkSession, d: str) -> DataFrame:
     return with_pip(lines, table(spark, d, "quote_sources"))
 
 
-def _taken_over(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ticks = with_pip(usable_ticks(table(spark, d, "ticks")), table(spark, d, "quote_sources")).withColumnRenamed("tick_id", "id")
-    history = History(spark)
-    try:
-        history.append(ticks.where("pip IS NOT NULL"))
-        return admit(_exports(spark, d), history)
-    finally:
-        history.drop()
+def _deliveries(lines: DataFrame, least: int = 2) -> list[DataFrame]:
+    """The files in deliveries of consecutive batch numbers, so that later ones meet the hashes that earlier ones have left in the history."""
+    batch = F.col("rank.batch_no")
+    ends = lines.agg(F.percentile_approx(batch, [i / least for i in range(1, least)], 10_000).alias("e")).first()["e"] or []
+    ends = sorted(set(ends))
+    parts = [lines.where(batch <= ends[0])] + [lines.where((batch > a) & (batch <= b)) for a, b in zip(ends, ends[1:])] + [lines.where(batch > ends[-1])] if ends else [lines]
+    return parts
+
+
+def _history(spark: SparkSession, d: str) -> tuple[History, DataFrame]:
+    ticks = with_pip(usable_ticks(table(spark, d, "ticks")), table(spark, d, "quote_sources")).withColumnRenamed("tick_id", "id").where("pip IS NOT NULL")
+    return History(spark), ticks
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _taken_over(spark, d)[0].select("accepted_id", F.col("id").alias("export_id"))
+    history, ticks = _history(spark, d)
+    try:
+        history.append(ticks)
+        parts = _deliveries(_exports(spark, d))
+        # The last delivery's hashes would only be read by a next one.
+        found = [admit(part, history, append=i + 1 < len(parts))[0] for i, part in enumerate(parts)]
+    finally:
+        history.drop()
+    return reduce(DataFrame.unionByName, found).select("accepted_id", F.col("id").alias("export_id"))
 
 
 def p4_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Per file: its lines, those with both prices, how many of them are copies, and whether it brings nothing new."""
-    copies = _taken_over(spark, d)[0]
-    lines = _exports(spark, d).join(copies, "id", "left").groupBy(F.col("rank.batch_no").alias("batch_no"))
+    """Per file: its lines, those with both prices, how many of them are copies, whether it brings nothing new, and how much of it stands in
+    paragraphs that the accepted quotes or earlier files have as a whole, up to the whole file."""
+    history, ticks = _history(spark, d)
+    lines = _exports(spark, d)
+    found, covered = [], []
+    try:
+        history.append(ticks)
+        history.append_contents(contents(ticks, F.lit(-1)))
+        parts = _deliveries(lines)
+        for i, part in enumerate(parts):
+            own = cut(contents(part, F.col("rank.batch_no")))
+            covered.append(cut(coverage(own, history)))
+            found.append(admit(part, history, append=i + 1 < len(parts))[0])
+            if i + 1 < len(parts):
+                history.append_contents(own)
+    finally:
+        history.drop()
+    copies, covered = (reduce(DataFrame.unionByName, x) for x in (found, covered))
     priced = F.count(F.when(F.col("bid").isNotNull() & F.col("ask").isNotNull(), 1))
-    return lines.agg(F.count("*").alias("lines"), priced.alias("priced"), F.count("accepted_id").alias("copies"), (priced == F.count("accepted_id")).alias("nothing_new"))
+    per = lines.join(copies, "id", "left").groupBy(F.col("rank.batch_no").alias("batch_no"))
+    per = per.agg(F.count("*").alias("lines"), priced.alias("priced"), F.count("accepted_id").alias("copies"), (priced == F.count("accepted_id")).alias("nothing_new"))
+    per = per.join(covered.withColumnRenamed("batch", "batch_no"), "batch_no", "left").na.fill(0, ["contents", "known_contents"]).na.fill(False, ["full_copy"])
+    return per.select("batch_no", "lines", "priced", "copies", "nothing_new", "contents", "known_contents", F.round("covered_share", 9).alias("covered_share"), "full_copy")
 
 
 METRICS = ("expansion_ratio", "ldn_range")
@@ -139,8 +171,43 @@ figures AS (SELECT feed, pair, 'expansion_ratio' AS metric, CASE WHEN isnan(x.e)
 """
 
 
+_NEAR = "abs(l.utc_ms - {o}.utc_ms) < 1000 AND abs(l.bid - {o}.bid) < 0.05 * l.pip AND abs(l.ask - {o}.ask) < 0.05 * l.pip"
+
+#: st holds, round by round, which lines are copies (1), accepted (0) or open (NULL): a line follows from the earlier lines near it.
+_LINES = f"""
+WITH RECURSIVE k AS (SELECT t.feed, t.pair, utc_ms, bid, ask, tick_id AS id, pip FROM ticks t JOIN quote_sources q ON t.feed = q.feed AND t.pair = q.pair
+  WHERE utc_ms IS NOT NULL AND bid IS NOT NULL AND NOT isnan(bid) AND ask IS NOT NULL AND NOT isnan(ask)),
+l AS (SELECT e.feed, e.pair, utc_ms, bid, ask, export_id AS id, pip, batch_no, line_no FROM tick_exports e JOIN quote_sources q ON e.feed = q.feed AND e.pair = q.pair
+  WHERE utc_ms IS NOT NULL AND bid IS NOT NULL AND NOT isnan(bid) AND ask IS NOT NULL AND NOT isnan(ask)),
+old AS (SELECT l.id, min(k.id) AS on_id FROM l JOIN k ON l.feed = k.feed AND l.pair = k.pair AND k.utc_ms BETWEEN l.utc_ms - 999 AND l.utc_ms + 999 AND {_NEAR.format(o="k")} GROUP BY 1),
+new AS (SELECT l.id, o.id AS on_id FROM l JOIN l o ON l.feed = o.feed AND l.pair = o.pair AND o.utc_ms BETWEEN l.utc_ms - 999 AND l.utc_ms + 999 AND (o.batch_no, o.line_no) < (l.batch_no, l.line_no) AND {_NEAR.format(o="o")}),
+st AS (SELECT l.id, CASE WHEN old.id IS NOT NULL THEN 1 WHEN NOT EXISTS (SELECT 1 FROM new WHERE new.id = l.id) THEN 0 END AS copy, 0 AS round FROM l LEFT JOIN old ON old.id = l.id
+  UNION ALL SELECT s.id, coalesce(s.copy, CASE WHEN bool_or(o.copy = 0) THEN 1 WHEN bool_and(o.copy = 1 AND o.copy IS NOT NULL) THEN 0 END), s.round + 1
+  FROM st s LEFT JOIN new n ON n.id = s.id LEFT JOIN st o ON o.id = n.on_id WHERE EXISTS (SELECT 1 FROM st WHERE copy IS NULL) GROUP BY s.id, s.copy, s.round),
+done AS (SELECT id, copy FROM st WHERE round = (SELECT max(round) FROM st)),
+copies AS (SELECT id, min(on_id) AS accepted_id FROM (SELECT * FROM old UNION ALL SELECT new.id, on_id FROM new JOIN done a ON a.id = new.id AND a.copy = 1 JOIN done o ON o.id = on_id AND o.copy = 0) GROUP BY 1)
+"""
+
+_CONTENTS = f""",
+every AS (SELECT -1 AS batch_no, feed, pair, utc_ms, bid, ask, pip FROM k UNION ALL SELECT batch_no, feed, pair, utc_ms, bid, ask, pip FROM l),
+c AS (SELECT DISTINCT batch_no, feed, pair, utc_ms // {PARAGRAPH_MS} AS place, utc_ms, CAST(round(bid / pip * 10) AS BIGINT) AS b, CAST(round(ask / pip * 10) AS BIGINT) AS a FROM every),
+p AS (SELECT batch_no, feed, pair, place, count(*) AS n, list((utc_ms, b, a) ORDER BY utc_ms, b, a) AS body FROM c GROUP BY 1, 2, 3, 4),
+f AS (SELECT batch_no, list((feed, pair, place, body) ORDER BY feed, pair, place) AS body FROM p GROUP BY 1),
+pk AS (SELECT *, min(batch_no) OVER (PARTITION BY feed, pair, place, body) < batch_no AS known FROM p),
+fk AS (SELECT batch_no, min(batch_no) OVER (PARTITION BY body) < batch_no AS known FROM f),
+cover AS (SELECT batch_no, CAST(sum(n) AS BIGINT) AS contents, CAST(coalesce(sum(n) FILTER (WHERE known), 0) AS BIGINT) AS known_contents FROM pk GROUP BY 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _LINES + "SELECT accepted_id, id AS export_id FROM copies",
+        "p4_batches": _LINES
+        + _CONTENTS
+        + """SELECT batch_no, count(*) AS lines, count(*) FILTER (WHERE bid IS NOT NULL AND NOT isnan(bid) AND ask IS NOT NULL AND NOT isnan(ask)) AS priced, count(accepted_id) AS copies,
+  count(*) FILTER (WHERE bid IS NOT NULL AND NOT isnan(bid) AND ask IS NOT NULL AND NOT isnan(ask)) = count(accepted_id) AS nothing_new,
+  coalesce(any_value(cover.contents), 0) AS contents, coalesce(any_value(known_contents), 0) AS known_contents, round(any_value(known_contents)::DOUBLE / any_value(cover.contents), 9) AS covered_share, coalesce(any_value(fk.known), false) AS full_copy
+FROM tick_exports e LEFT JOIN copies ON copies.id = export_id LEFT JOIN cover USING (batch_no) LEFT JOIN fk USING (batch_no) GROUP BY 1""",
         "p3_found": _RUNS + "SELECT feed, pair, start_ms, end_ms FROM runs WHERE n >= 3",
         "p3_runs": _RUNS + "SELECT feed, pair, start_ms, end_ms, n, duration_ms, first_bid, first_ask FROM runs",
         "p5_found": _FIGURES + "SELECT feed, pair, metric FROM figures GROUP BY 1, 2, 3 HAVING count(*) >= 40 AND quantile_cont(v, 0.9) >= 4 * quantile_cont(v, 0.5)",
