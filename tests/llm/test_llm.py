@@ -239,6 +239,78 @@ def test_leaks(spark):
     assert L.leaks(df, "doc_id", "text", spark.createDataFrame([], "item_id bigint, passage string"), "item_id", "passage").count() == 0
 
 
+def _syllables(rng, n):
+    found = set()
+    while len(found) < n:
+        found.add("".join(rng.choice("bcdfgjkmnprsvz") + rng.choice("aeio") for _ in range(4)))
+    return sorted(found)
+
+
+def test_reworded_passages_that_come_with_their_answer(spark):
+    """Passages told in another order and partly in other words: no stretch of them is left, but the words and the answer are."""
+    rng = random.Random(21)
+    lexicon = _syllables(rng, 6000)
+    say = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    passages, answers = [say(70) for _ in range(60)], [say(8) for _ in range(60)]
+    docs, reworded = [], set()
+    for i in range(240):
+        p, text = i % 60, say(150)
+        pieces = [passages[p][j : j + 2] for j in range(0, 70, 2)]
+        rng.shuffle(pieces)
+        told = [w if rng.random() < 0.8 else rng.choice(lexicon) for piece in pieces for w in piece]
+        if i < 60:
+            text[60:60] = told + say(5) + answers[p]
+            reworded.add((p, i))
+        elif i < 120:
+            text[60:60] = told  # no answer
+        elif i < 180:
+            text[60:60] = answers[p]  # nothing of the passage
+        docs.append((i, " ".join(text)))
+    items = [(i, " ".join(p), " ".join(a)) for i, (p, a) in enumerate(zip(passages, answers))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = L.leaks(df, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, passage string, answer string"), "item_id", "passage", "answer").collect()
+    got = {(r.item_id, r.doc_id) for r in found if r.kind == "paraphrase"}
+    assert len(got & reworded) >= 0.9 * len(reworded) and got <= reworded and all(r.kind == "paraphrase" and r.answer >= 0.9 for r in found)
+
+
+def test_passages_of_any_number_of_words(spark, monkeypatch):
+    """60,000 different words in one block; and the same in blocks, with a basis that isn't kept."""
+    rng = random.Random(22)
+    lexicon = _syllables(rng, 60_000)
+    rng.shuffle(lexicon)
+    passages = [lexicon[i : i + 40] for i in range(0, 60_000, 40)]
+    docs, want = [], set()
+    for i in range(40):
+        text = [rng.choice(lexicon) for _ in range(100)]
+        if i % 2:
+            text[30:30] = passages[31 * i][5:35]
+            want.add((31 * i, i))
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id bigint, passage string")
+    run = lambda t: {(r.item_id, r.doc_id) for r in L.leaks(df, "doc_id", "text", t, "item_id", "passage").collect()}
+    assert run(items) == want
+    monkeypatch.setattr(L, "BLOCK", 100)
+    monkeypatch.setattr(L, "KEPT_BASIS", 0)
+    assert run(items.where("item_id < 310")) == {x for x in want if x[0] < 310}
+
+
+def test_the_latent_space_is_that_of_the_whole_decomposition(spark):
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(300, 12, replace=False)), rng.random(12)) for _ in range(40)]
+    dense = np.zeros((40, 300))
+    for i, (f, v) in enumerate(rows):
+        dense[i, f] = v
+    _, sigma, right = np.linalg.svd(dense, full_matrices=False)
+    space = L.latent_space(spark, rows, 300, rank=30)
+    x = rng.random(300)
+    ours, theirs = x @ space.basis(np.arange(300)), x @ right[:30].T
+    assert np.linalg.norm(ours) == pytest.approx(np.linalg.norm(theirs), rel=0.02)
+    cosine = space.unit @ ours / np.linalg.norm(ours)
+    own = dense @ right[:30].T
+    assert np.abs(cosine - own @ theirs / np.linalg.norm(own, axis=1) / np.linalg.norm(theirs)).max() < 0.05
+
+
 def test_alignment_by_hand():
     passage = np.array([list(range(1, 11))])
     score, span = L.align(passage, np.array([[99, 1, 2, 3, 98, 97, 4, 5, 6, 96, 8, 9, 10, 95]]))

@@ -1,4 +1,4 @@
-"""Evaluation passages inside a corpus: latent semantic retrieval, then alignment."""
+"""Evaluation passages inside a corpus: latent semantic retrieval, then alignment and answer checks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +17,48 @@ from tickloom.llm.subtitles import UNREADABLE, Shapes, shape, words
 #: Windows of the corpus and of the passages, in words; a stretch of 20 words fills most of some window.
 WINDOW, STRIDE, PASSAGE_STRIDE = 20, 5, 5
 RANK, OVERSAMPLING, SEED = 128, 16, 20
-#: A window is projected only if its known n-grams hold this share of its TF-IDF length, an upper bound of any cosine.
-LEAST_MASS = 0.5
-#: A projected window is a candidate for the passages whose windows have at least this latent cosine.
-LEAST_COSINE = 0.5
+#: A window is a candidate for the passages whose windows have at least this cosine with it: the share of its length that its known n-grams
+#: have, times the latent cosine of these.
+LEAST_COSINE = 0.35
 #: Alignment: a word found, a passage word altered or lost, and each word of the text in between.
 FOUND, LOST, BETWEEN = 1.0, -0.75, -0.12
 LEAST_SCORE, LEAST_SPAN = 14.0, 17
-#: A weaker alignment counts as a paraphrase if the document also holds nearly all of the item's answer in order.
+#: A text that isn't a passage in order is a paraphrase if it holds nearly all of the item's answer in order and either a weaker alignment or,
+#: in some longer window, this latent cosine of its words with the whole passage.
 PARAPHRASE_SCORE, ANSWER_SHARE = 9.0, 0.9
-#: Items are worked on in blocks, so what is sent to the executors is bounded whatever the number of items.
-BLOCK = 2_000
-#: Features are word n-grams of these lengths. Word numbers stay below CODE, so that four of them make a 64-bit code.
+TOPIC_WINDOW, TOPIC_STRIDE, LEAST_TOPIC = 60, 20, 0.5
+#: A text is looked at for an answer if it has this share of the answer's n-grams of ANSWER_GRAM words; shorter answers point to nothing.
+ANSWER_GRAM, ANSWER_HITS = 3, 0.5
+#: Passages are worked on in blocks, which bounds what is sent to the executors (some 60 MB at most) whatever the number of items.
+BLOCK = 5_000
+#: Features are word n-grams of these lengths and, for paraphrases, single words. Word numbers are mixed into 64-bit codes.
 GRAMS = (3, 4)
-CODE = 1 << 15
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A basis of up to this many numbers is kept by a task; a larger one is made batch by batch, for the features the batch has.
+KEPT_BASIS = 1 << 25
+
+
+def _codes(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, code) of the n-grams without a foreign word (0)."""
+    if len(x) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    good = np.ones(len(x) - n + 1, dtype=bool)
+    for i in range(n):
+        good &= x[i : len(x) - n + 1 + i] > 0
+    at = np.flatnonzero(good)
+    code = x[at].astype(np.uint64)
+    for i in range(1, n):
+        code = (code ^ (code >> np.uint64(31))) * MIX + x[at + i].astype(np.uint64)
+    return at, code
+
+
+def _found(known: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``code``, place in the sorted ``known``) of the codes that are known."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    at = np.flatnonzero(known[place] == code)
+    return at, place[at]
 
 
 @dataclass
@@ -43,27 +72,19 @@ class Passages:
     known: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self):
-        for t in self.texts:
-            self.ids.append(np.array([self.vocabulary.setdefault(shape(w), len(self.vocabulary) + 1) for w in words(t)], dtype=np.int64))
         number = lambda t: np.array([self.vocabulary.setdefault(shape(w), len(self.vocabulary) + 1) for w in words(t)], dtype=np.int64)
+        self.ids = [number(t) for t in self.texts]
+        self.words = len(self.vocabulary)  # words of answers alone come behind
         self.answer_ids = [[number(a) for a in own if words(a)] for own in self.answers] or [[] for _ in self.texts]
-        if len(self.vocabulary) >= CODE:
-            raise ValueError("too many words in one block of passages; make BLOCK smaller")
-        self.known = [np.unique(np.concatenate([np.zeros(0, np.int64), *(self._codes(x, n)[1] for x in self.ids)])) for n in GRAMS]
-
-    @staticmethod
-    def _codes(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, code) of the n-grams without a foreign word."""
-        if len(x) < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        good = np.ones(len(x) - n + 1, dtype=bool)
-        for i in range(n):
-            good &= x[i : len(x) - n + 1 + i] > 0
-        at = np.flatnonzero(good)
-        code = x[at]
-        for i in range(1, n):
-            code = code * CODE + x[at + i]
-        return at, code
+        none = [np.zeros(0, np.uint64)]
+        self.known = [np.unique(np.concatenate([*none, *(_codes(x, n)[1] for x in self.ids)])) for n in GRAMS]
+        # Answers by their n-grams: for each, the passages and answers it belongs to.
+        grams = [(c, i, k) for i, own in enumerate(self.answer_ids) for k, a in enumerate(own) for c in np.unique(_codes(a, ANSWER_GRAM)[1]).tolist()]
+        table = pd.DataFrame(grams, columns=["code", "passage", "answer"]).sort_values("code", kind="stable")
+        self.answer_known, self.answer_start = np.unique(table.code.to_numpy(np.uint64), return_index=True)
+        self.answer_start = np.append(self.answer_start, len(table)).astype(np.int64)
+        self.answer_of = table[["passage", "answer"]].to_numpy(np.int64).reshape(-1, 2)
+        self.answer_size = table.groupby(["passage", "answer"]).size().to_dict()
 
     @property
     def features(self) -> int:
@@ -71,19 +92,29 @@ class Passages:
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, feature) of the passages' n-grams in the word sequence ``x`` (0 is any other word), by position."""
-        ats, features, base = [], [], 0
+        ats, features, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for n, known in zip(GRAMS, self.known):
-            at, code = self._codes(x, n)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                found = known[place] == code
-                ats.append(at[found])
-                features.append(place[found] + base)
+            at, code = _codes(x, n)
+            i, place = _found(known, code)
+            ats.append(at[i])
+            features.append(place + base)
             base += len(known)
-        at, feature = np.concatenate([np.zeros(0, np.int64), *ats]), np.concatenate([np.zeros(0, np.int64), *features])
+        at, feature = np.concatenate(ats), np.concatenate(features)
         order = np.argsort(at, kind="stable")
         return at[order], feature[order]
 
+    def answered(self, x: np.ndarray, begin: np.ndarray) -> list[tuple[int, int]]:
+        """(document, passage) where a document has at least ANSWER_HITS of the n-grams of one of the passage's answers."""
+        at, code = _codes(x, ANSWER_GRAM)
+        i, place = _found(self.answer_known, code)
+        doc = np.searchsorted(begin, at[i], side="right") - 1
+        seen = np.unique(np.stack([doc, place], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        counts: dict[tuple[int, int, int], int] = {}
+        for d, g in seen.tolist():
+            for p, k in self.answer_of[self.answer_start[g] : self.answer_start[g + 1]].tolist():
+                counts[d, p, k] = counts.get((d, p, k), 0) + 1
+        return sorted({(d, p) for (d, p, k), n in counts.items() if n >= ANSWER_HITS * self.answer_size[p, k]})
+
 
 def _starts(n: int, stride: int) -> np.ndarray:
     """Window starts that cover n words, the last one ending with the last word."""
@@ -117,92 +148,128 @@ def _numbers(p: Passages) -> Shapes:
     return Shapes(number)
 
 
-def document_frequencies(documents: DataFrame, text: str, p: Passages) -> tuple[int, np.ndarray]:
-    """Number of documents, and for each feature of the passages the number of documents with it: over the whole corpus,
+def document_frequencies(documents: DataFrame, text: str, p: Passages) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of documents, and for each n-gram and for each word of the passages the number of documents with it: over the whole corpus,
     counted per task and added up, so what comes back is bounded by the passages."""
+
     def count(batches):
         memo = _numbers(p)
-        n, total = np.zeros(p.features, dtype=np.int64), 0
+        n, single, total = np.zeros(p.features, dtype=np.int64), np.zeros(p.words + 1, dtype=np.int64), 0
         for b in batches:
             x, begin = _read(b, text, memo)
             at, feature = p.hits(x)
             doc = np.searchsorted(begin, at, side="right") - 1
             n += np.bincount(np.unique(doc * p.features + feature) % max(1, p.features), minlength=p.features)
+            # Words are many, so they are marked in a table of documents by words, some documents at a time.
+            some = max(1, (1 << 24) // (p.words + 1))
+            for first in range(0, b.num_rows, some):
+                last = min(first + some, b.num_rows)
+                mine = x[begin[first] : begin[last]]
+                marks = np.zeros((last - first, p.words + 1), dtype=bool)
+                own = np.repeat(np.arange(last - first), np.diff(begin[first : last + 1]))
+                kept = mine <= p.words
+                marks[own[kept], mine[kept]] = True
+                single += marks.sum(axis=0)
             total += b.num_rows
-        kept = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(n[kept], total))], names=["feature", "n"])
-
-    rows = documents.select(text).mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(p.features, dtype=np.int64)
-    total = 0
-    for r in rows:
-        if r.feature < 0:
-            total = r.n
-        else:
-            found[r.feature] = r.n
-    return total, found
-
-
-def latent_space(spark, p: Passages, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Randomised SVD of the passages' TF-IDF windows, with rows distributed over tasks.
-
-    Each task multiplies its rows by a seeded Gaussian matrix it draws itself; the products' Gram matrix, rank by rank, is
-    all that is gathered to orthonormalise them. A second pass returns the projected columns. Returns the basis
-    (features x rank), the windows' unit vectors in it and each window's passage.
-    """
-    k = rank + OVERSAMPLING
-    rows = []
-    for i, x in enumerate(p.ids):
-        for s in _starts(len(x), PASSAGE_STRIDE).tolist():
-            rows.append((i, x[s : s + WINDOW].tolist()))
-    windows = spark.createDataFrame(rows, "passage int, ids array<bigint>").repartition(4, "passage").sortWithinPartitions("passage")
+        kept, alone = np.flatnonzero(n), np.flatnonzero(single)
+        kinds = np.repeat([0, 1, 2], [len(kept), len(alone), 1]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([kept, alone, [0]])), pa.array(np.concatenate([n[kept], single[alone], [total]]))], names=["kind", "feature", "n"])
 
-    def matrix(table: pa.Table):
-        return [(feature, weight[feature]) for x in table.column("ids").to_pylist() for _, feature in [p.hits(np.array(x, dtype=np.int64))]]
+    rows = documents.select(text).mapInArrow(count, "kind int, feature bigint, n bigint").groupBy("kind", "feature").agg(F.sum("n").alias("n")).toPandas()
+    out = [np.zeros(p.features, dtype=np.int64), np.zeros(p.words + 1, dtype=np.int64)]
+    for k, found in enumerate(out):
+        own = rows[rows.kind == k]
+        found[own.feature.to_numpy()] = own.n.to_numpy()
+    return int(rows[rows.kind == 2].n.sum()), out[0], out[1]
 
-    def product(sparse, omega):
-        return np.stack([w @ omega[f] if len(f) else np.zeros(omega.shape[1]) for f, w in sparse])
 
-    def gram(batches):
-        for b in batches:
-            omega = np.random.default_rng(SEED).standard_normal((p.features, k))
-            y = product(matrix(pa.Table.from_batches([b])), omega)
-            yield pa.RecordBatch.from_arrays([pa.array([(y.T @ y).ravel().tolist()])], names=["g"])
-
-    total = np.zeros((k, k))
-    for r in windows.mapInArrow(gram, "g array<double>").toLocalIterator():
-        total += np.array(r.g).reshape(k, k)
-    value, vector = np.linalg.eigh(total)
-    kept = value > max(value.max(), 0) * 1e-10
-    whiten = vector[:, kept] / np.sqrt(value[kept])
-
-    def columns(batches):
-        for b in batches:
-            omega = np.random.default_rng(SEED).standard_normal((p.features, k))
-            sparse = matrix(pa.Table.from_batches([b]))
-            q = product(sparse, omega) @ whiten
-            out = np.zeros((p.features, q.shape[1]), dtype=np.float32)
-            for (f, w), row in zip(sparse, q):
-                np.add.at(out, f, np.outer(w, row))
+@dataclass
+class Space:
+    """A latent space of weighted rows: its right singular vectors as products of the rows, so that nothing dense is as long as the features are many.
+
+    A feature's vector is the sum over the rows that have it of their values times ``left``, the rows' left singular vectors over the singular
+    values. ``unit`` has the rows' own unit vectors.
+    """
+
+    start: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    unit: np.ndarray
+
+    def __post_init__(self):
+        self.whole = None
+
+    def basis(self, features: np.ndarray) -> np.ndarray:
+        """The vectors of these features, one row each."""
+        if (len(self.start) - 1) * self.left.shape[1] <= KEPT_BASIS:
+            if self.whole is None:
+                self.whole = self._made(np.arange(len(self.start) - 1))
+            return self.whole[features]
+        every, back = np.unique(features, return_inverse=True)
+        return self._made(every)[back]
+
+    def _made(self, features: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(features), self.left.shape[1]), dtype=np.float32)
+        for part in np.array_split(np.arange(len(features)), len(features) // 20_000 + 1):
+            lo, hi = self.start[features[part]], self.start[features[part] + 1]
+            take = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(lo.tolist(), hi.tolist()))])
+            own = np.repeat(part, hi - lo)
+            np.add.at(out, own, self.left[self.row[take]] * self.value[take, None])
+        return out
+
+
+def latent_space(spark, rows: list[tuple[np.ndarray, np.ndarray]], features: int, rank: int = RANK) -> Space:
+    """Randomised SVD of sparse rows (features, values), without a matrix that is dense in features anywhere.
+
+    The left singular vectors span what the rows' Gram matrix G maps a seeded Gaussian matrix to. G itself is never made: entries are
+    partitioned by feature, a task sums its features' vectors over the rows that have them and hands each row its share, so a product
+    with G is linear in the entries however common a feature is. Two products are made: one gives the range, the other G within it, whose
+    eigenvectors are wanted. What the driver holds is rows by rank, bounded by the block of passages.
+    """
+    n = len(rows)
+    size = np.array([len(f) for f, _ in rows], dtype=np.int64)
+    entry = pd.DataFrame({"feature": np.concatenate([np.zeros(0, np.int64), *(f for f, _ in rows)]), "row": np.repeat(np.arange(n), size), "value": np.concatenate([np.zeros(0, np.float64), *(v for _, v in rows)]).astype(np.float64)})
+    entry = entry.groupby(["feature", "row"], as_index=False).value.sum().sort_values(["feature", "row"])
+    start = np.searchsorted(entry.feature.to_numpy(), np.arange(features + 1))
+    if not len(entry):
+        return Space(start, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((n, 1), np.float32), np.zeros((n, 1), np.float32))
+    k = min(n, rank + OVERSAMPLING)
+    entries = spark.createDataFrame(entry).repartition("feature")
+
+    def times(make) -> np.ndarray:
+        """G times the matrix that ``make()`` gives in the task."""
+
+        def product(batches):
+            x = make()
+            out = np.zeros((n, k))
+            t = pa.Table.from_batches(list(batches), schema=pa.schema([("feature", pa.int64()), ("row", pa.int64()), ("value", pa.float64())]))
+            f, r, v = (t.column(i).to_numpy() for i in range(3))
+            order = np.argsort(f, kind="stable")
+            f, r, v = f[order], r[order], v[order]
+            edge = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+            for part in np.array_split(edge, len(edge) // 20_000 + 1):
+                if len(part):
+                    last = edge[np.searchsorted(edge, part[-1]) + 1] if part[-1] != edge[-1] else len(f)
+                    own = slice(part[0], last)
+                    sums = np.add.reduceat(x[r[own]] * v[own, None], part - part[0], axis=0)
+                    np.add.at(out, r[own], sums[np.repeat(np.arange(len(part)), np.diff(np.append(part, last)))] * v[own, None])
             used = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.tobytes() for r in out[used]], pa.binary())], names=["feature", "b"])
-
-    b = np.zeros((p.features, int(kept.sum())), dtype=np.float32)
-    for r in windows.mapInArrow(columns, "feature bigint, b binary").toLocalIterator():
-        b[r.feature] += np.frombuffer(r.b, dtype=np.float32)
-    # The left singular vectors, from the small Gram matrix.
-    square, right = np.linalg.eigh((b.T @ b).astype(np.float64))
-    top = np.argsort(-square)[:rank]
-    top = top[square[top] > max(square.max(initial=0), 0) * 1e-9]
-    basis = b @ (right[:, top] / np.sqrt(square[top])).astype(np.float32)
-    del b
-    vectors, of = [], []
-    for i, x in rows:
-        _, f = p.hits(np.array(x, dtype=np.int64))
-        vectors.append(weight[f].astype(np.float32) @ basis[f] if len(f) else np.zeros(basis.shape[1], np.float32))
-        of.append(i)
-    z = np.array(vectors, dtype=np.float32).reshape(len(rows), basis.shape[1])
-    return basis, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9), np.array(of, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([y.tobytes() for y in out[used]], pa.binary())], names=["row", "y"])
+
+        total = np.zeros((n, k))
+        for found in entries.mapInArrow(product, "row bigint, y binary").toLocalIterator():
+            total[found.row] += np.frombuffer(found.y)
+        return total
+
+    q, _ = np.linalg.qr(times(lambda: np.random.default_rng(SEED).standard_normal((n, k))))
+    value, vector = np.linalg.eigh(q.T @ times(lambda: q))
+    top = np.argsort(-value)[:rank]
+    top = top[value[top] > max(value.max(), 0) * 1e-9]
+    u, sigma = q @ vector[:, top], np.sqrt(value[top])
+    own = u * sigma
+    unit = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+    return Space(start, entry.row.to_numpy(), entry.value.to_numpy(np.float32), (u / sigma).astype(np.float32), unit.astype(np.float32))
 
 
 def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,28 +334,56 @@ def answer_share(p: Passages, i: int, x: np.ndarray) -> float:
     return float(max(scores, default=0.0))
 
 
+def topic_cosine(space: Space, weight: np.ndarray, x: np.ndarray, passage: int) -> float:
+    """The largest latent cosine of a whole passage with a TOPIC_WINDOW of the text, single words as features. Foreign words count in the window's length."""
+    foreign = float(np.median(weight[1:])) if len(weight) > 1 else 1.0
+    best = 0.0
+    vectors = space.basis(np.where(x < len(weight), x, 0))
+    w = np.where((x > 0) & (x < len(weight)), weight[np.where(x < len(weight), x, 0)], 0.0)
+    full = np.where(w > 0, w, foreign)
+    for s in range(0, max(1, len(x) - TOPIC_WINDOW + TOPIC_STRIDE), TOPIC_STRIDE):
+        own = slice(s, s + TOPIC_WINDOW)
+        # Repeated words add up before they are squared, as in the passage's own row.
+        number, at = np.unique(np.where(w[own] > 0, x[own], -1 - np.arange(len(x[own]))), return_inverse=True)
+        length = np.sqrt((np.bincount(at, full[own], len(number)) ** 2).sum())
+        z = (vectors[own] * w[own, None]).sum(axis=0)
+        best = max(best, float(z @ space.unit[passage]) / max(float(length), 1e-9))
+    return best
+
+
 def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[str], answers: Sequence[Sequence[str]] = (), least_score: float = LEAST_SCORE, least_span: int = LEAST_SPAN) -> DataFrame:
-    """(key, passage number, score, span, answer, kind) of every document that holds a long stretch of a passage.
+    """(key, passage number, score, span, answer, kind) of every document that holds a long stretch of a passage, or a paraphrase of it with its answer.
 
-    ``kind`` is ``passage``, or ``paraphrase`` for a weaker alignment in a document that also holds the answer; ``answer`` is the share
-    of an answer found. ``answers`` has the answers that go with each passage.
+    ``kind`` is ``passage``, or ``paraphrase`` for a document that holds the answer and either a weaker alignment or the passage's words
+    in another order or wording; ``answer`` is the share of an answer found. ``answers`` has the answers that go with each passage.
 
     1. Words become numbers by canonical shape, so look-alike characters, accents and wrong encodings don't matter; altered
        words stay what they are, and the alignment passes over them.
-    2. Document frequencies of the passages' n-grams are counted over all documents.
-    3. Every window of every document is weighted by TF-IDF (n-grams foreign to the passages get the passages' median
-       weight). Windows whose known part is under LEAST_MASS can't have a larger cosine with anything and end here; the others
-       are projected into the latent space and compared with all windows of all passages.
+    2. Document frequencies of the passages' n-grams and words are counted over all documents.
+    3. Every window of every document is weighted by TF-IDF (n-grams foreign to the passages get the passages' median weight) and compared
+       with all windows of all passages: its cosine is the share of its length that its known n-grams have times the latent cosine of
+       these. A window whose share alone is below LEAST_COSINE can't reach it and isn't projected.
     4. Each candidate document is aligned in whole with the passage.
+    5. A document that has most n-grams of an answer is also held against the whole passage in a latent space of single words,
+       which knows no order, and the answer is aligned.
 
     Documents are read twice and never shuffled; there is no cap on candidates. NULL and empty texts hold nothing; repeated
-    documents are each reported; passages shorter than ``least_span`` words can't be reported.
+    documents are each reported; passages shorter than ``least_span`` words can't be reported as passages.
     """
     p = Passages(list(passages), [list(a) for a in answers])
     spark = documents.sparkSession
-    total, df = document_frequencies(documents, text, p)
-    weight = np.log((total + 1) / (df + 0.5)).astype(np.float32)
-    basis, unit, of = latent_space(spark, p, weight)
+    total, df, df_word = document_frequencies(documents, text, p)
+    weight, word_weight = (np.log((total + 1) / (n + 0.5)).astype(np.float32) for n in (df, df_word))
+    word_weight[0] = 0  # any other word
+    windows, of = [], []
+    for i, x in enumerate(p.ids):
+        for s in _starts(len(x), PASSAGE_STRIDE).tolist():
+            f = p.hits(x[s : s + WINDOW])[1]
+            windows.append((f, weight[f]))
+            of.append(i)
+    of = np.array(of, dtype=np.int64)
+    space = latent_space(spark, windows, p.features)
+    topics = latent_space(spark, [(x, word_weight[x]) for x in p.ids], p.words + 1)
     foreign = float(np.median(weight[df > 0])) if (df > 0).any() else 1.0
     kind = documents.schema[key].dataType.simpleString()
 
@@ -298,36 +393,43 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
         for b in batches:
             x, begin = _read(b, text, memo)
             at, feature = p.hits(x)
-            if not len(at):
+            asked = set(p.answered(x, begin))
+            if not len(at) and not asked:
                 continue
             n = len(x)
             # TF-IDF square length of each position's n-grams: the known ones, and all if the others weigh as a usual known one.
             known = np.bincount(at, square[feature], n)
             length = known + foreign * foreign * (len(GRAMS) - np.bincount(at, minlength=n))
             size = np.diff(begin) - 1
-            start = np.concatenate([s + _starts(k, STRIDE) for s, k in zip(begin.tolist(), size.tolist()) if k > 0])
+            start = np.concatenate([np.zeros(0, np.int64), *(s + _starts(k, STRIDE) for s, k in zip(begin.tolist(), size.tolist()) if k > 0)])
             end = np.minimum(start + WINDOW, begin[np.searchsorted(begin, start, side="right")] - 1)
             a, c = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(length)])
-            mass = (a[end - 1] - a[start]) / np.maximum(c[end - 1] - c[start], 1e-9)
-            kept = np.flatnonzero(mass >= LEAST_MASS**2)
+            mass = np.sqrt(np.maximum(a[end - 1] - a[start], 0) / np.maximum(c[end - 1] - c[start], 1e-9))
+            kept = np.flatnonzero(mass >= LEAST_COSINE)
             pairs: set[tuple[int, int]] = set()
             for part in np.array_split(kept, len(kept) // 2_000 + 1):
                 if not len(part):
                     continue
                 lo, hi = np.searchsorted(at, start[part]), np.searchsorted(at, end[part] - 1)
+                some = hi > lo
+                part, lo, hi = part[some], lo[some], hi[some]
+                if not len(part):
+                    continue
                 take = np.concatenate([np.arange(s, e) for s, e in zip(lo.tolist(), hi.tolist())])
-                z = np.add.reduceat(basis[feature[take]] * weight[feature[take], None], np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), axis=0)
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                near_w, near_p = np.nonzero(z @ unit.T >= LEAST_COSINE)
+                z = np.add.reduceat(space.basis(feature[take]) * weight[feature[take], None], np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), axis=0)
+                z *= (mass[part] / np.maximum(np.linalg.norm(z, axis=1), 1e-9))[:, None]
+                near_w, near_p = np.nonzero(z @ space.unit.T >= LEAST_COSINE)
                 doc = np.searchsorted(begin, start[part[near_w]], side="right") - 1
                 pairs |= set(zip(doc.tolist(), of[near_p].tolist()))
             rows = []
-            for d, i, score, span in verified(p, x, begin, list(pairs)):
-                if score >= PARAPHRASE_SCORE:
-                    share = answer_share(p, i, x[begin[d] : begin[d + 1] - 1])
-                    kind_of = "passage" if score >= least_score and span >= least_span else "paraphrase" if share >= ANSWER_SHARE else None
-                    if kind_of:
-                        rows.append((d, i, score, span, share, kind_of))
+            for d, i, score, span in verified(p, x, begin, sorted(pairs | asked)):
+                own = x[begin[d] : begin[d + 1] - 1]
+                if score >= least_score and span >= least_span:
+                    rows.append((d, i, score, span, answer_share(p, i, own), "passage"))
+                elif score >= PARAPHRASE_SCORE or (d, i) in asked:
+                    share = answer_share(p, i, own)
+                    if share >= ANSWER_SHARE and (score >= PARAPHRASE_SCORE or topic_cosine(topics, word_weight, own, i) >= LEAST_TOPIC):
+                        rows.append((d, i, score, span, share, "paraphrase"))
             if rows:
                 d, i, score, span, share, kinds = zip(*rows)
                 columns = [b.column(key).take(pa.array(d)), pa.array(i, pa.int32()), pa.array(score, pa.float64()), pa.array(span, pa.int32()), pa.array(share, pa.float64()), pa.array(kinds)]
