@@ -364,3 +364,29 @@ def test_every_bar_is_raced(spark, monkeypatch):
         neither = "unknown" if len(inside) < 10 else "neither"
         want[t] = neither if up is None and down is None else "both" if up == down else "up" if down is None or (up is not None and up < down) else "down"
     assert len(set(want.values())) > 2 and {r.at_ms: r.outcome for r in rules.sp_18_barrier_race_all(None, None).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gate_counts_over_days(spark, seed):
+    """Blocks, jumps and gaps that go on over days, held against the operators that count them one by one."""
+    import random
+
+    rng = random.Random(seed)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([1000, 60_000, 3_600_000, 7 * 3_600_000, 60 * 3_600_000])
+        b = rng.choice([1.0, 1.0, 1.0, 1.1, -1.0]) if rng.random() < 0.3 or not rows else rows[-1][2]
+        rows.append((t, i, b, b + rng.choice([0.1, 0.1, -0.1]) if rng.random() < 0.1 else b + 0.1))
+    q = ticks(spark, rows).unionByName(ticks(spark, rows[:1], "Q")).unionByName(ticks(spark, [(0, i, 1.0, 1.1) for i in range(9)], "R"))
+    stale = 4
+    got = {r.sym: r for r in Q.integrity(q, stale).collect()}
+    blocks = {(r.sym): r.k for r in Q.blocks(q, True).where(F.col("n") >= stale).groupBy("sym").agg(F.count("*").alias("k")).collect()}
+    moved = {r.sym: r.k for r in Q.jumps(q).groupBy("sym").agg(F.count("*").alias("k")).collect()}
+    gaps = {r.sym: r.k for r in Q.longest_gaps(q.where("bid > 0 AND ask >= bid")).groupBy("sym").agg(F.max("longest_min").alias("k")).collect()}
+    gate = {r.sym: r for r in Q.store_gate(q, 202601, 202612).collect()}
+    missing = {r.sym: r.k for r in Q.missing_months(q, 202601, 202612).groupBy("sym").agg(F.count("*").alias("k")).collect()}
+    for sym in "PQR":
+        assert (got[sym].stale_blocks, got[sym].n_jumps, gate[sym].longest_gap_min, gate[sym].months_missing) == (blocks.get(sym, 0), moved.get(sym, 0), gaps.get(sym), missing.get(sym, 0)), sym
+    assert Q.integrity(q.where("false")).count() == 0 and Q.store_gate(q.where("false"), 202601, 202601).count() == 0
+    plan = Q.store_gate(q, 202601, 202612)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2 * 3  # three tables in the union, two passes

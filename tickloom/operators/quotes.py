@@ -111,26 +111,83 @@ def blocks(quotes: DataFrame, legacy: bool) -> DataFrame:
     return numbered.groupBy("sym", "block").agg(F.count("*").alias("n"), F.min("utc_ms").alias("start_ms"), F.max("utc_ms").alias("end_ms"))
 
 
+def daily_counts(quotes: DataFrame, stale: int = 300) -> DataFrame:
+    """One row per sym and UTC day with what the gates count, from one pass over the quotes: rows of a day meet in one window each, and
+    what goes on over days (the step into a day, a block that a day doesn't end) is in the day's first and last figures.
+
+    ``first_start`` and ``last_start`` are the first and last row of the day, from 1, that is equal to the row before it in the day;
+    ``stale_in`` counts the legacy blocks between two such rows with at least ``stale`` rows.
+    """
+    w = Window.partitionBy("sym", "_day").orderBy(*ORDER)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    kept = (F.col("bid") > 0) & (F.col("ask") >= F.col("bid"))
+    seen = quotes.select("sym", *ORDER, "bid", "ask", day_of("utc_ms").alias("_day")).withColumns({"_pb": F.lag("bid").over(w), "_pa": F.lag("ask").over(w), "_n": F.row_number().over(w)})
+    start = F.when((F.col("bid") == F.col("_pb")) & (F.col("ask") == F.col("_pa")), F.col("_n"))
+    seen = seen.withColumn("_start", start).withColumns({"_last_start": F.max("_start").over(before), "_last_kept": F.max(F.when(kept, F.col("utc_ms"))).over(before)})
+    at, row = F.struct(*ORDER), F.struct("bid", "ask")
+    return seen.groupBy("sym", "_day").agg(
+        F.count("*").alias("n"), F.count_if(F.col("ask") < F.col("bid")).alias("n_crossed"), F.count_if((F.col("bid") <= 0) | (F.col("ask") <= 0)).alias("n_zero"),
+        F.count_if(_jumped(F.col("_pb"), F.col("_pa"), F.col("bid"), F.col("ask"))).alias("jumps_in"), F.count_if(F.col("_start") - F.col("_last_start") >= stale).alias("stale_in"),
+        F.min("_start").alias("first_start"), F.max("_start").alias("last_start"), F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"),
+        F.min(F.when(kept, F.col("utc_ms"))).alias("first_kept"), F.max(F.when(kept, F.col("utc_ms"))).alias("last_kept"),
+        F.max(F.when(kept, F.floor((F.col("utc_ms") - F.col("_last_kept")) / 60_000))).alias("longest_in"),
+    )
+
+
+def _jumped(pb: Column, pa: Column, b: Column, a: Column, over: float = 0.02) -> Column:
+    was, now = (pb + pa) / 2, (b + a) / 2
+    return F.coalesce(F.abs(F.ln(F.when((now > 0) & (was > 0), now / was))) > over, F.lit(False))
+
+
+def _gate_counts(quotes: DataFrame, stale: int = 300) -> DataFrame:
+    """Per sym the counters of ``integrity``, the longest gap within a month and the months that have quotes, from one row per day."""
+    days = daily_counts(quotes, stale)
+    w = Window.partitionBy("sym").orderBy("_day")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    month = F.date_format(F.timestamp_millis(F.col("_day") * 86_400_000), "yyyyMM").cast("int")
+    days = days.withColumn("_was", F.lag("last").over(w)).withColumn("_base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("_month", month)
+    # The day's first row is a start too if it equals the last row of the day before.
+    days = days.withColumn("_opens", F.coalesce((F.col("first.bid") == F.col("_was.bid")) & (F.col("first.ask") == F.col("_was.ask")), F.lit(False)))
+    days = days.withColumn("_gs", F.col("_base") + F.when(F.col("_opens"), 1).otherwise(F.col("first_start")))
+    days = days.withColumn("_gl", F.col("_base") + F.coalesce(F.col("last_start"), F.when(F.col("_opens"), 1)))
+    last_start = F.coalesce(F.last("_gl", ignorenulls=True).over(earlier), F.lit(1))  # rows before any start are a block from row 1
+    days = days.withColumn("_closed", F.col("_gs") - last_start).withColumn("_kept_before", F.max("last_kept").over(Window.partitionBy("sym", "_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    across = yes(F.col("_closed") >= stale) + yes(F.col("_opens") & (F.col("first_start") - 1 >= stale))
+    gap = F.greatest("longest_in", F.floor((F.col("first_kept") - F.col("_kept_before")) / 60_000))
+    out = days.groupBy("sym").agg(
+        F.sum("n").alias("n"), F.sum("n_crossed").alias("n_crossed"), F.sum("n_zero").alias("n_zero"),
+        F.sum(F.col("stale_in") + across).alias("stale_blocks"), F.coalesce(F.max("_gl"), F.lit(1)).alias("_open"),
+        (F.sum("jumps_in") + F.count_if(_jumped(F.col("_was.bid"), F.col("_was.ask"), F.col("first.bid"), F.col("first.ask")))).alias("n_jumps"),
+        F.max(gap).alias("longest_gap_min"), F.collect_set("_month").alias("months"),
+    )
+    return out.withColumn("stale_blocks", F.col("stale_blocks") + (F.col("n") - F.col("_open") + 1 >= stale).cast("int")).drop("_open")
+
+
 def integrity(quotes: DataFrame, stale: int = 300) -> DataFrame:
     """Per sym: quotes, crossed and zero quotes, legacy stale blocks and jumps. ``invalid_total`` counts crossed quotes twice, as the report it replaces does."""
-    crossed = F.count(F.when(F.col("ask") < F.col("bid"), 1))
-    zero = F.count(F.when((F.col("bid") <= 0) | (F.col("ask") <= 0), 1))
-    base = quotes.groupBy("sym").agg(F.count("*").alias("n"), crossed.alias("n_negative_spread"), crossed.alias("n_crossed"), zero.alias("n_zero"))
-    stuck = blocks(quotes, legacy=True).where(F.col("n") >= stale).groupBy("sym").agg(F.count("*").alias("stale_blocks"))
-    moved = jumps(quotes).groupBy("sym").agg(F.count("*").alias("n_jumps"))
-    out = base.join(stuck, "sym", "left").join(moved, "sym", "left").na.fill(0, ["stale_blocks", "n_jumps"])
-    return out.withColumn("invalid_total", F.col("n_negative_spread") + F.col("n_crossed") + F.col("n_zero"))
+    c = _gate_counts(quotes, stale)
+    total = F.col("n_crossed") * 2 + F.col("n_zero")
+    return c.select("sym", "n", F.col("n_crossed").alias("n_negative_spread"), "n_crossed", "n_zero", "stale_blocks", "n_jumps", total.alias("invalid_total"))
 
 
 def bar_consistency(quotes: DataFrame, minutes: int = 5, atol: float = 1e-9) -> DataFrame:
-    """Per sym, bars held against the extrema of their quotes, the bars being rolled up from one-minute bars."""
+    """Per sym, bars held against the extrema of their quotes, the bars being rolled up from one-minute bars. One pass: a bar's minutes are
+    conditional aggregates beside the extrema of all its quotes."""
+    step = minutes * 60_000
+    minute = F.floor(F.col("utc_ms") / 60_000) - F.floor(F.col("utc_ms") / step) * minutes
+    in_minute = [(f(F.when(minute == k, F.col("bid"))), f"{n}{k}") for k in range(minutes) for f, n in ((F.max, "h"), (F.min, "l"))]
+    bars = quotes.groupBy("sym", F.floor(F.col("utc_ms") / step).alias("bar")).agg(F.max("bid").alias("raw_h"), F.min("bid").alias("raw_l"), *[c.alias(n) for c, n in in_minute])
+    high, low = (f(*[F.col(f"{n}{k}") for k in range(minutes)], F.lit(None)) for f, n in ((F.greatest, "h"), (F.least, "l")))
+    off = lambda a, b: F.count(F.when(~F.coalesce(is_close(a, F.col(b), atol, 0.0), F.lit(False)), 1))
+    return bars.groupBy("sym").agg(F.count("*").alias("bars_checked"), off(high, "raw_h").alias("high_mismatch"), off(low, "raw_l").alias("low_mismatch"))
+
+
+def shared_bars(bars: DataFrame, quotes: DataFrame, minutes: int) -> DataFrame:
+    """Bars that both sides have, an inner join on (sym, bar_ms): the bar's bid extrema and those of its quotes. ``bars`` has sym, bar_ms, bid_h and bid_l."""
     step = minutes * 60_000
-    group = [F.col("sym"), (F.floor(F.col("bar_ms") / step) * step).alias("bar_ms")]
-    rolled = closes(quotes, 1).groupBy(*group).agg(F.max("bid_h").alias("bar_h"), F.min("bid_l").alias("bar_l"))
     raw = quotes.groupBy("sym", (F.floor(F.col("utc_ms") / step) * step).alias("bar_ms")).agg(F.max("bid").alias("raw_h"), F.min("bid").alias("raw_l"))
-    both = rolled.join(raw, ["sym", "bar_ms"], "left")
-    off = lambda a, b: F.count(F.when(~F.coalesce(is_close(F.col(a), F.col(b), atol, 0.0), F.lit(False)), 1))
-    return both.groupBy("sym").agg(F.count("*").alias("bars_checked"), off("bar_h", "raw_h").alias("high_mismatch"), off("bar_l", "raw_l").alias("low_mismatch"))
+    return bars.select("sym", "bar_ms", "bid_h", "bid_l").join(raw, ["sym", "bar_ms"])
 
 
 def month_of(ms: str = "utc_ms") -> Column:
@@ -156,12 +213,16 @@ def missing_months(quotes: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def store_gate(quotes: DataFrame, first: int, last: int) -> DataFrame:
-    """One row per sym with all counters and whether its data pass: nothing crossed, no bar mismatch, no month missing, quotes and bars present."""
-    counts = integrity(quotes).select("sym", "n", "n_crossed", "n_zero", "n_jumps")
-    kept = quotes.where("bid > 0 AND ask >= bid")
-    gate = counts.join(bar_consistency(kept), "sym", "left").join(missing_months(quotes, first, last).groupBy("sym").agg(F.count("*").alias("months_missing")), "sym", "left")
-    gate = gate.join(longest_gaps(kept).groupBy("sym").agg(F.max("longest_min").alias("longest_gap_min")), "sym", "left")
-    gate = gate.na.fill(0, ["bars_checked", "high_mismatch", "low_mismatch", "months_missing"])
+    """One row per sym with all counters and whether its data pass: nothing crossed, no bar mismatch, no month missing, quotes and bars present.
+
+    Two passes over the quotes: one by day for everything that looks at the quote before, one by bar."""
+    if first > last:
+        raise ValueError("the span is reversed")
+    month = lambda ym: F.to_date(F.lit(str(ym)), "yyyyMM")
+    expected = F.transform(F.sequence(month(first), month(last), F.expr("INTERVAL 1 MONTH")), lambda d: F.date_format(d, "yyyyMM").cast("int"))
+    counts = _gate_counts(quotes).select("sym", "n", "n_crossed", "n_zero", "n_jumps", "longest_gap_min", F.size(F.array_except(expected, "months")).cast("bigint").alias("months_missing"))
+    gate = counts.join(bar_consistency(quotes.where("bid > 0 AND ask >= bid")), "sym", "left").na.fill(0, ["bars_checked", "high_mismatch", "low_mismatch"])
+    gate = gate.select("sym", "n", "n_crossed", "n_zero", "n_jumps", "bars_checked", "high_mismatch", "low_mismatch", "months_missing", "longest_gap_min")
     return gate.withColumn("data_pass", F.expr("n > 0 AND bars_checked > 0 AND n_crossed = 0 AND n_zero = 0 AND high_mismatch = 0 AND low_mismatch = 0 AND months_missing = 0"))
 
 

@@ -12,7 +12,7 @@ from tickloom.operators import refresh as R
 from tickloom.operators import sessions as X
 from tickloom.operators import stats as T
 from tickloom.session import cut
-from tickloom.sources.adapters import DAILY_SQL, FLAGGED_SQL, PANEL_SQL, QUOTES_SQL, dirty_quotes, panel, quotes
+from tickloom.sources.adapters import DAILY_SQL, EXPORTED_SQL, FLAGGED_SQL, PANEL_SQL, QUOTES_SQL, dirty_quotes, exported, panel, quotes
 from tickloom.sources.tables import number, six_capitals, table
 
 QUERIES: dict = {}
@@ -129,6 +129,12 @@ def dq_03_bar_consistency(spark, d):
     return Q.bar_consistency(quotes(spark, d))
 
 
+@query(WITH_Q + EXPORTED_SQL + ", a AS (SELECT sym, (utc_ms // 300000) * 300000 AS bar_ms, max(bid) AS bid_h, min(bid) AS bid_l FROM q GROUP BY 1, 2), b AS (SELECT sym, (utc_ms // 300000) * 300000 AS bar_ms, max(bid) AS raw_h, min(bid) AS raw_l FROM x GROUP BY 1, 2) SELECT * FROM a JOIN b USING (sym, bar_ms)")
+def jn_06_shared_bars(spark, d):
+    """Bars of the accepted quotes beside the extrema of the exported lines, where both have the bar."""
+    return Q.shared_bars(Q.closes(quotes(spark, d), 5), exported(spark, d), 5)
+
+
 @query(WITH_Q + ", m AS (SELECT DISTINCT sym, CAST(strftime(make_timestamp(utc_ms * 1000), '%Y%m') AS INT) AS ym FROM q) SELECT sym, count(*) AS n_months, min(ym) AS first, max(ym) AS last, CAST((max(ym) // 100 - min(ym) // 100) * 12 + max(ym) % 100 - min(ym) % 100 + 1 - count(*) AS INT) AS n_missing FROM m GROUP BY 1")
 def agg_21_inventory(spark, d):
     return Q.inventory(quotes(spark, d))
@@ -472,6 +478,12 @@ def lim_02_lost_head(spark, d):
     return _lost_head(*_halves(spark, d))
 
 
+@query(_HALF + ", a AS (SELECT sym, utc_ms, bid, ask, count(*) AS n FROM old GROUP BY 1, 2, 3, 4), b AS (SELECT sym, utc_ms, bid, ask, count(*) AS n FROM new GROUP BY 1, 2, 3, 4), l AS (SELECT DISTINCT a.sym, a.utc_ms FROM a LEFT JOIN b USING (sym, utc_ms, bid, ask) WHERE coalesce(b.n, 0) < a.n) SELECT sym, count(*) AS n_times, array_to_string(list(utc_ms ORDER BY utc_ms)[1:5], ',') AS head FROM l GROUP BY 1")
+def lim_02_lost_times(spark, d):
+    """The first times of contents that the new export has fewer times than the store."""
+    return R.lost_times(*_halves(spark, d)).select("sym", "n_times", F.array_join(F.col("head").cast("array<string>"), ",").alias("head"))
+
+
 def _lost_head(old, new):
     gone = old.select("sym", "utc_ms").subtract(new.select("sym", "utc_ms"))
     return gone.groupBy("sym").agg(F.count("*").alias("n_times"), F.array_join(F.slice(F.array_sort(F.collect_set("utc_ms")), 1, 5).cast("array<string>"), ",").alias("head"))
@@ -491,6 +503,16 @@ def str_04_refresh(spark, d):
     return R.refresh(old, new, check=False)
 
 
+@query(_HALF + _NUM + ", ov AS (SELECT sym, yyyymm, count(*) AS o FROM tail GROUP BY 1, 2), la AS (SELECT sym, yyyymm, max(seq) AS l FROM om GROUP BY 1, 2) SELECT sym, yyyymm, utc_ms, bid, ask, seq FROM om UNION ALL SELECT h.sym, h.yyyymm, utc_ms, bid, ask, greatest(coalesce(l, -1), 7) + pos - coalesce(o, 0) AS seq FROM head h LEFT JOIN ov USING (sym, yyyymm) LEFT JOIN la USING (sym, yyyymm) WHERE pos > coalesce(o, 0)")
+def str_04_refresh_checked(spark, d):
+    """The same with the checks on and a watermark of 7: the overlap agrees, so nothing is refused. An export that starts a month earlier than
+    the stored rows would be; here it starts within them, month by month."""
+    old, new = _halves(spark, d)
+    begins = old.groupBy("sym", "yyyymm").agg(F.min("utc_ms").alias("_a"))
+    kept = new.join(begins, ["sym", "yyyymm"], "left").where("_a IS NULL OR utc_ms >= _a").drop("_a")
+    return R.refresh(old, kept, watermark=7)
+
+
 # --- scalar families ---
 @query("SELECT DISTINCT src_file, regexp_extract(src_file, '^([A-Z]{6})_ticks_(\\d{6})\\.csv$', 1) AS pair, CAST(regexp_extract(src_file, '^([A-Z]{6})_ticks_(\\d{6})\\.csv$', 2) AS INT) AS yyyymm FROM ticks WHERE regexp_matches(src_file, '^([A-Z]{6})_ticks_(\\d{6})\\.csv$')")
 def scl_filename(spark, d):

@@ -13,7 +13,7 @@ from tickloom.operators.stats import flags
 from tickloom.plans.catalogue import THIN, WITH_D, WITH_F, WITH_Q, _sessions_sql, _text
 from tickloom.session import scratch_path
 from tickloom.sources import exports, synthetic
-from tickloom.sources.adapters import daily, panel, quotes
+from tickloom.sources.adapters import EXPORTED_SQL, daily, exported, panel, quotes
 from tickloom.streaming import bars as stream
 
 QUERIES: dict = {}
@@ -253,6 +253,30 @@ def snk_01_store_round_trip(spark, d):
     return exports.read_store(spark, root).groupBy("sym", "yyyymm").agg(F.count("*").alias("n"), F.min("utc_ms").alias("first_ms"), F.max("utc_ms").alias("last_ms"))
 
 
+@query(WITH_Q + "SELECT sym, CAST(strftime(make_timestamp(utc_ms * 1000), '%Y%m') AS INT) AS yyyymm, utc_ms, seq, bid, ask FROM q")
+def snk_01_store_rows(spark, d):
+    """Every row, price and seq of the store, written and read back."""
+    root = scratch_path(spark, "store")
+    exports.write_store(quotes(spark, d).withColumn("yyyymm", Q.month_of()), root)
+    return exports.read_store(spark, root).select("sym", "yyyymm", "utc_ms", "seq", "bid", "ask")
+
+
+@query(WITH_Q + "SELECT sym, utc_ms, seq, bid, ask FROM q WHERE sym = 'hub:EURUSD' AND utc_ms BETWEEN 1757000000000 AND 1759999999000")
+def src_06_store_range(spark, d):
+    """A closed range of one pair from the stored months that it touches."""
+    root = scratch_path(spark, "store")
+    exports.write_store(quotes(spark, d).withColumn("yyyymm", Q.month_of()), root)
+    return exports.read_store(spark, root, "hub:EURUSD", 1757000000000, 1759999999000, required=True).select("sym", "utc_ms", "seq", "bid", "ask")
+
+
+@query(WITH_Q + "SELECT sym, utc_ms, seq, bid, ask FROM q WHERE sym = 'hub:EURUSD' AND strftime(make_timestamp(utc_ms * 1000), '%Y%m') BETWEEN '202509' AND '202511'")
+def src_06_padded_range(spark, d):
+    """The same range's month with one whole month more on either side."""
+    root = scratch_path(spark, "store")
+    exports.write_store(quotes(spark, d).withColumn("yyyymm", Q.month_of()), root)
+    return exports.read_store(spark, root, "hub:EURUSD", 1760000000000, 1760000000001, pad_months=1).select("sym", "utc_ms", "seq", "bid", "ask")
+
+
 @query()
 def src_10_synthetic(spark, d):
     return synthetic.generate(spark, "2024-01-01", "2024-01-12").groupBy("sym").agg(F.count("*").alias("n"), F.min("bid").alias("low"), F.max("bid").alias("high"))
@@ -269,6 +293,27 @@ def gov_01_content_hash(spark, d):
     return G.content_hash(spark.read.parquet(f"{d}/region.parquet").withColumn("sym", F.lit("region")), ["sym"])
 
 
+_PART = " + ".join(f"CAST(strpos('0123456789abcdef', h[{{0}} + {k}]) - 1 AS HUGEINT) * {16 ** (11 - k)}" for k in range(12))
+
+
+@query(
+    "WITH t AS (SELECT feed || ':' || pair AS sym, yyyymm, total_ticks, negative_spread, jump_gt_2pct FROM data_gates), "
+    + "x AS (SELECT sym, sha256(" + " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ("jump_gt_2pct", "negative_spread", "sym", "total_ticks", "yyyymm")) + ") AS h FROM t), "
+    + "s AS (SELECT sym, count(*) AS n, " + ", ".join(f"sum({_PART.format(1 + 12 * i)}) AS s{i}" for i in range(5)) + " FROM x GROUP BY 1) "
+    + "SELECT sym, n AS \"rows\", sha256(CAST(n AS VARCHAR) || ':' || " + " || ':' || ".join(f"CAST(s{i} AS VARCHAR)" for i in range(5)) + ") AS hash FROM s"
+)
+def gov_01_hashes(spark, d):
+    """The hash itself, per source, of the gate table's counts: rows hashed one by one and added up."""
+    t = spark.read.parquet(f"{d}/data_gates.parquet").select(F.concat_ws(":", "feed", "pair").alias("sym"), "yyyymm", "total_ticks", "negative_spread", "jump_gt_2pct")
+    return G.content_hash(t, ["sym"])
+
+
+@query(WITH_Q + EXPORTED_SQL + ", a AS (SELECT sym, (utc_ms // 300000) * 300000 AS bar_ms, arg_max(bid, (utc_ms, seq, tick_id)) AS va FROM q GROUP BY 1, 2), b AS (SELECT sym, (utc_ms // 300000) * 300000 AS bar_ms, arg_max(bid, (utc_ms, seq, tick_id)) AS vb FROM x GROUP BY 1, 2) SELECT sym, count(*) FILTER (WHERE va IS NOT NULL AND vb IS NOT NULL) AS \"both\", count(*) FILTER (WHERE vb IS NULL) AS only_a, count(*) FILTER (WHERE va IS NULL) AS only_b, count(*) FILTER (WHERE abs(va - vb) > 1e-9) AS differ FROM a FULL JOIN b USING (sym, bar_ms) GROUP BY 1")
+def sp_16_disagreement(spark, d):
+    """The difference report where there is something to report: closing bids of the accepted quotes against those of the exported lines."""
+    return Y.parity(_five(spark, d), Q.bars(exported(spark, d), 5), ("sym", "bar_ms"), "bid_c", 1e-9)
+
+
 def queries() -> dict:
     return QUERIES
 

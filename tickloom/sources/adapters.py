@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.quotes import clean
-from tickloom.sources.tables import counting_sessions, table, usable_ticks
+from tickloom.sources.tables import counting_sessions, number, table, usable_ticks
 
 
 def dirty_quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,12 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
     return clean(dirty_quotes(spark, d))[0]
 
 
+def exported(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of newly exported files as quotes: sound prices only, seq being the place in the file."""
+    lines = table(spark, d, "tick_exports").select(F.concat_ws(":", "feed", "pair").alias("sym"), "utc_ms", F.col("line_no").cast("bigint").alias("seq"), F.col("export_id").alias("tick_id"), number("bid").alias("bid"), number("ask").alias("ask"))
+    return clean(lines.where("utc_ms IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL"))[0]
+
+
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """One row per sym and day: the usable session loaded last."""
     figures = ("ldn_range", "expansion_ratio", "r_60m", "absr_15m", "absr_30m", "absr_60m", "absr_180m", "asia_hi", "asia_lo", "dst_summer")
@@ -38,6 +44,11 @@ d AS (SELECT feed || ':' || pair AS sym, utc_ms, seq, tick_id, bid, ask FROM tic
 q AS (SELECT * FROM d WHERE bid > 0 AND ask > 0 AND ask >= bid)
 """
 
+EXPORTED_SQL = """,
+x AS (SELECT feed || ':' || pair AS sym, utc_ms, line_no AS seq, export_id AS tick_id, bid, ask FROM tick_exports
+  WHERE utc_ms IS NOT NULL AND NOT isnan(bid) AND NOT isnan(ask) AND bid > 0 AND ask > 0 AND ask >= bid)
+"""
+
 PANEL_SQL = """
 u AS (SELECT feed || ':' || upper(regexp_replace(pair, '[^A-Za-z]', '', 'g')) AS sym,
     CAST(strptime(left(regexp_replace(london_date, '\\D', '', 'g'), 8), '%Y%m%d') AS DATE) AS day, * EXCLUDE (pair)
