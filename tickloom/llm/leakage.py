@@ -20,6 +20,9 @@ RANK, OVERSAMPLING, SEED = 128, 16, 20
 #: A window is a candidate for the passages whose windows have at least this cosine with it: the share of its length that its known n-grams
 #: have, times the latent cosine of these.
 LEAST_COSINE = 0.35
+#: A candidate is aligned if the text shares this many different n-grams with the passage: an alignment of LEAST_SCORE that loses every fourth
+#: word, or has a word of the text between every three, shares more.
+LEAST_SHARED = 4
 #: Alignment: a word found, a passage word altered or lost, and each word of the text in between.
 FOUND, LOST, BETWEEN = 1.0, -0.75, -0.12
 LEAST_SCORE, LEAST_SPAN = 14.0, 17
@@ -78,6 +81,11 @@ class Passages:
         self.answer_ids = [[number(a) for a in own if words(a)] for own in self.answers] or [[] for _ in self.texts]
         none = [np.zeros(0, np.uint64)]
         self.known = [np.unique(np.concatenate([*none, *(_codes(x, n)[1] for x in self.ids)])) for n in GRAMS]
+        # For each n-gram the passages that have it.
+        of = [np.unique(self.hits(x)[1]) for x in self.ids]
+        feature, passage = np.concatenate([np.zeros(0, np.int64), *of]), np.repeat(np.arange(len(of)), [len(f) for f in of])
+        order = np.argsort(feature, kind="stable")
+        self.passage_of, self.passage_start = passage[order], np.searchsorted(feature[order], np.arange(self.features + 1))
         # Answers by their n-grams: for each, the passages and answers it belongs to.
         grams = [(c, i, k) for i, own in enumerate(self.answer_ids) for k, a in enumerate(own) for c in np.unique(_codes(a, ANSWER_GRAM)[1]).tolist()]
         table = pd.DataFrame(grams, columns=["code", "passage", "answer"]).sort_values("code", kind="stable")
@@ -103,6 +111,15 @@ class Passages:
         order = np.argsort(at, kind="stable")
         return at[order], feature[order]
 
+    def sharing(self, doc: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """Codes document * passages + passage, sorted, of the documents that share at least LEAST_SHARED n-grams with the passage."""
+        seen = np.unique(doc * max(1, self.features) + feature)
+        doc, feature = seen // max(1, self.features), seen % max(1, self.features)
+        n = self.passage_start[feature + 1] - self.passage_start[feature]
+        place = np.repeat(self.passage_start[feature] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        found, times = np.unique(np.repeat(doc, n) * len(self.ids) + self.passage_of[place], return_counts=True)
+        return found[times >= LEAST_SHARED]
+
     def answered(self, x: np.ndarray, begin: np.ndarray) -> list[tuple[int, int]]:
         """(document, passage) where a document has at least ANSWER_HITS of the n-grams of one of the passage's answers."""
         at, code = _codes(x, ANSWER_GRAM)
@@ -363,7 +380,7 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
     3. Every window of every document is weighted by TF-IDF (n-grams foreign to the passages get the passages' median weight) and compared
        with all windows of all passages: its cosine is the share of its length that its known n-grams have times the latent cosine of
        these. A window whose share alone is below LEAST_COSINE can't reach it and isn't projected.
-    4. Each candidate document is aligned in whole with the passage.
+    4. Each candidate document that shares LEAST_SHARED n-grams with the passage is aligned in whole with it.
     5. A document that has most n-grams of an answer is also held against the whole passage in a latent space of single words,
        which knows no order, and the answer is aligned.
 
@@ -407,6 +424,7 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
             mass = np.sqrt(np.maximum(a[end - 1] - a[start], 0) / np.maximum(c[end - 1] - c[start], 1e-9))
             kept = np.flatnonzero(mass >= LEAST_COSINE)
             pairs: set[tuple[int, int]] = set()
+            shared = p.sharing(np.searchsorted(begin, at, side="right") - 1, feature)
             for part in np.array_split(kept, len(kept) // 2_000 + 1):
                 if not len(part):
                     continue
@@ -420,7 +438,9 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
                 z *= (mass[part] / np.maximum(np.linalg.norm(z, axis=1), 1e-9))[:, None]
                 near_w, near_p = np.nonzero(z @ space.unit.T >= LEAST_COSINE)
                 doc = np.searchsorted(begin, start[part[near_w]], side="right") - 1
-                pairs |= set(zip(doc.tolist(), of[near_p].tolist()))
+                pair = np.unique(doc * len(p.ids) + of[near_p])
+                pair = pair[_found(shared, pair)[0]]
+                pairs |= set(zip((pair // len(p.ids)).tolist(), (pair % len(p.ids)).tolist()))
             rows = []
             for d, i, score, span in verified(p, x, begin, sorted(pairs | asked)):
                 own = x[begin[d] : begin[d + 1] - 1]
