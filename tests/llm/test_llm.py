@@ -194,6 +194,24 @@ def test_percentiles(spark, kind):
     assert exact_percentiles(df.where("false"), ["g"], "x", ps).count() == 0
 
 
+def test_stored_summaries_are_merged_later(spark, tmp_path):
+    from tickloom.llm.percentiles import merge_summaries, summarise, summary_percentiles
+
+    rng = np.random.default_rng(8)
+    data = {"a": np.exp(rng.normal(0, 5, 4000)) * rng.choice([-1, 1], 4000), "b": np.zeros(30), None: np.array([3.0])}
+    rows = [(g, float(v), i % 5) for g, x in data.items() for i, v in enumerate(x)] + [("a", None, 0), ("a", float("nan"), 1), ("c", float("inf"), 2)]
+    df = spark.createDataFrame(rows, "g string, x double, day int")
+    for day in range(5):
+        summarise(df.where(f"day = {day}"), ["g"], "x").write.parquet(str(tmp_path / f"{day}"))
+    merged = merge_summaries([spark.read.parquet(str(tmp_path / f"{day}")) for day in range(5)], ["g"])
+    assert merged.count() < 2500  # by the values' span, not by the rows
+    found = summary_percentiles(merged, ["g"], (0.0, 0.1, 0.5, 0.9, 1.0)).collect()
+    assert {r.g for r in found} == set(data)
+    for r in found:
+        true = np.quantile(data[r.g], r.p)
+        assert r.n == len(data[r.g]) and abs(r.value - true) <= r.error * (1 + 1e-9) + 1e-300 and r.error <= 0.0101 * max(abs(true), abs(r.value)) * 1.05
+
+
 def test_shapes():
     assert shape("spoon") == shape("sp0on") and shape("modern") == shape("rnodem".replace("rnodem", "modem")[:2] + "dern") and shape("theatre") == shape("théâtre")
     assert shape("hill") == shape("lii1i") and repaired("Ã©tÃ© â€™ cafÃƒÂ©") == "été ’ café" and repaired("tâche") == "tâche"
