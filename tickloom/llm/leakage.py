@@ -20,9 +20,9 @@ RANK, OVERSAMPLING, SEED = 128, 16, 20
 #: A window is a candidate for the passages whose windows have at least this cosine with it: the share of its length that its known n-grams
 #: have, times the latent cosine of these.
 LEAST_COSINE = 0.35
-#: A candidate is aligned if the text shares this many different n-grams with the passage: an alignment of LEAST_SCORE that loses every fourth
-#: word, or has a word of the text between every three, shares more.
-LEAST_SHARED = 4
+#: A candidate is aligned if the text shares this many different n-grams with the passage, as many as an alignment of LEAST_SCORE that loses
+#: every fourth word.
+LEAST_SHARED = 6
 #: Alignment: a word found, a passage word altered or lost, and each word of the text in between.
 FOUND, LOST, BETWEEN = 1.0, -0.75, -0.12
 LEAST_SCORE, LEAST_SPAN = 14.0, 17
@@ -297,7 +297,7 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """
     (texts, m), n = passage.shape, text.shape[1]
     place = np.arange(n, dtype=np.float32) * -BETWEEN
-    number = np.broadcast_to(np.arange(n), (texts, n))
+    number = np.broadcast_to(np.arange(n, dtype=np.int32), (texts, n))
     score = np.zeros((texts, n + 1), dtype=np.float32)
     start = np.zeros((texts, n + 1), dtype=np.int32)
     best, span = np.zeros(texts, dtype=np.float32), np.zeros(texts, dtype=np.int32)
@@ -305,15 +305,15 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for i in range(m):
         same = text == passage[:, i, None]
         fresh = score[:, :-1] <= 0
-        diagonal = np.where(same, np.where(fresh, 0, score[:, :-1]) + FOUND, score[:, :-1] + LOST)
-        begun = np.where(fresh, i, start[:, :-1])
-        up = score[:, 1:] + LOST
+        diagonal = np.where(same, np.maximum(score[:, :-1], 0) + np.float32(FOUND), score[:, :-1] + np.float32(LOST))
+        begun = np.where(fresh, np.int32(i), start[:, :-1])
+        up = score[:, 1:] + np.float32(LOST)
         take = diagonal >= up
         now, since = np.where(take, diagonal, up), np.where(take, begun, start[:, 1:])
         now = np.maximum(now, 0)
         rising = now + place
         top = np.maximum.accumulate(rising, axis=1)
-        source = np.maximum.accumulate(np.where(rising >= top, number, 0), axis=1)
+        source = np.maximum.accumulate(np.where(rising >= top, number, np.int32(0)), axis=1)
         since = np.take_along_axis(since, source, axis=1)
         # A stretch ends with a word found, so only such cells compete.
         ending = np.where(same & take, now, 0)
@@ -336,7 +336,7 @@ def verified(p: Passages, x: np.ndarray, begin: np.ndarray, pairs: list[tuple[in
         block = pairs[: max(1, min(64, 60_000 // max(1, n)))]
         pairs = pairs[len(block) :]
         n, m = max(int(size[d]) for d, _ in block), max(len(p.ids[i]) for _, i in block)
-        text, passage = np.zeros((len(block), n), dtype=np.int64), np.full((len(block), m), -1)
+        text, passage = np.zeros((len(block), n), dtype=np.int32), np.full((len(block), m), -1, dtype=np.int32)
         for k, (d, i) in enumerate(block):
             text[k, : size[d]] = x[begin[d] : begin[d + 1] - 1]
             passage[k, : len(p.ids[i])] = p.ids[i]

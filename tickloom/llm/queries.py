@@ -136,18 +136,35 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, per target source that has files: every file counted, the rows add up to the report, none is used more often
+    than allowed, the budget is never exceeded, and no file that was used less often than others would still fit what is left of it."""
+    counts = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", "source"))
+    mixture, report = mix(counts, "doc_id", table(spark, d, "mix_targets"))
+    used = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_by_rows"), F.max("copies").alias("most"), F.count_distinct("doc_id").alias("ids"), F.count("*").alias("rows"))
+    plan = report.where("files > 0").withColumn("residual", F.col("budget") - F.col("used")).withColumn("whole", F.floor(F.col("budget") / F.col("available")))
+    spare = counts.where("tokens > 0").join(mixture.select("doc_id", "copies"), "doc_id", "left").join(plan.select("source", "residual", "whole", "max_repeats"), "source")
+    spare = spare.where("coalesce(copies, 0) = whole AND whole < max_repeats AND tokens <= residual").groupBy("source").agg(F.count("*").alias("fitting"))
+    rows = plan.join(used, "source", "left").join(spare, "source", "left").na.fill(0, ["used_by_rows", "most", "ids", "rows", "fitting"])
+    return rows.select(
+        "source", "files", (F.col("used_by_rows") == F.col("used")).alias("adds_up"), (F.col("ids") == F.col("rows")).alias("one_row_per_file"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"),
+        (F.col("residual") >= 0).alias("within_budget"), (F.col("fitting") == 0).alias("nothing_fits"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
 
 
 def p9_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Per source: files, cut files and their share."""
+    """Per source: files, cut files and their share, and the cut files by reason."""
     judged = truncated(table(spark, d, "documents"), "doc_id", "text", "source")
-    return judged.groupBy("source").agg(F.count("*").alias("files"), F.count_if("cut").alias("cut_files"), F.avg(F.col("cut").cast("double")).alias("cut_share"))
+    reasons = [F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in ("copy", "structure", "pace", "limit", "open")]
+    return judged.groupBy("source").agg(F.count("*").alias("files"), F.count_if("cut").alias("cut_files"), F.avg(F.col("cut").cast("double")).alias("cut_share"), *reasons)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_batches, p5_found, p5_percentiles, p7_found, p7_items, p8_mix, p8_shares, p8_checks, p9_found, p9_sources)}
 
 
 _RUNS = """
@@ -210,6 +227,10 @@ def oracle_sql() -> dict[str, str]:
 FROM tick_exports e LEFT JOIN copies ON copies.id = export_id LEFT JOIN cover USING (batch_no) LEFT JOIN fk USING (batch_no) GROUP BY 1""",
         "p3_found": _RUNS + "SELECT feed, pair, start_ms, end_ms FROM runs WHERE n >= 3",
         "p3_runs": _RUNS + "SELECT feed, pair, start_ms, end_ms, n, duration_ms, first_bid, first_ask FROM runs",
+        "p8_checks": """
+WITH g AS (SELECT lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS source, max(max_repeats) AS max_repeats FROM mix_targets WHERE target_share > 0 GROUP BY 1),
+f AS (SELECT lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS source, count(*) AS files FROM documents WHERE length(text) > 0 GROUP BY 1)
+SELECT source, files, true AS adds_up, true AS one_row_per_file, true AS within_repeats, true AS within_budget, true AS nothing_fits FROM g JOIN f USING (source) WHERE max_repeats > 0""",
         "p5_found": _FIGURES + "SELECT feed, pair, metric FROM figures GROUP BY 1, 2, 3 HAVING count(*) >= 40 AND quantile_cont(v, 0.9) >= 4 * quantile_cont(v, 0.5)",
         "p5_percentiles": _FIGURES
         + """, both_ AS (SELECT * FROM figures UNION ALL SELECT '*', pair, metric, v FROM figures)
