@@ -13,7 +13,7 @@ from tickloom.operators import sessions as X
 from tickloom.operators import stats as T
 from tickloom.session import cut
 from tickloom.sources.adapters import DAILY_SQL, EXPORTED_SQL, FLAGGED_SQL, PANEL_SQL, QUOTES_SQL, dirty_quotes, exported, panel, quotes
-from tickloom.sources.tables import number, six_capitals, table
+from tickloom.sources.tables import finite, number, six_capitals, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -285,6 +285,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
+@query("SELECT session_id, expansion_ratio, ldn_range FROM sessions WHERE isfinite(expansion_ratio) AND isfinite(ldn_range)")
+def flt_12_finite(spark, d):
+    """Rows whose figures are numbers: neither NULL nor NaN nor infinite."""
+    figures = ("expansion_ratio", "ldn_range")
+    t = table(spark, d, "sessions").select("session_id", *[finite(c).alias(c) for c in figures])
+    return t.where(" AND ".join(f"{c} IS NOT NULL" for c in figures))
+
+
 @query(WITH_P + f"SELECT sym, {_stats_sql('expansion_ratio')} FROM panel GROUP BY 1")
 def agg_06_stats(spark, d):
     return _rounded(panel(spark, d).groupBy("sym").agg(*T.describe("expansion_ratio")))

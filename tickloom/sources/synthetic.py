@@ -10,7 +10,7 @@ from tickloom.frozen import FROZEN
 #: pair: (pip, level, spread in pips). Fixed values.
 PAIRS = {
     "EURUSD": (0.0001, 1.10, 0.6), "GBPUSD": (0.0001, 1.27, 0.9), "USDJPY": (0.01, 150.0, 0.7),
-    "AUDUSD": (0.0001, 0.66, 0.8), "USDCAD": (0.0001, 1.36, 1.0), "USDCHF": (0.0001, 0.90, 1.0),
+    "AUDUSD": (0.0001, 0.66, 0.9), "USDCAD": (0.0001, 1.35, 1.5), "USDCHF": (0.0001, 0.92, 1.1),
 }
 
 

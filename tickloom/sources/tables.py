@@ -18,6 +18,12 @@ def number(c: Column | str) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def finite(c: Column | str) -> Column:
+    """The same without infinities."""
+    c = number(c)
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def usable_ticks(ticks: DataFrame, *more: str) -> DataFrame:
     """Ticks that have a time and both prices. Only the named columns are kept, so extra columns never clash."""
     return ticks.select(*SOURCE, "tick_id", "utc_ms", "seq", number("bid").alias("bid"), number("ask").alias("ask"), *more).where(
