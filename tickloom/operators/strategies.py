@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import local
-
+from tickloom.operators.stats import flags
 
 
 def _by_day():
@@ -133,20 +135,42 @@ def gaps_between_bars(bars: DataFrame) -> DataFrame:
     return bars.select("sym", "bar_ms", side.alias("side"), mid.alias("entry")).where("side IS NOT NULL")
 
 
-def sweeps(bars: DataFrame, sessions: DataFrame, depth: float = 0.05, within: int = 3, zone: str = "Europe/London") -> DataFrame:
-    """First sweep of the Asia low per session: a London bar trades ``depth`` ranges below it and one of the next bars closes back above.
+def sweeps(bars: DataFrame, sessions: DataFrame, depth: float = 0.05, within: int = 3, zone: str = "Europe/London", side: str = "low") -> DataFrame:
+    """First sweep of the Asia low (or, with ``side`` high, of the Asia high) per session: a London bar trades ``depth`` ranges beyond it and one of
+    the next bars closes back inside.
 
-    ``sessions``: sym, london_date, asia_lo, asia_range. The decision is at the confirming bar, which is what is returned.
+    ``sessions``: sym, london_date, asia_lo (or asia_hi), asia_range. The decision is at the confirming bar, which is what is returned.
     """
     wall = local("bar_ms", zone)
-    b = bars.select("sym", "bar_ms", "bid_l", "bid_c", F.to_date(wall).alias("london_date"), (F.hour(wall) * 60 + F.minute(wall)).alias("m")).where("m >= 420 AND m < 601")
+    level, extreme = ("asia_lo", "bid_l") if side == "low" else ("asia_hi", "bid_h")
+    sign = 1 if side == "low" else -1
+    b = bars.select("sym", "bar_ms", extreme, "bid_c", F.to_date(wall).alias("london_date"), (F.hour(wall) * 60 + F.minute(wall)).alias("m")).where("m >= 420 AND m < 601")
     b = b.join(sessions.where("asia_range > 0"), ["sym", "london_date"])
     w = Window.partitionBy("sym", "london_date").orderBy("bar_ms")
-    back = F.min(F.when(F.col("bid_c") > F.col("asia_lo"), F.col("bar_ms"))).over(w.rowsBetween(1, within))
-    hit = b.withColumn("confirmed_ms", back).where((F.col("bid_l") <= F.col("asia_lo") - depth * F.col("asia_range")) & F.col("confirmed_ms").isNotNull())
+    back = F.min(F.when(sign * F.col("bid_c") > sign * F.col(level), F.col("bar_ms"))).over(w.rowsBetween(1, within))
+    hit = b.withColumn("confirmed_ms", back).where((sign * F.col(extreme) <= sign * (F.col(level) - sign * depth * F.col("asia_range"))) & F.col("confirmed_ms").isNotNull())
     return hit.groupBy("sym", "london_date").agg(F.min("bar_ms").alias("sweep_ms"), F.min_by("confirmed_ms", "bar_ms").alias("confirmed_ms"))
 
 
+def direction_tests(bars: DataFrame, sessions: DataFrame, zone: str = "Europe/London") -> DataFrame:
+    """Per session: where in the Asia range the last Asia bar closed (0 at the low, 1 at the high), which side of it a London bar left first (``up``,
+    ``down``, ``both`` in one bar, NULL for neither), and where in the previous session's London range the first Asia bar closed.
+
+    ``bars``: sym, bar_ms, bid_h, bid_l, bid_c. ``sessions``: sym, london_date, asia_hi, asia_lo, asia_range, ldn_hi, ldn_lo. Bars and session share a date.
+    """
+    wall = local("bar_ms", zone)
+    b = bars.select("sym", "bar_ms", "bid_h", "bid_l", "bid_c", F.to_date(wall).alias("london_date"), (F.hour(wall) * 60 + F.minute(wall)).alias("m")).where("m < 601")
+    before = Window.partitionBy("sym").orderBy("london_date")
+    s = sessions.where("asia_range > 0").withColumns({"_hi": F.lag("ldn_hi").over(before), "_lo": F.lag("ldn_lo").over(before)})
+    t = b.join(s, ["sym", "london_date"])
+    asia, london = F.col("m") < 420, F.col("m") >= 420
+    up = F.min(F.when(london & (F.col("bid_h") > F.col("asia_hi")), F.col("bar_ms")))
+    down = F.min(F.when(london & (F.col("bid_l") < F.col("asia_lo")), F.col("bar_ms")))
+    t = t.groupBy("sym", "london_date", "asia_lo", "asia_range", "_hi", "_lo").agg(F.max_by("bid_c", F.when(asia, F.col("bar_ms"))).alias("close"), F.min_by("bid_c", F.when(asia, F.col("bar_ms"))).alias("open"), up.alias("up"), down.alias("down"))
+    side = F.when(F.col("up") == F.col("down"), "both").when(F.col("up") < F.coalesce("down", F.lit(2**62)), "up").when(F.col("down").isNotNull(), "down")
+    return t.select("sym", "london_date", F.try_divide(F.col("close") - F.col("asia_lo"), F.col("asia_range")).alias("close_location"), side.alias("first_break"), F.try_divide(F.col("open") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("prior_location"))
+
+
 def barrier_race(starts: DataFrame, bars: DataFrame, width: Column, horizon_ms: int = 3_600_000, least_bars: int = 10) -> DataFrame:
     """Which of start price ± width is met first within the horizon: up, down, both in one bar, neither, or unknown for want of bars.
 
@@ -209,6 +233,78 @@ def chronological_split(panel: DataFrame, shares: tuple[float, float] = (0.60, 0
     return panel.join(days.withColumn("part", part), "day")
 
 
+def walk_forward(flagged: DataFrame, value: str, least: int = 1) -> DataFrame:
+    """Per calendar year the mean difference in it and in all years before it: an expanding training span, from sums per year. Years with
+    fewer than ``least`` years before them are left out."""
+    yes, no = F.when(F.col("compressed"), F.col(value)), F.when(~F.col("compressed"), F.col(value))
+    years = flagged.groupBy(F.year("day").alias("year")).agg(*[f(c).alias(f"{n}{k}") for n, c in (("a", yes), ("b", no)) for k, f in (("s", F.sum), ("n", F.count))])
+    w = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # one row per year
+    mean = lambda n, x: F.try_divide(x(f"{n}s"), x(f"{n}n"))
+    past = lambda c: F.sum(c).over(w)
+    t = years.withColumn("train_years", F.count("*").over(w)).withColumn("train", mean("a", past) - mean("b", past)).withColumn("test", mean("a", F.col) - mean("b", F.col))
+    return t.where(F.col("train_years") >= least).select("year", "train_years", "train", "test")
+
+
+def concentration(daily: DataFrame, share: float = 0.05) -> DataFrame:
+    """Per sym: the share of all gains that its best days give, the best ``share`` of the days with a return."""
+    t = daily.withColumn("r", F.col("close") / F.lag("close").over(_by_day()) - 1).where("r IS NOT NULL")
+    w = Window.partitionBy("sym")
+    t = t.withColumn("place", F.row_number().over(w.orderBy(F.desc("r"), "day"))).withColumn("n", F.count("*").over(w))
+    gain = F.when(F.col("r") > 0, F.col("r"))
+    return t.groupBy("sym").agg(F.max("n").alias("days"), F.try_divide(F.sum(F.when(F.col("place") <= F.ceil(F.col("n") * share), gain)), F.sum(gain)).alias("best_share"))
+
+
+def true_ranges(days: DataFrame, span: int = 14) -> DataFrame:
+    """sym, day, true range and its mean over ``span`` days (NULL until there are so many). ``days``: high, low, close."""
+    was = F.lag("close").over(_by_day())
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - was), F.abs(F.col("low") - was))
+    t = days.withColumn("true_range", tr)
+    w = _by_day().rowsBetween(-(span - 1), 0)
+    return t.select("sym", "day", "true_range", F.when(F.count("true_range").over(w) == span, F.avg("true_range").over(w)).alias("atr"))
+
+
+def median_ratio(panel: DataFrame, value: str, span: int = 20) -> DataFrame:
+    """sym, day and the value over the median of the ``span`` values before it; NULL until there are so many."""
+    w = _by_day().rowsBetween(-span, -1)
+    return panel.select("sym", "day", F.when(F.count(value).over(w) == span, F.try_divide(F.col(value), F.percentile(value, F.lit(0.5)).over(w))).alias("ratio"))
+
+
+def value_weights(daily: DataFrame, near: int = 54, far: int = 66) -> DataFrame:
+    """At each month's end: ln(mean close of ``near`` to ``far`` months ago / close) and rank weights over the syms, longs and shorts adding up to 1 each.
+
+    The spot half of the value rule; no price indices are known here. Months are counted by the calendar; a sym needs every month of the span.
+    """
+    month = F.year("day") * 12 + F.month("day")
+    ends = daily.where("close IS NOT NULL").groupBy("sym", month.alias("month")).agg(F.max("day").alias("day"), F.max_by("close", "day").alias("close"))
+    w = Window.partitionBy("sym").orderBy("month").rangeBetween(-far, -near)
+    full = F.count("*").over(w) == far - near + 1
+    t = ends.withColumn("value", F.when(full, F.ln(F.avg("close").over(w) / F.col("close")))).where("value IS NOT NULL")
+    every = Window.partitionBy("month")
+    t = t.withColumn("rank", F.rank().over(every.orderBy("value")).cast("double"))
+    t = t.withColumn("off", F.col("rank") - F.avg("rank").over(every))
+    return t.select("sym", "day", "value", F.try_divide(F.col("off") * 2, F.sum(F.abs("off")).over(every)).alias("weight"))
+
+
+def weekly_sweeps(days: DataFrame) -> DataFrame:
+    """Weeks that trade below the week before and close above its low: sym, week, low, low_before, high_before."""
+    at = F.struct("day")
+    weeks = days.groupBy("sym", F.date_trunc("week", "day").cast("date").alias("week")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"))
+    w = Window.partitionBy("sym").orderBy("week")
+    t = weeks.withColumns({"low_before": F.lag("low").over(w), "high_before": F.lag("high").over(w)})
+    return t.where("low < low_before AND close > low_before").select("sym", "week", "low", "low_before", "high_before")
+
+
+def spread_distribution(quotes: DataFrame, zone: str = "Europe/London") -> DataFrame:
+    """Per pair and session (asia, london, other by local time): quotes and quantiles of the spread. ``sym`` is feed:pair."""
+    wall = local("utc_ms", zone)
+    m = F.hour(wall) * 60 + F.minute(wall)
+    t = quotes.select(F.substring_index("sym", ":", -1).alias("pair"), F.when(m < 420, "asia").when(m < 601, "london").otherwise("other").alias("session"), F.round(F.col("ask") - F.col("bid"), 9).alias("s"))
+    # Spreads are few different values: counted first, so a hot pair shrinks before it meets.
+    t = t.groupBy("pair", "session", "s").agg(F.count("*").alias("c"))
+    q = [F.percentile("s", F.lit(x), F.col("c")).alias(n) for n, x in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))]
+    return t.groupBy("pair", "session").agg(F.sum("c").alias("n"), *q)
+
+
 def purged(panel: DataFrame, first: str, last: str, days: int) -> DataFrame:
     """Rows outside a test span by more than a horizon of ``days`` on both sides."""
     return panel.where((F.col("day") < F.date_sub(F.to_date(F.lit(first)), days)) | (F.col("day") > F.date_add(F.to_date(F.lit(last)), days)))
@@ -221,6 +317,17 @@ def terciles(panel: DataFrame, value: str) -> DataFrame:
     return t.select("sym", "day", F.ntile(3).over(Window.partitionBy("sym").orderBy("before", "day")).alias("tercile"))
 
 
+def lookback_plateau(panel: DataFrame, value: str, lookbacks: tuple[int, ...]) -> DataFrame:
+    """For each lookback of the rolling percentile: flagged rows, and the difference of medians. The lookbacks are a handful of parameters."""
+    out = []
+    for n in lookbacks:
+        f = flags(panel, n).where("comp_pct IS NOT NULL")
+        yes = F.col("compressed")
+        difference = F.percentile(F.when(yes, F.col(value)), F.lit(0.5)) - F.percentile(F.when(~yes, F.col(value)), F.lit(0.5))
+        out.append(f.agg(F.lit(n).alias("lookback"), F.count_if(yes).alias("n_compressed"), difference.alias("difference")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def plateau(flagged: DataFrame, value: str, thresholds: tuple[float, ...]) -> DataFrame:
     """For each threshold: compressed rows, and the difference of medians. The thresholds are a handful of parameters."""
     t = flagged.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))

@@ -9,11 +9,11 @@ from tickloom.frozen import FROZEN
 from tickloom.operators import quotes as Q
 from tickloom.operators import sessions as X
 from tickloom.operators import strategies as Y
-from tickloom.operators.stats import flags
+from tickloom.operators.stats import block_length_check, flags
 from tickloom.plans.catalogue import THIN, WITH_D, WITH_F, WITH_Q, _sessions_sql, _text
 from tickloom.session import scratch_path
 from tickloom.sources import exports, synthetic
-from tickloom.sources.adapters import EXPORTED_SQL, daily, exported, panel, quotes
+from tickloom.sources.adapters import EXPORTED_SQL, OHLC_SQL, daily, daily_bars, exported, panel, quotes
 from tickloom.streaming import bars as stream
 
 QUERIES: dict = {}
@@ -225,6 +225,105 @@ def sp_19_matches(spark, d):
     return Y.greedy_matches(b.where("r > 0.0002"), b.where("r < 0.00002"), ("sym", "date"), "bar_ms", 7_200_000)
 
 
+# --- further rules ---
+@query(WITH_Q + ", m AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(utc_ms * 1000))) AS lt FROM q), s AS (SELECT right(sym, 6) AS pair, CASE WHEN hour(lt) * 60 + minute(lt) < 420 THEN 'asia' WHEN hour(lt) * 60 + minute(lt) < 601 THEN 'london' ELSE 'other' END AS session, round(ask - bid, 9) AS s FROM m) SELECT pair, session, count(*) AS n, round(quantile_cont(s, 0.1), 9) AS p10, round(quantile_cont(s, 0.5), 9) AS median, round(quantile_cont(s, 0.9), 9) AS p90 FROM s GROUP BY 1, 2")
+def sp_01_spreads(spark, d):
+    return Y.spread_distribution(quotes(spark, d)).withColumns({c: F.round(c, 9) for c in ("p10", "median", "p90")})
+
+
+def _lookback_sql(n: int) -> str:
+    return f"""k{n} AS (SELECT *, list(asia_range) FILTER (WHERE asia_range IS NOT NULL) OVER (PARTITION BY sym ORDER BY day ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS seen FROM panel),
+c{n} AS (SELECT expansion_ratio, (len(list_filter(seen, lambda x: x < asia_range)) + 0.5::DOUBLE * len(list_filter(seen, lambda x: x = asia_range))) / {n}.0::DOUBLE <= 0.30::DOUBLE AS low FROM k{n} WHERE len(seen) = {n})"""
+
+
+_LOOKBACKS = (20, 60, 120)
+
+
+@query(
+    WITH_F + ", " + ", ".join(map(_lookback_sql, _LOOKBACKS)) + " "
+    + " UNION ALL ".join(f"SELECT CAST({n} AS INT) AS lookback, count(*) FILTER (WHERE low) AS n_compressed, round(quantile_cont(expansion_ratio, 0.5) FILTER (WHERE low) - quantile_cont(expansion_ratio, 0.5) FILTER (WHERE NOT low), 9) AS difference FROM c{n}" for n in _LOOKBACKS)
+)
+def sp_03_lookbacks(spark, d):
+    return Y.lookback_plateau(panel(spark, d), "expansion_ratio", _LOOKBACKS).withColumn("difference", F.round("difference", 9))
+
+
+@query(WITH_F + f", m AS (SELECT sym, day, asia_range, list(asia_range) OVER (PARTITION BY sym ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS seen FROM panel) SELECT sym, {DAY}, CASE WHEN len(seen) = 20 THEN round(asia_range / list_aggregate(seen, 'median'), 9) END AS ratio FROM m")
+def sp_04_median_ratio(spark, d):
+    return Y.median_ratio(panel(spark, d), "asia_range").withColumns({"day": _text("day"), "ratio": F.round("ratio", 9)})
+
+
+_OHLC = "WITH " + OHLC_SQL
+
+
+@query(_OHLC + f", p AS (SELECT *, lag(close) {W} AS was FROM ohlc), t AS (SELECT sym, day, greatest(high - low, abs(high - was), abs(low - was)) AS true_range FROM p) SELECT sym, {DAY}, true_range, CASE WHEN count(true_range) {_frame(13)} = 14 THEN round(avg(true_range) {_frame(13)}, 6) END AS atr FROM t")
+def sp_04_true_ranges(spark, d):
+    return Y.true_ranges(daily_bars(spark, d)).withColumns({"day": _text("day"), "atr": F.round("atr", 6)})
+
+
+@query(
+    "WITH ses AS (" + _sessions_sql(True) + "), " + _B5[5:] + """, w AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b5),
+s AS (SELECT *, lag(ldn_hi) OVER v AS ph, lag(ldn_lo) OVER v AS pl FROM ses WHERE asia_range > 0 WINDOW v AS (PARTITION BY sym ORDER BY london_date)),
+x AS (SELECT w.*, hour(lt) * 60 + minute(lt) AS m, s.london_date, asia_hi, asia_lo, asia_range, ph, pl FROM w JOIN s ON s.sym = w.sym AND s.london_date = strftime(lt, '%Y-%m-%d')),
+g AS (SELECT sym, london_date, any_value(asia_lo) AS lo, any_value(asia_range) AS rg, any_value(ph) AS ph, any_value(pl) AS pl, arg_max(bid_c, bar_ms) FILTER (WHERE m < 420) AS c, arg_min(bid_c, bar_ms) FILTER (WHERE m < 420) AS o,
+  min(bar_ms) FILTER (WHERE m BETWEEN 420 AND 600 AND bid_h > asia_hi) AS up, min(bar_ms) FILTER (WHERE m BETWEEN 420 AND 600 AND bid_l < asia_lo) AS down FROM x WHERE m < 601 GROUP BY 1, 2)
+SELECT sym, london_date, round((c - lo) / rg, 9) AS close_location, CASE WHEN up = down THEN 'both' WHEN up < coalesce(down, 4611686018427387904) THEN 'up' WHEN down IS NOT NULL THEN 'down' END AS first_break, round(CASE WHEN ph <> pl THEN (o - pl) / (ph - pl) END, 9) AS prior_location FROM g"""
+)
+def sp_05_direction(spark, d):
+    q = quotes(spark, d)
+    s = X.session_table(Q.closes(q), **THIN).select("sym", "london_date", "asia_hi", "asia_lo", "asia_range", "ldn_hi", "ldn_lo")
+    out = Y.direction_tests(Q.bars(q, 5), s)
+    return out.withColumns({"london_date": _text("london_date"), "close_location": F.round("close_location", 9), "prior_location": F.round("prior_location", 9)})
+
+
+@query(
+    "WITH ses AS (" + _sessions_sql(True) + "), " + _B5[5:] + """, w AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b5),
+x AS (SELECT w.*, s.london_date, asia_hi, asia_range FROM w JOIN ses s ON s.sym = w.sym AND s.london_date = strftime(lt, '%Y-%m-%d') WHERE asia_range > 0 AND hour(lt) * 60 + minute(lt) BETWEEN 420 AND 600),
+y AS (SELECT *, min(CASE WHEN bid_c < asia_hi THEN bar_ms END) OVER (PARTITION BY sym, london_date ORDER BY bar_ms ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS c FROM x)
+SELECT sym, london_date, min(bar_ms) AS sweep_ms, arg_min(c, bar_ms) AS confirmed_ms FROM y WHERE bid_h >= asia_hi + 0.05 * asia_range AND c IS NOT NULL GROUP BY 1, 2"""
+)
+def sp_06_sweeps_short(spark, d):
+    q = quotes(spark, d)
+    s = X.session_table(Q.closes(q), **THIN).select("sym", "london_date", "asia_hi", "asia_range")
+    return Y.sweeps(Q.bars(q, 5), s, side="high").withColumn("london_date", _text("london_date"))
+
+
+@query(WITH_F + ", y AS (SELECT CAST(year(day) AS INT) AS year, sum(expansion_ratio) FILTER (WHERE compressed) AS sa, count(expansion_ratio) FILTER (WHERE compressed) AS na, sum(expansion_ratio) FILTER (WHERE NOT compressed) AS sb, count(expansion_ratio) FILTER (WHERE NOT compressed) AS nb FROM flagged GROUP BY 1), t AS (SELECT year, count(*) OVER w AS train_years, sum(sa) OVER w / nullif(sum(na) OVER w, 0) - sum(sb) OVER w / nullif(sum(nb) OVER w, 0) AS train, sa / nullif(na, 0) - sb / nullif(nb, 0) AS test FROM y WINDOW w AS (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT year, train_years, round(train, 8) AS train, round(test, 8) AS test FROM t WHERE train_years >= 1")
+def sp_09_walk_forward(spark, d):
+    f = flags(panel(spark, d)).where("comp_pct IS NOT NULL")
+    return Y.walk_forward(f, "expansion_ratio").withColumns({"train": F.round("train", 8), "test": F.round("test", 8)})
+
+
+@query(
+    _B5 + f""", w AS (SELECT *, timezone('Europe/London', timezone('UTC', make_timestamp(bar_ms * 1000))) AS lt FROM b5), o AS (SELECT sym, CAST(lt AS DATE) AS day, hour(lt) * 60 + minute(lt) - 960 AS m, bar_ms, mid_c FROM w),
+f AS (SELECT *, CAST(CASE WHEN m >= -120 AND m < -60 THEN -120 WHEN m >= -60 AND m < -30 THEN -60 WHEN m >= -30 AND m < 0 THEN -30 WHEN m >= 0 AND m < 30 THEN 0 WHEN m >= 30 AND m < 60 THEN 30 END AS INT) AS win FROM o)
+SELECT sym, {DAY}, win AS "window", round((arg_max(mid_c, bar_ms) / arg_min(mid_c, bar_ms) - 1) * 10000, 6) + 0.0 AS move_bp FROM f WHERE win IS NOT NULL GROUP BY sym, day, win"""
+)
+def sp_10_fix_windows_16(spark, d):
+    """Around the fix itself at 16:00 London."""
+    return Y.fix_windows(_five(spark, d)).withColumns({"day": _text("day"), "move_bp": F.round("move_bp", 6) + 0.0})
+
+
+@query(WITH_D + f", e AS (SELECT sym, year(day) * 12 + month(day) AS month, max(day) AS day, arg_max(close, day) AS close FROM daily WHERE close IS NOT NULL GROUP BY 1, 2), v AS (SELECT *, CASE WHEN count(*) OVER w = 13 THEN ln(avg(close) OVER w / close) END AS value FROM e WINDOW w AS (PARTITION BY sym ORDER BY month RANGE BETWEEN 66 PRECEDING AND 54 PRECEDING)), r AS (SELECT *, rank() OVER (PARTITION BY month ORDER BY value)::DOUBLE AS rk FROM v WHERE value IS NOT NULL), o AS (SELECT *, rk - avg(rk) OVER (PARTITION BY month) AS off FROM r) SELECT sym, {DAY}, round(value, 9) AS value, round(off * 2 / nullif(sum(abs(off)) OVER (PARTITION BY month), 0), 9) AS weight FROM o")
+def sp_11_value(spark, d):
+    return Y.value_weights(daily(spark, d)).withColumns({"day": _text("day"), "value": F.round("value", 9), "weight": F.round("weight", 9)})
+
+
+@query(_OHLC + ", w AS (SELECT sym, CAST(date_trunc('week', day) AS DATE) AS week, max(high) AS high, min(low) AS low, arg_max(close, day) AS close FROM ohlc GROUP BY 1, 2), l AS (SELECT *, lag(low) OVER v AS low_before, lag(high) OVER v AS high_before FROM w WINDOW v AS (PARTITION BY sym ORDER BY week)) SELECT sym, strftime(week, '%Y-%m-%d') AS week, low, low_before, high_before FROM l WHERE low < low_before AND close > low_before")
+def sp_13_weekly_sweeps(spark, d):
+    return Y.weekly_sweeps(daily_bars(spark, d)).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
+
+
+@query(WITH_D + f", r AS (SELECT sym, day, close / lag(close) {W} - 1 AS r FROM daily), p AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY r DESC, day) AS place, count(*) OVER (PARTITION BY sym) AS n FROM r WHERE r IS NOT NULL) SELECT sym, max(n) AS days, round(sum(r) FILTER (WHERE r > 0 AND place <= ceil(n * 0.05::DOUBLE)) / sum(r) FILTER (WHERE r > 0), 9) AS best_share FROM p GROUP BY 1")
+def sp_15_concentration(spark, d):
+    return Y.concentration(daily(spark, d)).withColumn("best_share", F.round("best_share", 9))
+
+
+@query()
+def sp_20_block_lengths(spark, d):
+    """The six statistics at the evidence level of 98.33%, with blocks of 10, 20 and 40 dates."""
+    return block_length_check(flags(panel(spark, d)).where("comp_pct IS NOT NULL"))
+
+
 # --- streams, run until they are drained ---
 _O = "(utc_ms, seq, tick_id)"
 

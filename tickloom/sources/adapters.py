@@ -44,6 +44,12 @@ d AS (SELECT feed || ':' || pair AS sym, utc_ms, seq, tick_id, bid, ask FROM tic
 q AS (SELECT * FROM d WHERE bid > 0 AND ask > 0 AND ask >= bid)
 """
 
+def daily_bars(spark: SparkSession, d: str) -> DataFrame:
+    """sym, day, high, low, close: daily bars with long histories, made from orders."""
+    o = table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("sym"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", "o_orderkey").alias("close"))
+
+
 EXPORTED_SQL = """,
 x AS (SELECT feed || ':' || pair AS sym, utc_ms, line_no AS seq, export_id AS tick_id, bid, ask FROM tick_exports
   WHERE utc_ms IS NOT NULL AND NOT isnan(bid) AND NOT isnan(ask) AND bid > 0 AND ask > 0 AND ask >= bid)
@@ -67,6 +73,10 @@ flagged0 AS (SELECT * EXCLUDE (la, ll),
 flagged AS (SELECT *, coalesce(comp_pct <= 0.30::DOUBLE, false) AS compressed FROM flagged0 WHERE comp_pct IS NOT NULL)
 """
 
+OHLC_SQL = """
+ohlc AS (SELECT o_orderpriority AS sym, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1, 2)
+"""
+
 DAILY_SQL = """
 daily AS (SELECT o_orderpriority AS sym, CAST(o_orderdate AS DATE) AS day, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1, 2)
 """
