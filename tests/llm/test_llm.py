@@ -334,6 +334,10 @@ def test_alignment_by_hand():
     score, span = L.align(passage, np.array([[99, 1, 2, 3, 98, 97, 4, 5, 6, 96, 8, 9, 10, 95]]))
     assert span[0] == 10 and score[0] == pytest.approx(9 + L.LOST + 2 * L.BETWEEN, abs=0.2)
     assert L.align(passage, np.zeros((1, 5), dtype=int))[0][0] == 0
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rng.integers(1, 9, (4, 12)), rng.integers(0, 9, (4, 30))
+        assert np.allclose(L.align(a, b)[0], L.align_score(a, b))
 
 
 def test_budgets_are_met_to_the_token():

@@ -326,8 +326,24 @@ def align(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, span
 
 
-def verified(p: Passages, x: np.ndarray, begin: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, float, int]]:
-    """(document, passage, score, span) of the candidate pairs, aligned whole and several at a time."""
+def align_score(passage: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The score of ``align`` alone, without keeping where a stretch began."""
+    (texts, m), n = passage.shape, text.shape[1]
+    place = np.arange(n, dtype=np.float32) * np.float32(-BETWEEN)
+    score, best = np.zeros((texts, n + 1), dtype=np.float32), np.zeros(texts, dtype=np.float32)
+    for i in range(m):
+        same = text == passage[:, i, None]
+        diagonal = np.where(same, np.maximum(score[:, :-1], 0) + np.float32(FOUND), score[:, :-1] + np.float32(LOST))
+        up = score[:, 1:] + np.float32(LOST)
+        now = np.maximum(np.maximum(diagonal, up), 0)
+        best = np.maximum(best, np.where(same & (diagonal >= up), now, 0).max(axis=1, initial=0))
+        score[:, 1:] = np.maximum(np.maximum.accumulate(now + place, axis=1) - place, 0)
+    return best
+
+
+def verified(p: Passages, x: np.ndarray, begin: np.ndarray, pairs: list[tuple[int, int]], least: float = 0.0) -> list[tuple[int, int, float, int]]:
+    """(document, passage, score, span) of the candidate pairs whose score is at least ``least``, aligned whole and several at a time. Most
+    candidates score little, so spans are only found where the score is enough."""
     out = []
     size = np.diff(begin) - 1
     pairs = sorted(pairs, key=lambda r: (size[r[0]], len(p.ids[r[1]])))
@@ -340,6 +356,11 @@ def verified(p: Passages, x: np.ndarray, begin: np.ndarray, pairs: list[tuple[in
         for k, (d, i) in enumerate(block):
             text[k, : size[d]] = x[begin[d] : begin[d + 1] - 1]
             passage[k, : len(p.ids[i])] = p.ids[i]
+        if least > 0:
+            enough = np.flatnonzero(align_score(passage, text) >= least)
+            if not len(enough):
+                continue
+            block, text, passage = [block[k] for k in enough], text[enough], passage[enough]
         score, span = align(passage, text)
         out += [(d, i, float(a), int(b)) for (d, i), a, b in zip(block, score, span)]
     return out
@@ -442,7 +463,7 @@ def passage_leaks(documents: DataFrame, key: str, text: str, passages: Sequence[
                 pair = pair[_found(shared, pair)[0]]
                 pairs |= set(zip((pair // len(p.ids)).tolist(), (pair % len(p.ids)).tolist()))
             rows = []
-            for d, i, score, span in verified(p, x, begin, sorted(pairs | asked)):
+            for d, i, score, span in verified(p, x, begin, sorted(pairs - asked), min(least_score, PARAPHRASE_SCORE)) + verified(p, x, begin, sorted(asked)):
                 own = x[begin[d] : begin[d + 1] - 1]
                 if score >= least_score and span >= least_span:
                     rows.append((d, i, score, span, answer_share(p, i, own), "passage"))
