@@ -91,8 +91,10 @@ class Passages:
         table = pd.DataFrame(grams, columns=["code", "passage", "answer"]).sort_values("code", kind="stable")
         self.answer_known, self.answer_start = np.unique(table.code.to_numpy(np.uint64), return_index=True)
         self.answer_start = np.append(self.answer_start, len(table)).astype(np.int64)
-        self.answer_of = table[["passage", "answer"]].to_numpy(np.int64).reshape(-1, 2)
-        self.answer_size = table.groupby(["passage", "answer"]).size().to_dict()
+        number = table.groupby(["passage", "answer"], sort=True).ngroup().to_numpy(np.int64)
+        self.answer_of = number
+        self.answer_size = np.bincount(number, minlength=1)
+        self.answer_passage = table.groupby(["passage", "answer"], sort=True).passage.first().to_numpy(np.int64)
 
     @property
     def features(self) -> int:
@@ -125,12 +127,14 @@ class Passages:
         at, code = _codes(x, ANSWER_GRAM)
         i, place = _found(self.answer_known, code)
         doc = np.searchsorted(begin, at[i], side="right") - 1
-        seen = np.unique(np.stack([doc, place], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        counts: dict[tuple[int, int, int], int] = {}
-        for d, g in seen.tolist():
-            for p, k in self.answer_of[self.answer_start[g] : self.answer_start[g + 1]].tolist():
-                counts[d, p, k] = counts.get((d, p, k), 0) + 1
-        return sorted({(d, p) for (d, p, k), n in counts.items() if n >= ANSWER_HITS * self.answer_size[p, k]})
+        some, every = max(1, len(self.answer_known)), max(1, len(self.answer_passage))
+        seen = np.unique(doc * some + place)
+        doc, gram = seen // some, seen % some
+        n = self.answer_start[gram + 1] - self.answer_start[gram]
+        spots = np.repeat(self.answer_start[gram] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        found, times = np.unique(np.repeat(doc, n) * every + self.answer_of[spots], return_counts=True)
+        found = found[times >= ANSWER_HITS * self.answer_size[found % every]] if len(found) else found
+        return sorted(set(zip((found // every).tolist(), self.answer_passage[found % every].tolist() if len(found) else [])))
 
 
 def _starts(n: int, stride: int) -> np.ndarray:
