@@ -236,3 +236,12 @@ spark.stop()
     assert ran.returncode == 0, ran.stderr[-2000:]
     root = next(line.split(" ", 1)[1] for line in ran.stdout.splitlines() if line.startswith("SCRATCH"))
     assert not [f for _, _, files in os.walk(root) for f in files]
+
+
+def test_queries_without_the_subpackage(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "tickloom.llm.queries", None)  # importing it raises ImportError
+    names = entry.queries()
+    assert "p1_found" in names and "dq_06_store_gate" in names and not [n for n in names if n.startswith(("p3", "p4", "p5", "p7", "p8", "p9"))]
+    assert set(entry.oracle_sql()) <= set(names)
