@@ -394,13 +394,13 @@ t{i} AS (SELECT '{v}' AS value, avg(v) FILTER (WHERE compressed) AS a, avg(v) FI
     )
     + ", t AS ("
     + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(FROZEN.horizons) + 2))
-    + ") SELECT value, round(a, 9) AS mean_compressed, round(b, 9) AS mean_other, n1, n2, CASE WHEN n1 >= 20 AND n2 >= 20 THEN round((rs - n1::DOUBLE * (n1 + 1) / 2 - n1::DOUBLE * n2 / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12), 9) END AS z FROM t"
+    + ") SELECT value, round(a, 12) AS mean_compressed, round(b, 12) AS mean_other, n1, n2, CASE WHEN n1 >= 20 AND n2 >= 20 THEN round((rs - n1::DOUBLE * (n1 + 1) / 2 - n1::DOUBLE * n2 / 2) / sqrt(n1::DOUBLE * n2 * (n1 + n2 + 1) / 12), 9) END AS z FROM t"
 )
 def sta_03_tests(spark, d):
     """Rank tests of the absolute returns at every horizon, of the London range's percentile and of the ratio."""
     flagged = cut(_flagged(spark, d))
     out = T.difference_tests(flagged, (*(f"absr_{h}m" for h in FROZEN.horizons), "ldn_pct", "expansion_ratio"))
-    return out.withColumns({c: F.round(c, 9) for c in ("mean_compressed", "mean_other", "z")})
+    return out.withColumns({"mean_compressed": F.round("mean_compressed", 12), "mean_other": F.round("mean_other", 12), "z": F.round("z", 9)})
 
 
 @query(
@@ -408,11 +408,11 @@ def sta_03_tests(spark, d):
     + """, s AS (SELECT *, CASE WHEN expansion_ratio > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o1, CASE WHEN expansion_ratio > 1.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o15 FROM flagged),
 p AS (SELECT median(expansion_ratio) FILTER (WHERE compressed) - median(expansion_ratio) FILTER (WHERE NOT compressed) AS ratio_median, """
     + ", ".join(f"avg({v}) FILTER (WHERE compressed) - avg({v}) FILTER (WHERE NOT compressed) AS {n}" for v, n in (("expansion_ratio", "ratio_mean"), ("absr_60m", "r60_mean"), ("absr_180m", "r180_mean"), ("o1", "share_over"), ("o15", "share_over_15")))
-    + " FROM s) SELECT statistic, round(point, 9) AS point FROM p UNPIVOT (point FOR statistic IN (ratio_median, ratio_mean, r60_mean, r180_mean, share_over, share_over_15))"
+    + " FROM s) SELECT statistic, round(point, 12) AS point FROM p UNPIVOT (point FOR statistic IN (ratio_median, ratio_mean, r60_mean, r180_mean, share_over, share_over_15))"
 )
 def bst_02_points(spark, d):
     """The joint bootstrap's point differences, through its own sums per date and medians by class."""
-    return T.point_differences(_flagged(spark, d)).withColumn("point", F.round("point", 9))
+    return T.point_differences(_flagged(spark, d)).withColumn("point", F.round("point", 12))
 
 
 @query()
@@ -426,11 +426,11 @@ def bst_01_block_ci(spark, d):
     return T.moving_block_interval(_flagged(spark, d), "expansion_ratio", draws=FROZEN.draws)
 
 
-@query(WITH_F + "SELECT 'absr_60m' AS value, count(absr_60m) FILTER (WHERE compressed) AS n_compressed, count(absr_60m) FILTER (WHERE NOT compressed) AS n_other, round(avg(absr_60m) FILTER (WHERE compressed) - avg(absr_60m) FILTER (WHERE NOT compressed), 9) AS difference FROM flagged")
+@query(WITH_F + "SELECT 'absr_60m' AS value, count(absr_60m) FILTER (WHERE compressed) AS n_compressed, count(absr_60m) FILTER (WHERE NOT compressed) AS n_other, round(avg(absr_60m) FILTER (WHERE compressed) - avg(absr_60m) FILTER (WHERE NOT compressed), 12) AS difference FROM flagged")
 def bst_01_points(spark, d):
     """The point of the moving blocks' interval, from its running sums (one draw: the draws don't matter to it)."""
     found = T.moving_block_interval(_flagged(spark, d), "absr_60m", draws=1)
-    return found.select("value", "n_compressed", "n_other", F.round("difference", 9).alias("difference"))
+    return found.select("value", "n_compressed", "n_other", F.round("difference", 12).alias("difference"))
 
 
 def _signs(flagged: DataFrame, value: str) -> dict[str, float]:
