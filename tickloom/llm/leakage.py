@@ -32,7 +32,7 @@ PARAPHRASE_SCORE, ANSWER_SHARE = 9.0, 0.9
 TOPIC_WINDOW, TOPIC_STRIDE, LEAST_TOPIC = 60, 20, 0.5
 #: A text is looked at for an answer if it has this share of the answer's n-grams of ANSWER_GRAM words; shorter answers point to nothing.
 ANSWER_GRAM, ANSWER_HITS = 3, 0.5
-#: Passages are worked on in blocks, which bounds what is sent to the executors (some 60 MB at most) whatever the number of items.
+#: Passages are worked on in blocks, which bounds what is sent to the executors (some 130 MB for passages of 80 words) whatever the number of items.
 BLOCK = 5_000
 #: Features are word n-grams of these lengths and, for paraphrases, single words. Word numbers are mixed into 64-bit codes.
 GRAMS = (3, 4)
