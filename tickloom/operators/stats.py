@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -164,29 +164,6 @@ def date_multiplicities(spark: SparkSession, n: int, draws: int, length: int, se
     return spark.range(draws).mapInArrow(draw, "replicate bigint, i bigint, times bigint")
 
 
-def weighted_medians(panel: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(replicate, compressed, median) of ``expansion_ratio`` with the weights of ``drawn`` (replicate, day, times), exact and interpolated.
-
-    ``class`` numbers ranges of values in order. Rows are counted per (date, flag, class) first; the counts, weighted, say in which
-    class a replicate's two middle ranks lie, and only that class's rows then meet the draws. Any ranges give the same medians;
-    even ones make the classes small. The table of middle classes has a few rows per replicate, a parameter, so it may be broadcast.
-    """
-    rows = panel.where("expansion_ratio IS NOT NULL").select("day", "compressed", "class", "expansion_ratio")
-    key = ["replicate", "compressed"]
-    counts = rows.groupBy("day", "compressed", "class").agg(F.count("*").alias("n"))
-    sums = counts.join(drawn, "day").groupBy(*key, "class").agg(F.sum(F.col("n") * F.col("times")).alias("w"))
-    ordered = Window.partitionBy(*key).orderBy("class")
-    sums = sums.withColumn("upto", F.sum("w").over(ordered)).withColumn("h", (F.sum("w").over(Window.partitionBy(*key)) - 1) / 2.0)
-    sums = sums.withColumn("before", F.col("upto") - F.col("w"))
-    middle = sums.where((F.col("upto") > F.floor("h")) & (F.col("before") <= F.ceil("h"))).select(*key, "class", "before", "h")
-    near = rows.join(F.broadcast(middle), ["compressed", "class"]).join(drawn, ["replicate", "day"])
-    near = near.groupBy(*key, "class", "before", "h", "expansion_ratio").agg(F.sum("times").alias("w"))
-    near = near.withColumn("last", F.col("before") + F.sum("w").over(Window.partitionBy(*key, "class").orderBy("expansion_ratio"))).withColumn("first", F.col("last") - F.col("w"))
-    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") > rank), F.col("expansion_ratio")))
-    ends = near.groupBy(*key).agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("part"))
-    return ends.select(*key, (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("median"))
-
-
 STATISTICS = ("ratio_median", "ratio_mean", "r60_mean", "r180_mean", "share_over", "share_over_15")
 
 
@@ -197,17 +174,64 @@ def _terms() -> list[tuple[str, Column]]:
     return [("ratio_mean", er), ("r60_mean", F.col("absr_60m")), ("r180_mean", F.col("absr_180m")), *over]
 
 
-def _statistics(panel: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Per replicate six differences compressed minus other. Means come from sums and counts per date, so the draws meet dates and not rows."""
+def _statistics(panel: DataFrame, days: DataFrame, replicas: int, times_of: Callable[[int], np.ndarray], drawn: DataFrame) -> DataFrame:
+    """Per replicate six differences compressed minus other.
+
+    ``panel`` has ``class``, which numbers ranges of the ratio in order; ``days`` numbers its dates (day, i); ``times_of`` gives in a task how often a
+    replicate has each date, and ``drawn`` the same as rows (replicate, day, times). Sums per date, and counts per date, flag and class, are tables of a
+    calendar's length, so they are sent to the tasks, and all sums of a replicate are its times multiplied by them: draws never meet rows. The counts say
+    in which class a replicate's two middle ranks lie; only that class's rows then meet the draws, for the median, exact and interpolated.
+    Any ranges give the same medians; even ones make the classes small. The table of middle classes has a few rows per replicate, a
+    parameter, so it may be broadcast.
+    """
+    spark = panel.sparkSession
     sides = (("c", F.col("compressed")), ("o", ~F.col("compressed")))
     kept = [(f"{name}_{s}", F.when(flag & c.isNotNull(), c)) for name, c in _terms() for s, flag in sides]
-    dates = panel.groupBy("day").agg(*[f(c).alias(f"{n}_{k}") for n, c in kept for f, k in ((F.sum, "sum"), (F.count, "n"))])
-    weighted = [F.try_divide(F.sum(F.col(f"{n}_sum") * F.col("times")), F.sum(F.col(f"{n}_n") * F.col("times"))).alias(n) for n, _ in kept]
-    means = dates.join(drawn, "day").groupBy("replicate").agg(*weighted)
-    means = means.select("replicate", *[(F.col(f"{n}_c") - F.col(f"{n}_o")).alias(n) for n, _ in _terms()])
+    sums = panel.groupBy("day").agg(*[f(c).alias(f"{n}_{k}") for n, c in kept for f, k in ((F.sum, "sum"), (F.count, "n"))]).join(days, "day").drop("day").toPandas()
+    cells = panel.where("expansion_ratio IS NOT NULL AND compressed IS NOT NULL").groupBy("day", "compressed", "class").agg(F.count("*").alias("n")).join(days, "day").drop("day").toPandas()
+    length = len(sums)
+    by_date = np.zeros((length, 2 * len(kept)))
+    by_date[sums.i.to_numpy(int)] = sums.drop(columns="i").fillna(0).to_numpy(float)
+    classes = int(cells["class"].max()) + 1 if len(cells) else 1
+    counts = np.zeros((length, 2 * classes))
+    counts[cells.i.to_numpy(int), cells["class"].to_numpy(int) + classes * cells.compressed.to_numpy(bool)] = cells.n.to_numpy(float)
+    names = [n for n, _ in _terms()]
+    schema = "replicate bigint, " + ", ".join(f"{n} double" for n in names) + ", compressed boolean, class int, before bigint, h double"
+    columns = ["replicate", *names, "compressed", "class", "before", "h"]
+    types = [pa.int64(), *[pa.float64()] * len(names), pa.bool_(), pa.int32(), pa.int64(), pa.float64()]
+
+    def work(batches):
+        for b in batches:
+            every = b.column(0).to_numpy()
+            for ids in np.array_split(every, len(every) // 64 + 1):
+                if not len(ids):
+                    continue
+                times = np.stack([times_of(int(r)) for r in ids]).astype(np.float64)
+                total, weight = times @ by_date, (times @ counts).reshape(len(ids), 2, classes)
+                s, n = total[:, 0::2], total[:, 1::2]
+                mean = np.divide(s, n, out=np.full(s.shape, np.nan), where=n > 0)
+                rows = [(int(r), *(None if np.isnan(v) else float(v) for v in m[0::2] - m[1::2]), None, None, None, None) for r, m in zip(ids, mean)]
+                upto = weight.cumsum(axis=2)
+                for k, r in enumerate(ids):
+                    for flag in (0, 1):
+                        h = (upto[k, flag, -1] - 1) / 2
+                        if h >= 0:
+                            for c in sorted({int(np.searchsorted(upto[k, flag], rank, side="right")) for rank in (np.floor(h), np.ceil(h))}):
+                                rows.append((int(r), *[None] * len(names), bool(flag), c, int(upto[k, flag, c] - weight[k, flag, c]), float(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=columns)
+
+    found = cut(spark.range(replicas).mapInArrow(work, schema))
+    key = ["replicate", "compressed"]
+    middle = found.where("compressed IS NOT NULL").select(*key, "class", "before", "h")
+    near = panel.where("expansion_ratio IS NOT NULL").select("day", "compressed", "class", "expansion_ratio").join(F.broadcast(middle), ["compressed", "class"]).join(drawn, ["replicate", "day"])
+    near = near.groupBy(*key, "class", "before", "h", "expansion_ratio").agg(F.sum("times").alias("w"))
+    near = near.withColumn("last", F.col("before") + F.sum("w").over(Window.partitionBy(*key, "class").orderBy("expansion_ratio"))).withColumn("first", F.col("last") - F.col("w"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") > rank), F.col("expansion_ratio")))
+    ends = near.groupBy(*key).agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("part"))
+    medians = ends.select(*key, (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("median"))
     yes, no = F.col("compressed"), ~F.col("compressed")
-    medians = weighted_medians(panel, drawn).groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
-    return means.join(medians, "replicate", "left")
+    medians = medians.groupBy("replicate").agg((F.max(F.when(yes, F.col("median"))) - F.max(F.when(no, F.col("median")))).alias("ratio_median"))
+    return found.where("compressed IS NULL").select("replicate", *names).join(medians, "replicate", "left")
 
 
 def _stacked(df: DataFrame) -> DataFrame:
@@ -220,11 +244,18 @@ def _classed(panel: DataFrame) -> DataFrame:
     return cut(panel.withColumn("class", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("expansion_ratio"))) if bounds else F.lit(0)))
 
 
-def point_differences(panel: DataFrame) -> DataFrame:
+def _dates(classed: DataFrame) -> DataFrame:
+    """(day, i) of all dates, numbered in order: days of a calendar."""
+    return classed.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+
+
+def point_differences(panel: DataFrame, classed: DataFrame | None = None) -> DataFrame:
     """(statistic, point) of the six differences, every date taken once."""
-    classed = _classed(panel)
-    once = classed.select("day").distinct().select(F.lit(0).alias("replicate"), "day", F.lit(1).alias("times"))
-    return _stacked(_statistics(classed, once)).withColumnRenamed("v", "point")
+    classed = _classed(panel) if classed is None else classed
+    days = _dates(classed)
+    n = days.count()
+    once = days.select(F.lit(0).cast("bigint").alias("replicate"), "day", F.lit(1).cast("bigint").alias("times"))
+    return _stacked(_statistics(classed, days, 1, lambda _: np.ones(n), once)).withColumnRenamed("v", "point")
 
 
 def _ends(level: float) -> tuple[float, float]:
@@ -244,14 +275,14 @@ def joint_block_bootstrap(panel: DataFrame, draws: int = FROZEN.draws, length: i
     under max(``least_valid``, 0.9 draws) valid ones.
     """
     classed = _classed(panel)
-    days = classed.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
-    drawn = cut(date_multiplicities(panel.sparkSession, days.count(), draws, length, seed).join(days, "i").select("replicate", "day", "times"))
-    once = days.select(F.lit(0).alias("replicate"), "day", F.lit(1).alias("times"))
+    days = _dates(classed)
+    n = days.count()
+    drawn = cut(date_multiplicities(panel.sparkSession, n, draws, length, seed).join(days, "i").select("replicate", "day", "times"))
+    found = _statistics(classed, days, draws, lambda r: replicate(n, length, seed, r), drawn)
     low, high = _ends(level)
-    ci = _stacked(_statistics(classed, drawn)).groupBy("statistic").agg(F.count("v").alias("valid"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    ci = _stacked(found).groupBy("statistic").agg(F.count("v").alias("valid"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
     ci = ci.select("statistic", "valid", *[F.when(F.col("valid") >= max(least_valid, int(0.9 * draws)), F.col(c)).alias(c) for c in ("low", "high")])
-    point = _stacked(_statistics(classed, once)).withColumnRenamed("v", "point")
-    return point.join(ci, "statistic", "left").withColumn("excludes_zero", _excludes_zero())
+    return point_differences(panel, classed).join(ci, "statistic", "left").withColumn("excludes_zero", _excludes_zero())
 
 
 def block_length_check(panel: DataFrame, lengths: Sequence[int] = (10, 20, 40), draws: int = FROZEN.draws, seed: int = FROZEN.seed, level: float = 0.9833, **more) -> DataFrame:
