@@ -177,20 +177,13 @@ def sp_06_sweeps(spark, d):
 
 
 @query(
-    _B5 + """, s AS (SELECT sym, bar_ms AS at_ms, mid_c AS p0 FROM b5 WHERE bar_ms % 3600000 = 0),
+    _B5 + """, s AS (SELECT sym, bar_ms AS at_ms, mid_c AS p0 FROM b5),
 r AS (SELECT s.sym, s.at_ms, any_value(p0) AS p0, min(bar_ms) FILTER (WHERE bid_h >= p0 + p0 * 0.0005::DOUBLE) AS up, min(bar_ms) FILTER (WHERE bid_l <= p0 - p0 * 0.0005::DOUBLE) AS down, count(bar_ms) AS n
   FROM s LEFT JOIN b5 ON b5.sym = s.sym AND b5.bar_ms >= at_ms AND b5.bar_ms < at_ms + 3600000 GROUP BY 1, 2)
 SELECT sym, at_ms, CASE WHEN up = down THEN 'both' WHEN up < coalesce(down, 4611686018427387904) THEN 'up' WHEN down IS NOT NULL THEN 'down' WHEN n < 10 THEN 'unknown' ELSE 'neither' END AS outcome FROM r"""
 )
-def sp_18_barrier_race(spark, d):
-    b = _five(spark, d)
-    starts = b.where("bar_ms % 3600000 = 0").select("sym", F.col("bar_ms").alias("at_ms"), F.col("mid_c").alias("p0"))
-    return Y.barrier_race(starts, b, F.col("p0") * F.lit(0.0005))
-
-
-@query()
 def sp_18_barrier_race_all(spark, d):
-    """The race from every five-minute bar; ``sp_18_barrier_race`` and its SQL race those that begin an hour."""
+    """The race from every five-minute bar."""
     b = _five(spark, d)
     return Y.barrier_race(b.select("sym", F.col("bar_ms").alias("at_ms"), F.col("mid_c").alias("p0")), b, F.col("p0") * F.lit(0.0005))
 
