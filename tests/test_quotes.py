@@ -231,6 +231,40 @@ def test_moving_blocks_of_rows(spark):
     assert short.low == pytest.approx(short.difference) == short.high  # one block each
 
 
+@pytest.mark.parametrize("piece, span", [(1 << 16, 1 << 22), (8, 20)])
+def test_moving_blocks_make_no_rows_of_draws(spark, monkeypatch, piece, span):
+    """Any pieces and spans give the same interval, and no join's side grows with draws times rows: such a table was sent to the driver."""
+    import datetime as dt
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(i), rng.random() < 0.3, rng.random()) for s in "AB" for i in range(150)]
+    df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, v double")
+    monkeypatch.setattr(T, "PIECE", piece)
+    monkeypatch.setattr(T, "SPAN", span)
+    monkeypatch.setattr(T, "REPLICATES", 7)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = T.moving_block_interval(df, "v", draws=40, length=9, seed=2)
+        got = found.first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = []
+    for r in range(40):
+        means = []
+        for flag in (True, False):
+            x = np.array([v for *_, f, v in sorted(rows, key=lambda r: r[:2]) if f == flag])
+            start = np.random.default_rng((2, r, int(flag))).integers(0, len(x) - 9 + 1, -(-len(x) // 9))
+            means.append(np.concatenate([x[s : s + 9] for s in start])[: len(x)].mean())
+        want.append(means[0] - means[1])
+    assert (got.low, got.high) == (pytest.approx(np.percentile(want, 2.5)), pytest.approx(np.percentile(want, 97.5)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 40" not in plan and "times" not in plan
+
+
 def test_evidence_gate(spark):
     import datetime as dt
 

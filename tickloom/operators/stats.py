@@ -306,58 +306,93 @@ def evidence_gate(states: DataFrame, intervals: DataFrame, floor: float = 0.05,
     return out.withColumn("passes", F.col("enough") & (F.col("effect") >= floor) & F.coalesce(F.col("low") > 0, F.lit(False)))
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    """compressed, i, before: each row's number within its flag, in the order of sym and day, and the sum of ``v`` over the rows before it; and one
-    row behind the last. Rows are range-partitioned, so no flag is in one task: totals per partition give the offsets."""
+#: Rows of a packed piece, rows of pieces that a task holds at once, and replicates that a task draws.
+PIECE, SPAN, REPLICATES = 1 << 16, 1 << 22, 250
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """compressed, part, k, n, s, held: the rows of each flag in the order of sym and day, PIECE or a few more of them as one packed array, with
+    their count and sum. Rows are range-partitioned, so no flag is in one task; ``part`` and ``k`` give the order of a flag's pieces."""
+
+    def pack(batches):
+        part, k, held = None, 0, {False: [], True: []}
+
+        def piece(flag):
+            nonlocal k
+            v, k = np.concatenate(held[flag]), k + 1
+            held[flag] = []
+            cells = [pa.array([flag]), pa.array([part], pa.int32()), pa.array([k], pa.int64()), pa.array([len(v)], pa.int64()), pa.array([v.sum()]), pa.array([v.tobytes()])]
+            return pa.RecordBatch.from_arrays(cells, names=["compressed", "part", "k", "n", "s", "held"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flags, v, part = b.column(0).to_numpy(zero_copy_only=False).astype(bool), b.column(1).to_numpy(), b.column(2)[0].as_py()
+            for flag in held:
+                held[flag].append(v[flags == flag])
+                if sum(map(len, held[flag])) >= PIECE:
+                    yield piece(flag)
+        for flag in held:
+            if sum(map(len, held[flag])):
+                yield piece(flag)
+
     order = ["compressed", "sym", "day"]
-    placed = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    totals = placed.groupBy("compressed", "part").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    ahead = Window.partitionBy("compressed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("compressed", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s0"))
-    own = Window.partitionBy("compressed", "part").orderBy("sym", "day", "v")
-    inside = placed.select("compressed", "part", (F.row_number().over(own) - 1).alias("k"), F.coalesce(F.sum("v").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("p"))
-    numbered = inside.join(offsets, ["compressed", "part"]).select("compressed", (F.col("n0") + F.col("k")).alias("i"), (F.col("s0") + F.col("p")).alias("before"))
-    return numbered.unionByName(totals.groupBy("compressed").agg(F.sum("n").alias("i"), F.sum("s").alias("before")))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "v").select("compressed", "v", F.spark_partition_id().alias("part"))
+    return cut(placed.mapInArrow(pack, "compressed boolean, part int, k bigint, n bigint, s double, held binary"))
 
 
 def moving_block_interval(panel: DataFrame, value: str, draws: int = FROZEN.draws, length: int = FROZEN.block, seed: int = FROZEN.seed, level: float = 0.95) -> DataFrame:
     """Mean difference of ``value``, compressed minus other rows, with its interval: overlapping blocks of rows, each group on its own.
 
     Rows are numbered by sym and day within their group; those without a value are left out. A replicate of n rows draws ceil(n / length)
-    starts and cuts the last block so that it has n rows, from a seed of its own. A block's sum is the difference of two running
-    sums, so a draw is two numbers that meet the running sums by row number; no sample is written out and nothing but counts reaches the
-    driver. Returns one row: value, n_compressed, n_other, difference, low, high, excludes_zero; NULLs without rows in both groups. A group
-    shorter than a block is one block.
+    starts and cuts the last block so that it has n rows, from a seed of its own. A task has the running sums of a span of rows, SPAN or a few
+    more, and REPLICATES replicates: it draws all their starts, PIECE at a time, and adds up what of the blocks lies in its span. Draws never
+    become rows: a replicate has one number per span, and nothing but counts reaches the driver. Drawing anew for each span costs
+    draws / length numbers a row and span. Returns one row: value, n_compressed, n_other, difference, low, high, excludes_zero; NULLs without rows in
+    both groups. A group shorter than a block is one block.
     """
     rows = panel.where(F.col(value).isNotNull() & F.col("compressed").isNotNull()).select("compressed", "sym", "day", F.col(value).cast("double").alias("v"))
-    sums = cut(_positions(rows))
-    size = {r.compressed: r.n for r in sums.groupBy("compressed").agg(F.max("i").alias("n")).collect()}
+    pieces = _packed(rows)
+    size = {r.compressed: r.n for r in pieces.groupBy("compressed").agg(F.sum("n").alias("n")).collect()}
     spark = panel.sparkSession
     schema = "value string, n_compressed bigint, n_other bigint, difference double, low double, high double, excludes_zero boolean"
     if len(size) < 2:
         return spark.createDataFrame([(value, size.get(True, 0), size.get(False, 0), None, None, None, None)], schema)
 
-    def draw(batches):
-        for b in batches:
-            for r in b.column(0).to_pylist():
-                for flag, n in size.items():
-                    long = min(length, n)
-                    start = np.random.default_rng((seed, r, int(flag))).integers(0, n - long + 1, -(-n // long))
-                    end = start + long
-                    end[-1] -= len(start) * long - n
-                    at, times = np.unique(np.concatenate([start, end]), return_inverse=True)
-                    times = np.bincount(times, np.repeat([-1, 1], len(start)), len(at)).astype(np.int64)
-                    kept = np.flatnonzero(times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), r)), pa.array([flag] * len(kept), pa.bool_()), pa.array(at[kept]), pa.array(times[kept])], names=["replicate", "compressed", "i", "times"])
-
-    drawn = spark.range(draws).mapInArrow(draw, "replicate bigint, compressed boolean, i bigint, times bigint")
+    def draw(key, table):
+        flag, first = key[0].as_py(), key[2].as_py() * REPLICATES
+        held = sorted(zip(table.column("first").to_pylist(), table.column("held").to_pylist()))
+        lo, upto = held[0][0], np.cumsum(np.concatenate([[0.0], *(np.frombuffer(x) for _, x in held)]))
+        n, here, many = size[flag], len(upto) - 1, np.arange(first, min(first + REPLICATES, draws))
+        long = min(length, n)
+        blocks = -(-n // long)
+        found = np.zeros(len(many))
+        for at, r in enumerate(many):
+            rng = np.random.default_rng((seed, int(r), int(flag)))
+            for i in range(0, blocks, PIECE):
+                start = rng.integers(0, n - long + 1, min(PIECE, blocks - i)) - lo
+                end = start + long
+                if i + PIECE >= blocks:
+                    end[-1] -= blocks * long - n
+                if here < n:
+                    inside = (end > 0) & (start < here)
+                    start, end = np.maximum(start[inside], 0), np.minimum(end[inside], here)
+                found[at] += (upto[end] - upto[start]).sum()
+        return pa.table({"replicate": many, "compressed": np.full(len(many), flag), "s": found})
+
+    ahead = Window.partitionBy("compressed").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
+    places = pieces.select("compressed", "part", "k", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    # Packed arrays look small to the planner; neither side may go through the driver.
+    placed = pieces.select("compressed", "part", "k", "held").hint("merge").join(places, ["compressed", "part", "k"])
+    spans = placed.select("compressed", F.floor(F.col("first") / SPAN).alias("span"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // REPLICATES))).alias("group"), "first", "held")
+    drawn = spans.groupBy("compressed", "span", "group").applyInArrow(draw, "replicate bigint, compressed boolean, s double")
     side = lambda c, flag: F.max(F.when(F.col("compressed") == flag, F.col(c)))
     n = F.when(F.col("compressed"), float(size[True])).otherwise(float(size[False]))
-    means = drawn.join(sums, ["compressed", "i"]).groupBy("replicate", "compressed").agg((F.sum(F.col("times") * F.col("before"))).alias("s")).withColumn("m", F.col("s") / n)
+    means = drawn.groupBy("replicate", "compressed").agg(F.sum("s").alias("s")).withColumn("m", F.col("s") / n)
     found = means.groupBy("replicate").agg((side("m", True) - side("m", False)).alias("d"))
     low, high = _ends(level)
     ci = found.agg(F.percentile("d", F.lit(low)).alias("low"), F.percentile("d", F.lit(high)).alias("high"))
-    point = sums.groupBy("compressed").agg(F.max_by("before", "i").alias("s")).withColumn("m", F.col("s") / n).agg((side("m", True) - side("m", False)).alias("difference"))
+    point = pieces.groupBy("compressed").agg(F.sum("s").alias("s")).withColumn("m", F.col("s") / n).agg((side("m", True) - side("m", False)).alias("difference"))
     both = point.withColumn("one", F.lit(1)).join(ci.withColumn("one", F.lit(1)), "one")  # one row each
     return both.select(F.lit(value).alias("value"), F.lit(size[True]).alias("n_compressed"), F.lit(size[False]).alias("n_other"), "difference", "low", "high", _excludes_zero().alias("excludes_zero"))
 
