@@ -265,6 +265,22 @@ def test_moving_blocks_make_no_rows_of_draws(spark, monkeypatch, piece, span):
     assert "Range (0, 40" not in plan and "times" not in plan
 
 
+def test_the_first_gate_broadcasts_no_draws(spark, monkeypatch):
+    """Each of the first version's three intervals: no table of draws, which the planner took for a small one."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(6)
+    numbers = ("expansion_ratio", "ldn_pct", "ldn_range", *(f"absr_{h}m" for h in FROZEN.horizons))
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(i), rng.random() < 0.4, *(rng.random() for _ in numbers)) for s in "AB" for i in range(80)]
+    df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, " + ", ".join(f"{n} double" for n in numbers))
+    found, real = [], T.moving_block_interval
+    monkeypatch.setattr(T, "moving_block_interval", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    pooled = T.summarize(df, draws=40)
+    assert pooled["ratio"]["boot"]["low"] <= pooled["ratio"]["boot"]["difference"] <= pooled["ratio"]["boot"]["high"]
+    assert len(found) == 3 and not any("Range (0, 40" in f._jdf.queryExecution().optimizedPlan().toString() for f in found)
+
+
 def test_evidence_gate(spark):
     import datetime as dt
 
