@@ -465,6 +465,21 @@ def test_near_copies_meet_every_continuation(spark):
     assert {r.row: (r.of, r.verdict) for r in C.near_copies(rows).collect()} == {i: (10, "early") for i in range(1, 6)}
 
 
+@pytest.mark.parametrize("others", [0, 1, 2, 12])
+def test_near_copies_lose_no_partner_to_a_longer_text(spark, others):
+    """Longer texts with the same words behind the same cue, but nothing else in common, stand before the one that is the near copy; it may
+    be shorter than the text that asks. Of two more texts one is only met by a copy that shows it to be whole, and one by none."""
+    body = list(range(100, 120))
+    schema = "row bigint, chars bigint, broken boolean, content bigint, hashes array<bigint>, durations array<int>, lengths array<int>, codes array<binary>, bands array<bigint>, asks array<bigint>"
+    code = [bytes([1, 2, 3])] * 20
+    text = lambda row, chars, hashes, length, last: (row, chars, False, 1000 + row, hashes, [2000] * len(hashes), [length] * len(hashes), [*code[: len(hashes) - 1], last], [1, 2], [2])
+    rows = [text(1, 650, [*body, 7], 20, bytes([5, 6])), text(2, 600, [*body, 8], 30, bytes([5, 9, 8]))]
+    rows += [text(10 + i, 900 + i, [*range(1000 * i + 1000, 1000 * i + 1019), 119, 8], 30, bytes([5, 9, 8])) for i in range(others)]
+    rows += [text(30, 500, list(range(200, 221)), 20, bytes([5])), text(31, 400, [*range(200, 222)], 20, bytes([6]))]
+    got = {r.row: (r.of, r.verdict) for r in C.near_copies(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (2, "early"), 30: (31, "whole")}
+
+
 @pytest.mark.parametrize("share", [0.3, 0.5, 0.7, 0.9])
 def test_copies_cut_anywhere_meet_their_whole_text(spark, share):
     """150 files, each with a copy cut at about that share: what the method's first half finds alone, wherever the cut falls."""

@@ -245,6 +245,8 @@ def ends_early(broken: bool, hashes: list[int], lengths: list[int], codes: list[
     sure = len(hashes) if broken and codes[-1] else len(hashes) - 1
     if sure < 1:
         return None
+    if np.isin(hashes[:sure], other_hashes).sum() < LEAST_SIMILARITY * sure:  # no alignment can match more
+        return None
     matched, at = alignment(hashes[:sure], other_hashes)
     if matched < LEAST_SIMILARITY * sure or at < 0 or at + 1 >= len(other_hashes):
         return None
@@ -266,8 +268,9 @@ def near_copies(rows: DataFrame) -> DataFrame:
     one, at least a quarter of it, and answers with those of all. Copies alike in every cue, duration and ending are one class with one
     representative, so a group of copies is never expanded. In a band, a representative asks with (last cue but one, duration of the
     last), or with its last cue if what follows it is unfinished, and every text answers with each of its cues and the duration behind
-    it; only what is asked for is kept. Answers with the same words are one, given by the band's longest text that has them: their
-    number depends on how many ways the cue is worded in the band and not on how many texts it has. Each pair is then aligned.
+    it; only what is asked for in the band is kept. Each pair of an asker and an answer is aligned, whichever of both is longer, until one
+    goes on: answers with the same words are ranked, the longest first, and rounds take the first two of each, the next two, the next four
+    and so on, for the askers that have met none that goes on. So most askers take one round, and none loses a partner to another one.
     """
     kept = rows.where("content IS NOT NULL")
     classes = kept.groupBy("content").agg(F.min("row").alias("rep"))
@@ -279,7 +282,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
     unfinished = F.col("broken") & (F.length(F.element_at("codes", -1)) > 0)
     bare = F.when(unfinished, F.element_at("hashes", -1)).when(F.length(F.element_at("codes", -1)) == 0, F.try_element_at("hashes", F.lit(-2)))
     asked = near.where("size(hashes) >= 2 OR broken").select(
-        "row", "chars", F.when(bare.isNotNull(), F.xxhash64(bare)).otherwise(F.xxhash64(F.try_element_at("hashes", F.lit(-2)), F.element_at("durations", -1))).alias("ask"),
+        "row", F.when(bare.isNotNull(), F.xxhash64(bare)).otherwise(F.xxhash64(F.try_element_at("hashes", F.lit(-2)), F.element_at("durations", -1))).alias("ask"),
         F.when(bare.isNull(), F.element_at("hashes", -1)).alias("last"),
     )
     steps = F.expr("transform(sequence(1, size(hashes) - 1), i -> struct(hashes[i - 1] AS cue, hashes[i] AS next, durations[i] AS lasts, i + 1 < size(hashes) AS more))")
@@ -288,20 +291,29 @@ def near_copies(rows: DataFrame) -> DataFrame:
     plain = F.struct(F.xxhash64("p.cue").alias("ask"), F.lit(None).cast("bigint").alias("next"), F.lit(True).alias("more"))
     places = places.select("row", "chars", F.explode(F.array(worded, plain)).alias("q")).select("row", "chars", "q.*").distinct()
     answers = places.join(asked.select("ask").distinct(), "ask", "left_semi").join(member.select("row", "band"), "row")
-    answers = answers.groupBy("band", "ask", "next", "more").agg(F.max(F.struct("chars", "row")).alias("top"))
-    links = asked.join(member.where("asks").select("row", "band"), "row").join(answers, ["band", "ask"])
-    links = links.where("last IS NULL AND next IS NULL OR next <> last OR next = last AND more").where("top.chars > chars OR top.chars = chars AND top.row > row")
-    links = links.select("row", F.col("top.row").alias("of")).distinct()
+    left = cut(asked.join(member.where("asks").select("row", "band"), "row").select("row", "band", "ask", "last"))
+    answers = answers.join(left.select("band", "ask").distinct(), ["band", "ask"], "left_semi")
+    alike = Window.partitionBy("band", "ask", "next", "more").orderBy(F.desc("chars"), F.desc("row"))
+    answers = cut(answers.select("band", "ask", "next", "more", F.col("row").alias("of"), F.row_number().over(alike).alias("rank")))
     own = near.select("row", "broken", "hashes", "lengths", "codes")
     other = near.select(F.col("row").alias("of"), *[F.col(c).alias(f"other_{c}") for c in ("hashes", "lengths", "codes")])
-    pairs = links.join(own, "row").join(other, "of").select("row", "of", "broken", "hashes", "lengths", "codes", "other_hashes", "other_lengths", "other_codes")
 
     def verify(batches):
         for b in batches:
             row, of, *rest = (b.column(i).to_pylist() for i in range(b.num_columns))
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(of, pa.int64()), pa.array([ends_early(*r) for r in zip(*rest)], pa.string())], names=["row", "of", "verdict"])
 
-    verified = pairs.mapInArrow(verify, "row bigint, of bigint, verdict string").where("verdict IS NOT NULL")
+    verified, low, high = near.sparkSession.createDataFrame([], "row bigint, of bigint, verdict string"), 0, 2
+    most = answers.agg(F.max("rank")).first()[0] or 0
+    while low < most:
+        links = left.join(answers.where((F.col("rank") > low) & (F.col("rank") <= high)), ["band", "ask"]).where("of <> row")
+        links = links.where("last IS NULL AND next IS NULL OR next <> last OR next = last AND more").select("row", "of").distinct()
+        pairs = links.join(own, "row").join(other, "of").select("row", "of", "broken", "hashes", "lengths", "codes", "other_hashes", "other_lengths", "other_codes")
+        found = cut(pairs.mapInArrow(verify, "row bigint, of bigint, verdict string").where("verdict IS NOT NULL"))
+        verified, low, high = verified.unionByName(found), high, 2 * high
+        if low < most:
+            left = cut(left.join(found.where("verdict = 'early'").select("row"), "row", "left_anti"))
+            most = answers.join(left.select("band", "ask").distinct(), ["band", "ask"], "left_semi").agg(F.max("rank")).first()[0] or 0
     # Any copy that goes on inside the last cue outweighs those that don't.
     best = verified.groupBy(F.col("row").alias("rep")).agg(F.min(F.struct("verdict", "of")).alias("v")).select("rep", "v.*")
     return kept.select("row", "content").join(classes, "content").join(best, "rep").select("row", "of", "verdict")
