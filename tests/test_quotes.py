@@ -281,6 +281,35 @@ def test_the_first_gate_broadcasts_no_draws(spark, monkeypatch):
     assert len(found) == 3 and not any("Range (0, 40" in f._jdf.queryExecution().optimizedPlan().toString() for f in found)
 
 
+def test_the_first_gate_brings_no_row_per_sym_to_the_driver(spark, monkeypatch):
+    """Syms grow with the data: their signs are counted in tasks. One verdict, whether from counts or from each sym's difference."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tickloom.plans import catalogue
+
+    rng = random.Random(7)
+    numbers = ("expansion_ratio", "ldn_pct", "ldn_range", *(f"absr_{h}m" for h in FROZEN.horizons))
+    row = lambda s, i, flag: (f"S{s}", dt.date(2024, 1, 1) + dt.timedelta(i), flag, *(rng.random() + (0.2 if flag else 0) for _ in numbers))
+    rows = [row(s, i, i % 3 == 0) for s in range(40) for i in range(9)] + [row(99, i, False) for i in range(9)]
+    rows.append(("S0", dt.date(2024, 3, 1), True, float("nan"), *[0.5] * (len(numbers) - 1)))
+    df = spark.createDataFrame(rows, "sym string, day date, compressed boolean, " + ", ".join(f"{n} double" for n in numbers))
+    columns = {"ratio": "expansion_ratio", "60": "absr_60m", "180": "absr_180m"}
+    each = {k: {r.sym: r.difference for r in T.mean_difference(df, c).collect()} for k, c in columns.items()}
+    assert T.sign_counts(df, columns) == {k: (sum(v > 0 for v in s.values()), len(s)) for k, s in each.items()}
+    assert T.sign_counts(df.where("sym = 'S99'"), columns) == {k: (0, 0) for k in columns} and not T.consistent((0, 0))
+    assert T.consistent((5, 6)) and not T.consistent((4, 5)) and not T.consistent((0, 1))
+    most, real = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: most.append(len(out := real(self))) or out)
+    monkeypatch.setattr(catalogue, "_flagged", lambda *_: df)
+    monkeypatch.setattr(T, "summarize", lambda flagged, draws, real=T.summarize: real(flagged, 20))
+    got = catalogue.gat_01_decision(spark, None).first()
+    said, checks = T.decide_first(T.summarize(df, 20), each)
+    assert tuple(got) == (said, *checks.values()) and max(most) <= 2
+
+
 def test_evidence_gate(spark):
     import datetime as dt
 

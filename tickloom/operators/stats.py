@@ -88,6 +88,15 @@ def mean_difference(panel: DataFrame, value: str, keys: Sequence[str] = ("sym",)
     return out.where("n_compressed > 0 AND n_other > 0")
 
 
+def sign_counts(panel: DataFrame, values: Mapping[str, str]) -> dict[str, tuple[int, int]]:
+    """Per name of ``values`` (name: column): how many syms have a positive ``mean_difference``, and how many have one. All in one pass, counted
+    in tasks: syms grow with the data, so a row of each doesn't come to the driver."""
+    by_sym = panel.groupBy("sym").agg(*[(F.avg(a) - F.avg(b)).alias(k) for k, v in values.items() for a, b in (_groups(v),)])
+    # A sym that lacks a group has no difference: NULL. Spark takes NaN for more than any number.
+    found = by_sym.agg(*[x for k in values for x in (F.count_if((F.col(k) > 0) & ~F.isnan(k)), F.count(k))]).first()
+    return {k: (found[2 * i], found[2 * i + 1]) for i, k in enumerate(values)}
+
+
 def mean_of_means(panel: DataFrame, value: str) -> DataFrame:
     """Equal-weight pool: the mean over syms of their means, per flag."""
     return panel.groupBy("sym", "compressed").agg(F.avg(value).alias("m")).groupBy("compressed").agg(F.avg("m").alias("mean_of_means"), F.count("*").alias("syms"))
@@ -428,20 +437,21 @@ def summarize(flagged: DataFrame, draws: int = FROZEN.draws, horizons: Sequence[
     return out
 
 
-def consistent(signs: Mapping[str, float]) -> bool:
-    """Whether at least five of six syms (5/6 of any number) have a positive difference."""
-    return bool(signs) and 6 * sum(v > 0 for v in signs.values()) >= 5 * len(signs)
+def consistent(signs: Mapping[str, float] | tuple[int, int]) -> bool:
+    """Whether at least five of six syms (5/6 of any number) have a positive difference; from the difference of each, or from ``sign_counts``."""
+    positive, syms = signs if isinstance(signs, tuple) else (sum(v > 0 for v in signs.values()), len(signs))
+    return syms > 0 and 6 * positive >= 5 * syms
 
 
-def decide_first(pooled: Mapping, signs: Mapping[str, Mapping[str, float]], level: float = 0.05) -> tuple[str, dict[str, bool]]:
-    """The first version's verdict and its checks, from ``summarize`` and the signs per sym of ``ratio``, ``60`` and ``180``.
+def decide_first(pooled: Mapping, signs: Mapping[str, Mapping[str, float] | tuple[int, int]], level: float = 0.05) -> tuple[str, dict[str, bool]]:
+    """The first version's verdict and its checks, from ``summarize`` and the signs (as ``consistent`` takes them) of ``ratio``, ``60`` and ``180``.
 
     The ratio and each return need a rank test below ``level``, an interval that excludes 0 and consistent signs; both shares need a
     test below ``level``. PASS if all hold, MECHANICAL if just the ratio's and the shares' do, else FAIL.
     """
     small = lambda t: t.get("p") is not None and t["p"] < level
 
-    def holds(part: Mapping, s: Mapping[str, float]) -> bool:
+    def holds(part: Mapping, s: Mapping[str, float] | tuple[int, int]) -> bool:
         return small(part["rank"]) and bool((part.get("boot") or {"excludes_zero": True})["excludes_zero"]) and consistent(s)
 
     checks = {"ratio": holds(pooled["ratio"], signs["ratio"])} | {k: small(t) for k, t in pooled["shares"].items()}

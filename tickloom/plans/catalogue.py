@@ -450,7 +450,7 @@ def gat_02_decision(spark, d):
 def gat_01_decision(spark, d):
     """The first version's verdict and its five checks."""
     flagged = cut(_flagged(spark, d))
-    said, checks = T.decide_first(T.summarize(flagged, FROZEN.draws), {"ratio": _signs(flagged, "expansion_ratio"), "60": _signs(flagged, "absr_60m"), "180": _signs(flagged, "absr_180m")})
+    said, checks = T.decide_first(T.summarize(flagged, FROZEN.draws), T.sign_counts(flagged, {"ratio": "expansion_ratio", "60": "absr_60m", "180": "absr_180m"}))
     return spark.createDataFrame([(said, *checks.values())], "verdict string, " + ", ".join(f"{c} boolean" for c in checks))
 
 
